@@ -65,44 +65,45 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RU
     return nothing if chain is None else chain.otherwise(nothing)
 
 
-def _concentration(children: DataFrame) -> DataFrame:
-    """One row: kappa, from the spread of children (n, bad) about their parents' rate m.
+def _concentration(children: DataFrame) -> float:
+    """kappa, from the spread of children (n, bad) about their parents' rate m.
 
     With within-group correlation rho, the expected sum of n (p - m)^2 is the sum
     of m (1 - m) (1 + (n - 1) rho); kappa is 1 / rho - 1, with rho held inside
-    [0.001, 0.5].
+    [0.001, 0.5]. Two sums come to the driver.
     """
     v = F.col("m") * (1 - F.col("m"))
     spread = F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("m"), 2)
-    rho = F.coalesce(F.try_divide(F.sum(spread - v), F.sum((F.col("n") - 1) * v)), F.lit(0.001))
-    rho = F.least(F.greatest(rho, F.lit(0.001)), F.lit(0.5))
-    return children.filter("n > 0").agg((1 / rho - 1).alias("kappa"))
+    top, bottom = children.filter("n > 0").agg(F.sum(spread - v), F.sum((F.col("n") - 1) * v)).first()
+    rho = top / bottom if top is not None and bottom else 0.001
+    return 1 / min(max(rho, 0.001), 0.5) - 1
 
 
 def host_reputation(hosts: DataFrame) -> DataFrame:
     """hosts(host, n, bad) with one row per host, n = 0 allowed, to posterior alpha and beta.
 
-    Adds domain, suffix, a and b: the host's bad rate is Beta(a, b).
+    Adds domain, suffix, a and b: the host's bad rate is Beta(a, b). hosts is read
+    once for each level, so it should be a saved table.
     """
     h = hosts.select("host", "n", "bad", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
     domains = h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m"))
+    bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
 
-    def shrink(level: DataFrame, name: str) -> DataFrame:
-        """level(.., n, bad, m) to (.., m): the posterior mean with prior mean m."""
+    def shrunk(level: DataFrame) -> Column:
+        """The posterior mean with prior mean m."""
         kappa = _concentration(level)
-        return level.crossJoin(F.broadcast(kappa)).withColumn(name, (F.col("bad") + F.col("kappa") * F.col("m")) / (F.col("n") + F.col("kappa")))
+        return (F.col("bad") + kappa * F.col("m")) / (F.col("n") + kappa)
 
-    # each of the broadcast frames below is the one row of a global aggregate
-    s = shrink(suffixes.crossJoin(F.broadcast(total)), "sm").select("suffix", F.col("sm").alias("m"))
-    d = shrink(domains.join(s, "suffix"), "dm").select("domain", "suffix", F.col("dm").alias("m"))
+    s = suffixes.withColumn("m", F.lit(((bad or 0) + 1) / ((n or 0) + 2)))
+    s = s.select("suffix", shrunk(s).alias("m"))
+    d = domains.join(s, "suffix")
+    d = d.select("domain", "suffix", shrunk(d).alias("m"))
     children = h.join(d, ["domain", "suffix"])
     kappa = _concentration(children)
-    return children.crossJoin(F.broadcast(kappa)).select(
+    return children.select(
         "host", "domain", "suffix", "n", "bad",
-        (F.col("bad") + F.col("kappa") * F.col("m")).alias("a"),
-        (F.col("n") - F.col("bad") + F.col("kappa") * (1 - F.col("m"))).alias("b"),
+        (F.col("bad") + kappa * F.col("m")).alias("a"), (F.col("n") - F.col("bad") + kappa * (1 - F.col("m"))).alias("b"),
     )
 
 
