@@ -131,8 +131,9 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share is the largest percentage of words in repeats, longest the most words of
     one repeat.
     """
-    kept = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
-    fields = [f.name for f in kept.schema.fields if f.name != "_text"]
+    named = {c: "_text" if c == text_col else f"_carry{i}" for i, c in enumerate(carry)}
+    kept = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in named.items() if n != "_text"])
+    fields = [f.name for f in kept.schema.fields if f.name != "_text" or "_text" in named.values()]
     schema = ", ".join(f"{n} {kept.schema[n].dataType.simpleString()}" for n in fields) + ", " + ", ".join(f"{n} long" for n in FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = kept.mapInArrow(run, schema)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > share * F.col("n_words"))
     return out.select(
-        F.col("_id").alias(id_col), *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)], *FIELDS, failed.alias("base_failed"), (~failed & (F.col("longest_repeat") <= longest)).alias("kept")
+        F.col("_id").alias(id_col), *[F.col(n).alias(c) for c, n in named.items()], *FIELDS, failed.alias("base_failed"), (~failed & (F.col("longest_repeat") <= longest)).alias("kept")
     )
 
 
