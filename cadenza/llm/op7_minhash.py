@@ -10,8 +10,8 @@
    by alternating large-star and small-star.
 5. A star whose members are still in several components is compared in full, but
    within blocks: members are dealt to cells by set size (sets whose sizes differ by
-   more than the threshold cannot link) and by salt, and a cell of at most a few
-   hundred sets counts all intersections at once and returns only links that join
+   more than the threshold cannot link) and by salt, and a cell of bounded size
+   counts all intersections at once and returns only links that join
    two components. So no pair that shares a band goes unverified, no group is
    gathered in one task, and pairs are never rows.
 
@@ -46,8 +46,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Words of a chunk whose minima are taken at once.
 CHUNK = 1 << 16
-#: Members of a block of a star.
-BLOCK = 256
+#: Members of a block of a star, and shingles of all of them, on average.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 
 
 class Hashes(dict):
@@ -193,8 +193,11 @@ def compare_cell(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64") if out else none
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, scratch: Scratch | None = None) -> DataFrame:
-    """Every row with n_shingles, component_id and kept (whether it is its component's least id)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+    """Every row with n_shingles, component_id and kept (whether it is its component's least id).
+
+    block bounds the members of a star that are compared at once; it changes no result.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     rows = docs.select(ids(id_col).alias("id"), F.col(text_col).alias("text"))
     base = scratch.save(signed(rows), "signed")
@@ -231,14 +234,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = scratch.save(connected_components(links, scratch, "first"), "first")
 
     # stars that are still in several parts
-    member = stars.join(first.select(F.col("node").alias("id"), "root"), "id", "left").select("hub", "id", F.coalesce("root", "id").alias("comp"))
-    open_ = member.groupBy("hub").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    member = stars.join(first.select(F.col("node").alias("id"), "root"), "id", "left").join(reps.select("id", "n"), "id").select("hub", "id", "n", F.coalesce("root", "id").alias("comp"))
+    open_ = member.groupBy("hub").agg(F.count("*").alias("size"), F.sum("n").alias("volume"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1")
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("volume") / BLOCK_SHINGLES)).cast("int")
     rest = scratch.save(member.join(open_.select("hub", blocks.alias("blocks")), "hub"), "rest")
     if rest.isEmpty():
         second = first
     else:
-        sized = rest.join(sets, "id").withColumn("class", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")).withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
+        sized = rest.join(sets.select("id", "items"), "id").withColumn("class", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")).withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
         other = F.sequence(F.lit(0), F.col("blocks") - 1)
         cell = lambda c, i, j, lt, rt: F.struct(c.alias("class"), i.alias("i"), j.alias("j"), F.lit(lt).alias("left"), F.lit(rt).alias("right"))
         c, b = F.col("class"), F.col("block")

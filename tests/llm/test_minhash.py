@@ -41,8 +41,8 @@ def brute(docs, percent=85):
     return sorted(((back(i), len(s), back(root(i)), root(i) == i) for i, s in sets), key=str)
 
 
-def run(df):
-    return sorted(map(tuple, op7_minhash.near_duplicates(df).collect()), key=str)
+def run(df, **more):
+    return sorted(map(tuple, op7_minhash.near_duplicates(df, **more).collect()), key=str)
 
 
 def family(rng, size, words, first):
@@ -70,7 +70,7 @@ def test_families(spark):
     docs = [d for f in range(12) for d in family(rng, 40, 100 + 10 * f, 1000 * f)]
     docs += family(rng, 700, 120, 50_000)  # more than one block
     rng.shuffle(docs)
-    assert run(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+    assert run(spark.createDataFrame(docs, "doc_id long, text string"), block=100) == brute(docs)
 
 
 def test_documents(spark):
