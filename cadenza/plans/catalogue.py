@@ -28,7 +28,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from cadenza.plans import core  # noqa: F401
+    from cadenza.plans import analytics, core  # noqa: F401
 
 
 _load()
