@@ -1,10 +1,16 @@
 """Substring dedup by line or paragraph hashing.
 
-Every text is cut into units - lines, or paragraphs between empty lines - which are
-normalised (ASCII lower case, white space runs to one space, ends stripped) and
-hashed to 128 bits. Digests are grouped over the corpus with a map-side minimum, so
-no group is collected; the earliest ranked occurrence of each digest is kept and
-all others are removed. What is removed is given by its offsets in the original.
+Every text is cut into units, which are normalised (ASCII lower case, white space
+runs to one space, ends stripped) and hashed to 128 bits. Digests are grouped over
+the corpus with a map-side minimum, so no group is collected; the earliest ranked
+occurrence of each digest is kept and all others are removed. What is removed is
+given by its offsets in the original.
+
+Units are lines, paragraphs between empty lines, or passages: a line as a whole and,
+from each sentence in it, the run of sentences that first has ``least_words`` words.
+Runs from the same sentences are equal wherever they stand, so a passage is also
+found inside longer lines. Overlapping units that go are united. A sentence goes only
+where an earlier document, or an earlier place, has it too, so each stays somewhere.
 
 Rank is the id, ascending, then the position in the text. Units of fewer than
 ``least_words`` words are always kept.
@@ -29,7 +35,28 @@ from cadenza.llm.op6_lines import DIGEST, digest
 NAME = "op3_unit_hashing"
 ORACLE = None
 
-UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n](?:[^\n]|\n(?![\x20\t\r]*\n))*")}
+UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n](?:[^\n]|\n(?![\x20\t\r]*\n))*"), "passage": re.compile(r"[^\n]+")}
+SENTENCE = re.compile(r"\S[^.!?]*+(?:[.!?]++(?!\s|$)[^.!?]*+)*+[.!?]*")
+
+
+def cut(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, stop, normalised) of each unit with enough words, by start; no span twice."""
+    for m in UNITS[unit].finditer(text):
+        words = m[0].encode("utf-8", "surrogatepass").lower().split()
+        if len(words) < least_words:
+            continue
+        yield m.start(), m.end(), b" ".join(words)
+        if unit != "passage":
+            continue
+        parts = [(m.start() + s.start(), m.start() + s.end(), s[0].encode("utf-8", "surrogatepass").lower().split()) for s in SENTENCE.finditer(m[0])]
+        for i, (start, _, _) in enumerate(parts):
+            run: list[bytes] = []
+            for _, stop, more in parts[i:]:
+                run += more
+                if len(run) >= least_words:
+                    if len(run) < len(words):
+                        yield start, stop, b" ".join(run)
+                    break
 
 
 def unit_digests(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
@@ -40,20 +67,15 @@ def unit_digests(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = UNITS[unit]
         for batch in batches:
             at, start, stop, first, h1, h2 = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 seen: set[bytes] = set()
-                for m in pattern.finditer(text or ""):
-                    words = m[0].encode("utf-8", "surrogatepass").lower().split()
-                    if len(words) < least_words:
-                        continue
-                    key = b" ".join(words)
+                for lo, hi, key in cut(text or "", unit, least_words):
                     a, b = digest(key)
                     at.append(i)
-                    start.append(m.start())
-                    stop.append(m.end())
+                    start.append(lo)
+                    stop.append(hi)
                     first.append(key not in seen)
                     seen.add(key)
                     h1.append(a)
@@ -67,6 +89,34 @@ def unit_digests(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, tag long, start int, stop int, first boolean, h1 long, h2 long")
 
 
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans made one, in order."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+        else:
+            out.append((start, stop))
+    return out
+
+
+def without(docs: DataFrame) -> DataFrame:
+    """docs(id, text, spans) to (id, removed, kept_text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed, kept = [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                text, gone = text or "", united([(s["start"], s["stop"]) for s in spans or ()])
+                edges = [0, *[x for s in gone for x in s], len(text)]
+                kept.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                removed.append([{"start": a, "stop": b} for a, b in gone])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(removed, kind), pa.array(kept, pa.string())], names=["id", "removed", "kept_text"])
+
+    return docs.select("id", "text", "spans").mapInArrow(run, "id long, removed array<struct<start:int,stop:int>>, kept_text string")
+
+
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least_words: int = 8, scratch: Scratch | None = None) -> DataFrame:
     """Every row with n_removed, removed (array<struct<start, stop>>, original offsets) and kept_text.
 
@@ -80,22 +130,15 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = maybe_broadcast(scratch.save(owners, "owners"))
     # later documents lose the unit; within a document, all but its first occurrence
     elsewhere = units.join(owners, DIGEST, "left").filter("id <> owner OR NOT first")
-    gone = elsewhere.groupBy("id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed"))
-    gone = scratch.save(gone, "gone")
-    if small(gone) and (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= 1_000_000:  # both bounds: at most some 20 MB
+    gone = scratch.save(elsewhere.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "gone")
+    if small(gone) and (gone.agg(F.sum(F.size("spans"))).first()[0] or 0) <= 1_000_000:  # both bounds: at most some 20 MB
         gone = F.broadcast(gone)
-    joined = rows.join(gone, ["id", "tag"], "left")
-    text = F.coalesce("text", F.lit(""))
-    none = F.expr("CAST(array() AS array<struct<start:int,stop:int>>)")
-    spans = F.coalesce("removed", none)
-    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["stop"]))
-    stops = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text)))
-    kept = F.array_join(F.zip_with(starts, stops, lambda a, b: F.substring(text, a + 1, b - a)), "")
-    return joined.select(null_id("id").alias(id_col), F.size(spans).cast("long").alias("n_removed"), spans.alias("removed"), F.when(F.col("removed").isNull(), text).otherwise(kept).alias("kept_text"))
+    out = without(rows.join(gone, ["id", "tag"], "left"))
+    return out.select(null_id("id").alias(id_col), F.size("removed").cast("long").alias("n_removed"), "removed", "kept_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, by lines."""
-    out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """All documents, by passages."""
+    out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), unit="passage")
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return out.select("doc_id", "n_removed", spans.alias("removed_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -100,6 +100,35 @@ def test_units(docs):
     assert order(got) == order(want)
 
 
+def test_passages(docs):
+    """Against a plain version with overlapping spans."""
+    rows, df = docs
+    low = lambda i: -(2**63) if i is None else i
+    units = [(low(i), list(op3_substrings.cut(t or "", "passage", 8))) for i, t in rows]
+    owner = {}
+    for i, us in units:
+        for _, _, k in us:
+            owner[k] = min(i, owner.get(k, i))
+    want = []
+    for (i, t), (j, us) in zip(rows, units):
+        gone, seen = np.zeros(len(t or ""), bool), set()
+        for a, b, k in us:
+            if owner[k] != j or k in seen:
+                gone[a:b] = True
+            seen.add(k)
+        want.append((i, int(gone.sum()), sha("".join(c for c, g in zip(t or "", gone) if not g))))
+    got = [(r[0], sum(s["stop"] - s["start"] for s in r[2]), sha(r[3])) for r in op3_substrings.dedup_units(df, unit="passage").collect()]
+    assert order(got) == order(want)
+
+
+def test_passage_inside_longer_lines(spark):
+    passage = "The first sentence has seven whole words. Short one. Then a longer sentence with exactly ten words follows here."
+    df = spark.createDataFrame([(1, f"Own beginning of this text. {passage} Own end."), (2, f"{passage}\nanother line"), (3, f"Something else. {passage} Tail of the text."), (4, passage)], SCHEMA)
+    got = {r[0]: r["kept_text"] for r in op3_substrings.dedup_units(df, unit="passage").collect()}
+    assert passage in got[1] and got[2] == "\nanother line" and got[4] == ""
+    assert got[3] == "Something else.  Tail of the text."
+
+
 def test_paragraphs(spark):
     para = "one two three four five six seven eight\nnine ten"
     df = spark.createDataFrame([(2, f"intro\n\n{para}\n \t\nend"), (1, para.upper())], SCHEMA)
