@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAME = "op8_suffix_repetition"
-ORACLE = None
 
 WINDOW, LEAST_WORDS, SHARE, LONGEST = 8, 20, 30, 100
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -152,4 +151,19 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
-    return judge_quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return judge_quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("longest_repeat")
+
+
+#: A repeat longer than 100 words is a window of 101 words that occurs twice.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 7], ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8)),
+q AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1),
+v AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM q, (SELECT unnest(generate_series(0, 7)) AS k) GROUP BY 1),
+b AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, md5(array_to_string(ws[i:i + 100], ' ')) AS h FROM (SELECT w.doc_id, ws, unnest(generate_series(1, len(ws) - 100)) AS i FROM w JOIN v ON v.doc_id = w.doc_id WHERE len(ws) >= 102)) GROUP BY doc_id, h HAVING count(*) > 1),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY 1),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words, b.doc_id IS NOT NULL AS long
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN v ON v.doc_id = w.doc_id LEFT JOIN b ON b.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT long AS kept FROM m
+"""
