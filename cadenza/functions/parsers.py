@@ -22,7 +22,7 @@ def _group(s: Column, pattern: str, i: int = 1) -> Column:
 
 
 def _tidy(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(s, "[​-‍﻿]", ""), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(s, "[\u200B-\u200D\uFEFF]", ""), r"(?U)\s+", " "))
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:

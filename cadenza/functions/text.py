@@ -108,7 +108,7 @@ def slug(s: Column) -> Column:
 def latin_ratio(s: Column) -> Column:
     """Share of letters below U+2000; 0 if there are none."""
     letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
-    latin = F.length(F.regexp_replace(s, r"[^\p{L}&&[\u0000-῿]]", ""))
+    latin = F.length(F.regexp_replace(s, r"[^\p{L}&&[\u0000-\u1FFF]]", ""))
     return F.coalesce(F.try_divide(latin, letters), F.lit(0.0))
 
 
@@ -127,5 +127,5 @@ def html_lines(html: Column) -> Column:
     x = F.regexp_replace(x, r"(?s)<[^>]*>", "")
     for name, to in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
         x = F.replace(x, F.lit(f"&{name};"), F.lit(to))
-    x = F.regexp_replace(F.regexp_replace(x, "[​-‍﻿]", ""), "[ \t\r\f ]+", " ")
+    x = F.regexp_replace(F.regexp_replace(x, "[\u200B-\u200D\uFEFF]", ""), "[ \t\r\f\u00A0]+", " ")
     return F.filter(F.transform(F.split(x, "\n", -1), lambda v: F.trim(v)), lambda v: v != "")

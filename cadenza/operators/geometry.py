@@ -32,3 +32,27 @@ def nearest_top(points: DataFrame, key: str, x: str, y: str, targets: DataFrame,
     d = F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"))
     w = Window.partitionBy(target).orderBy("distance", key)
     return j.select(target, key, d.alias("distance")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def seat_zones(seats: DataFrame, blocks: DataFrame, zones: DataFrame, seat: str) -> DataFrame:
+    """Zone of each seat: struct columns zone, precision, column, band, approximate, warning.
+
+    seats(seat, venue, floor, block, row), blocks(venue, floor, code, row_min, row_max,
+    geometry) and zones(venue, floor, code, col, d0, d1, behind). A block that either
+    table lacks leaves the floor alone; a seat without floor has no zone. Block codes
+    are compared trimmed and in upper case.
+    """
+    code = lambda c: F.upper(F.trim(F.col(c)))
+    b = blocks.select("venue", "floor", code("code").alias("_code"), "row_min", "row_max", "geometry")
+    z = zones.select("venue", "floor", code("code").alias("_code"), "col", "d0", "d1", "behind")
+    plan = b.join(z, ["venue", "floor", "_code"])  # both are needed, so they meet first
+    x = seats.withColumn("_code", code("block")).join(plan, ["venue", "floor", "_code"], "left")
+    known = F.col("geometry").isNotNull()
+    depth = depth_in_block(F.col("row"), F.col("row_min"), F.col("row_max"))
+    t = F.col("d0") + (F.col("d1") - F.col("d0")) * depth["depth"]
+    band = F.when(t < 1 / 3, "front").when(t < 2 / 3, "mid").otherwise("rear")
+    zone = F.when(F.col("floor").isNull() | ~known, F.lit(None).cast("string")).when(F.col("behind"), "behind-stage").otherwise(F.concat_ws("-", band, F.col("col")))
+    precision = F.when(F.col("floor").isNull(), "none").when(~known, "floor").when(F.col("row").isNull() | depth["warning"], "block").otherwise("row")
+    warning = F.when(F.col("floor").isNotNull() & ~known & F.col("block").isNotNull(), "unknown block").when(known & depth["warning"], "row outside block")
+    flat = known & ~F.col("behind")
+    return x.select(seat, zone.alias("zone"), precision.alias("precision"), F.when(flat, F.col("col")).alias("column"), F.when(flat, band).alias("band"), F.coalesce(F.col("geometry") != "confirmed", F.lit(True)).alias("approximate"), warning.alias("warning"))

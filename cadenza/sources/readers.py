@@ -34,7 +34,7 @@ def calendar(spark: SparkSession, path: str, skip: str = "result") -> DataFrame:
 
 def nested_calendar(spark: SparkSession, path: str) -> DataFrame:
     """A calendar of weeks of days with lists of times; null days are skipped."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\uFEFF", "").alias("value"), F.col("_metadata.file_name").alias("file"))
     weeks = raw.select("file", F.from_json(F.get_json_object("value", "$.Tag.Weeks"), "array<array<struct<Date:string,Times:array<map<string,string>>>>>").alias("weeks"))
     days = weeks.select("file", F.posexplode("weeks").alias("week", "days")).select("file", "week", F.explode("days").alias("day")).filter("day IS NOT NULL")
     return days.select("file", "week", "day.Date", F.posexplode("day.Times").alias("at", "event"))
