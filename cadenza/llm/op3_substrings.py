@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, ids, maybe_broadcast, null_id, small
+from cadenza.llm.common import Scratch, ids, maybe_broadcast, null_id, slices, small
 from cadenza.llm.op6_lines import DIGEST, digest
 
 NAME = "op3_unit_hashing"
@@ -67,7 +67,7 @@ def unit_digests(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, start, stop, first, h1, h2 = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 seen: set[bytes] = set()
@@ -104,7 +104,7 @@ def without(docs: DataFrame) -> DataFrame:
     """docs(id, text, spans) to (id, removed, kept_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             removed, kept = [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 text, gone = text or "", united([(s["start"], s["stop"]) for s in spans or ()])
