@@ -1,9 +1,9 @@
 """Tool-call linking.
 
-Calls and results meet in a hash join on conversation and identifier. Calls are
-ordered by peeling: those whose dependencies are all placed take the next level, so
-(level, turn, id) is a topological order; the rounds are as many as the longest
-chain. Arguments are checked against the schema of their tool, and each call with
+Calls and results meet in a hash join on conversation and identifier. A call's level
+is the length of its longest chain of dependencies, so (level, turn, id) is a
+topological order; chains are resolved by pointer doubling, and only calls with
+several dependencies are placed round by round. Arguments are checked against the schema of their tool, and each call with
 its result becomes one canonical JSON text: sorted keys, no spaces.
 
 No step gathers a conversation: rows stay one per call, whatever a conversation holds.
@@ -58,20 +58,43 @@ def is_valid(name: Column, arguments: Column, schemas: Schemas) -> Column:
 
 
 def levels(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """calls(conv, call_id) and edges(conv, call_id, dep), both distinct, to (conv, call_id, level)."""
-    left = scratch.save(edges.join(calls.select("conv", F.col("call_id").alias("dep")), ["conv", "dep"]), "edges-0")
-    placed = calls.join(left, KEY, "left_anti").withColumn("level", F.lit(0))
-    k = 0
-    frontier = scratch.save(placed, "level-0")
-    out = frontier
-    while not left.isEmpty():
+    """calls(conv, call_id) and edges(conv, call_id, dep), both distinct, to (conv, call_id, level).
+
+    Calls with one dependency are paths. Their pointers are doubled until they reach
+    an anchor - a call with none or several - so a path of n calls takes log2 n
+    rounds. Anchors with several dependencies are then peeled: one is placed when the
+    anchors of all its dependencies are.
+    """
+    at = lambda name: ["conv", F.col("call_id").alias(name)]
+    known = scratch.save(edges.join(calls.select(*at("dep")), ["conv", "dep"]).select(*KEY, "dep"), "edges")
+    degree = known.groupBy(*KEY).agg(F.count("*").alias("degree"))
+    pointers = scratch.save(known.join(degree.filter("degree = 1"), KEY, "left_semi").select(*KEY, F.col("dep").alias("up"), F.lit(1).alias("far")), "pointers-0")
+    before, k = -1, 0
+    while True:
+        ahead = pointers.select(*at("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        k += 1
+        joined = pointers.join(ahead, ["conv", "up"], "left")
+        nxt = scratch.save(joined.select(*KEY, F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("up2").isNotNull().alias("open")), f"pointers-{k}")
+        scratch.drop(f"pointers-{k - 1}")
+        pointers, still = nxt.select(*KEY, "up", "far"), nxt.filter("open").count()
+        if still in (0, before):  # the same number again: cycles, and what hangs on them
+            break
+        before = still
+    ends = nxt.filter("NOT open").select(*KEY, "up", "far")
+    placed = scratch.save(calls.join(known, KEY, "left_anti").select(*KEY, F.lit(0).alias("level")), "level-0")
+    # of each dependency of a call with several, its anchor and the way from there
+    several = known.join(degree.filter("degree > 1"), KEY)
+    way = ends.select(*at("dep"), F.col("up").alias("anchor"), "far").unionByName(calls.join(known.join(degree.filter("degree = 1"), KEY, "left_semi").select(*KEY), KEY, "left_anti").select("conv", F.col("call_id").alias("dep"), F.col("call_id").alias("anchor"), F.lit(0).alias("far")))
+    several = scratch.save(several.join(way, ["conv", "dep"]).select(*KEY, "degree", "anchor", (F.col("far") + 1).alias("far")), "several")
+    k, open_ = 0, not several.isEmpty()
+    while open_:
         k += 1
-        after = scratch.save(left.join(frontier.select("conv", F.col("call_id").alias("dep")), ["conv", "dep"], "left_anti"), f"edges-{k}")
-        frontier = scratch.save(left.select(*KEY).distinct().join(after, KEY, "left_anti").withColumn("level", F.lit(k)), f"level-{k}")
-        if frontier.isEmpty():
-            break  # only cycles, and what hangs on them, are left
-        out, left = out.unionByName(frontier), after
-    return out
+        reached = several.join(placed.select(*at("anchor"), "level"), ["conv", "anchor"]).groupBy(*KEY, "degree").agg(F.count("*").alias("n"), F.max(F.col("level") + F.col("far")).alias("level"))
+        new = scratch.save(reached.filter("n = degree").select(*KEY, "level").join(placed, KEY, "left_anti"), f"level-{k}")
+        open_ = not new.isEmpty()
+        placed = placed.unionByName(new)
+    along = ends.join(placed.select(*at("up"), "level"), ["conv", "up"]).select(*KEY, (F.col("level") + F.col("far")).alias("level"))
+    return placed.unionByName(along)
 
 
 def link_tools(calls: DataFrame, results: DataFrame, schemas: Schemas, scratch: Scratch | None = None) -> DataFrame:

@@ -36,6 +36,23 @@ def test_linking_order_and_json(spark):
         assert list(o) == sorted(o)
 
 
+def test_levels_of_paths_joins_and_cycles(spark):
+    import random
+
+    rng = random.Random(3)
+    deps = {f"p{i}": [f"p{i - 1}"] if i else [] for i in range(70)}
+    deps |= {f"d{i}": rng.sample([f"d{j}" for j in range(i)] + [f"p{j}" for j in range(0, 70, 9)], min(i, 3)) for i in range(25)}
+    deps |= {"self": ["self"], "x": ["z"], "y": ["x"], "z": ["y"], "hang": ["x"], "both": ["x", "p3"], "after": ["both"], "tail": ["d24"]}
+    calls = [(1, k, i, "now", "{}", v) for i, (k, v) in enumerate(deps.items())]
+    lost = {"self", "x", "y", "z", "hang", "both", "after"}
+
+    def level(k):
+        return 1 + max(map(level, deps[k]), default=-1)
+
+    got = {k[1]: r["level"] for k, r in run(spark, calls, []).items()}
+    assert got == {k: None if k in lost else level(k) for k in deps}
+
+
 def test_conversations(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
     turns = {(r["conv_id"], r["turn"]): r for r in rows}
