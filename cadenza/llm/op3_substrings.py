@@ -12,8 +12,9 @@ Runs from the same sentences are equal wherever they stand, so a passage is also
 found inside longer lines. Overlapping units that go are united. A sentence goes only
 where an earlier document, or an earlier place, has it too, so each stays somewhere.
 
-Rank is the id, ascending, then the position in the text. Units of fewer than
-``least_words`` words are always kept.
+Rank is the id, ascending, then the position in the text. As passages, every line
+with a word is a unit; lines and paragraphs of fewer than ``least_words`` words are
+kept where they are the units themselves.
 
 Defined results: a null text is empty; a null id ranks before all others; rows that
 share an id count as one document for ranking, so equal rows all keep their units;
@@ -40,10 +41,13 @@ SENTENCE = re.compile(r"\S[^.!?]*+(?:[.!?]++(?!\s|$)[^.!?]*+)*+[.!?]*")
 
 
 def cut(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, stop, normalised) of each unit with enough words, by start; no span twice."""
+    """(start, stop, normalised) of each unit with enough words, by start; no span twice.
+
+    As passages, all lines with a word are units; least_words ends sentence runs only.
+    """
     for m in UNITS[unit].finditer(text):
         words = m[0].encode("utf-8", "surrogatepass").lower().split()
-        if len(words) < least_words:
+        if len(words) < (1 if unit == "passage" else least_words):
             continue
         yield m.start(), m.end(), b" ".join(words)
         if unit != "passage":

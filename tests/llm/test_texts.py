@@ -129,6 +129,12 @@ def test_passage_inside_longer_lines(spark):
     assert got[3] == "Something else.  Tail of the text."
 
 
+def test_short_lines_are_passages(spark):
+    df = spark.createDataFrame([(1, "All rights reserved\nown words"), (2, "other words\n ALL rights  reserved"), (3, "own words"), (4, " \n\n"), (5, " \n")], SCHEMA)
+    got = {r[0]: r["kept_text"] for r in op3_substrings.dedup_units(df, unit="passage").collect()}
+    assert got == {1: "All rights reserved\nown words", 2: "other words\n", 3: "", 4: " \n\n", 5: " \n"}
+
+
 def test_paragraphs(spark):
     para = "one two three four five six seven eight\nnine ten"
     df = spark.createDataFrame([(2, f"intro\n\n{para}\n \t\nend"), (1, para.upper())], SCHEMA)
