@@ -4,8 +4,9 @@ Candidates are found in every whole text by the base patterns and by patterns of
 further credential formats. Each candidate's value is hashed, and the hashes are
 counted over distinct repositories and distinct owners: a value seen under many of
 them is a widely copied example, one that stays with a single owner and looks
-random is taken as live. Base spans always stay; a span of a further format is
-added only if it is live.
+random is taken as live. The value of a PEM block is its body without white space,
+so the header that all keys share counts for nothing, and a header alone is no key.
+Base spans always stay; a span of a further format is added only if it is live.
 
 Defined results: a null text is empty; a null repository or owner counts as one of
 its own; repeated rows are each scanned and count once for frequency.
@@ -22,6 +23,9 @@ NAME = "op5_secret_ownership"
 ORACLE = None
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A block through its END line; without one, the header and the runs of base64 after it.
+PEM_END = r"-----END [A-Z ]{0,40}PRIVATE KEY-----"
+PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----((?:[^-]*+(?:-(?!----)[^-]*+)*+(?={PEM_END}))|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)*+)(?:{PEM_END})?"
 #: kind, pattern, group of the value, least length of the value, whether it is a
 #: base kind. A maximal run that is too short never hides a longer one, so least
 #: lengths of single-class runs are part of the pattern.
@@ -32,7 +36,7 @@ KINDS = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30, False),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, False),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, False),
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 20, False),
+    ("pem", PEM, 1, 1, False),
 )
 RANK = {kind: i for i, (kind, *_) in enumerate(KINDS)}
 
@@ -54,6 +58,7 @@ def candidates(text: Column) -> Column:
     def of(kind: str, pattern: str, group: int, least: int, base: bool) -> Column:
         def typed(s: Column) -> Column:
             value = F.regexp_extract(s["hit"], pattern, group) if group else s["hit"]
+            value = F.regexp_replace(value, r"\s|\\[nr]", "") if kind == "pem" else value  # one key, however its lines are broken
             return F.struct(s["start"].alias("start"), F.lit(RANK[kind]).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), value.alias("value"), F.lit(base).alias("base"))
 
         return F.filter(F.transform(match_spans(text, pattern), typed), lambda s: F.length(s["value"]) >= least)

@@ -103,6 +103,23 @@ def test_ownership_separates_copied_from_live(spark):
     assert got[21]["spans"] == "" and got[21]["n_copied"] == 1
 
 
+def test_pem_blocks_are_owned_by_their_body(spark):
+    body = lambda i: hashlib.sha512(str(i).encode()).hexdigest() + "/Qz+"
+    block = lambda b: f"-----BEGIN PRIVATE KEY-----\n{b[:64]}\n{b[64:]}\n-----END PRIVATE KEY-----"
+    docs = [(i, "key: " + block(body(i)), f"s{i}", f"o{i}") for i in range(20)] + [(20 + i, block(body("shared")).replace("\n", "\r\n" if i % 2 else "\n"), f"s{i}", f"o{i}") for i in range(9)]
+    docs += [(30, "-----BEGIN RSA PRIVATE KEY-----\n" + body(30)[:128] + "\nplain prose", "s0", "o0"), (31, "-----BEGIN PRIVATE KEY-----", "s0", "o0"), (32, block(body(32)) + "\n" + block(body(33)), "s0", "o0")]
+    docs += [(33, "-----BEGIN PRIVATE KEY-----\n" + "a1B-" * 50_000 + "\n-----END PRIVATE KEY-----", "s0", "o0")]
+    got = {r["doc_id"]: r for r in op5_secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string, owner string"), owner="owner").collect()}
+    pem = lambda i: [s for s in got[i]["secrets"] or () if s["kind"] == "pem"]
+    for i in range(20):
+        assert [(s["start"], s["end"], s["live"], s["repos"]) for s in pem(i)] == [(5, len(docs[i][1]), True, 1)]
+        assert f"pem:5:{len(docs[i][1])}" in got[i]["spans"].split(",")
+    for i in range(20, 29):
+        assert [(s["copied"], s["live"], s["repos"]) for s in pem(i)] == [(True, False, 9)]
+    assert [(s["end"], s["live"]) for s in pem(30)] == [(len(docs[29][1]) - 12, True)]
+    assert pem(31) == [] and [s["live"] for s in pem(32)] == [True, True] and len(pem(33)) == 1
+
+
 def test_pii_method_adds_surely_private_spans(spark):
     docs = [(i, f"tel +1 (234) 555-{1000 + i} mail: a{i}@b.com ip 10.2.3.{i}") for i in range(60)] + [(100 + i, f"phone (234) 555-{1000 + i}.") for i in range(20)]
     got = {r["doc_id"]: r for r in op10_pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
