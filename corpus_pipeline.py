@@ -9,6 +9,9 @@ lines            op6 removes lines that several documents share; n_chars follows
 near_duplicates  one document of each op7 component stays, similarity 0.8 or more
 decontamination  documents with an op9 match of a benchmark item go
 packing          op4 cuts what is left into sequences of 4096 tokens
+
+Rows are dropped by a key of their own, not by id: texts that share an id, or have
+none, stay or go each for itself.
 """
 
 from __future__ import annotations
@@ -22,11 +25,24 @@ from cadenza.llm.common import Scratch, ids, maybe_broadcast
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with _key, a long of each row's own in the order of doc_id, nulls first.
+
+    It is the id itself where no two rows share one; otherwise the rows are sorted
+    by id and hash of the text, numbered and saved.
+    """
+    docs = docs.select(*COLUMNS, ids("doc_id").alias("_key"))
+    if docs.groupBy("_key").count().filter("count > 1").isEmpty():
+        return docs
+    ordered = docs.orderBy("_key", F.xxhash64("text"), F.monotonically_increasing_id())
+    return Scratch(docs.sparkSession, name).save(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
 def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """docs whose id is not in rejected(doc_id); a short list is broadcast, a long one shuffled."""
+    """docs whose key is not in rejected(_key); a short list is broadcast, a long one shuffled."""
     scratch = Scratch(docs.sparkSession, name)
-    gone = scratch.save(rejected.select(ids("doc_id").alias("_gone")).distinct(), "rejected")
-    return docs.join(maybe_broadcast(gone), ids("doc_id") == F.col("_gone"), "left_anti")
+    gone = scratch.save(rejected.select(ids("_key").alias("_gone")).distinct(), "rejected")
+    return docs.join(maybe_broadcast(gone), ids("_key") == F.col("_gone"), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +56,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = op7_minhash.near_duplicates(docs, percent=80)
-    left = _without(docs, out.filter(~F.col("kept")), "near").select(*COLUMNS)
-    repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    docs = _keyed(docs, "near-keys")
+    out = op7_minhash.near_duplicates(docs, id_col="_key", percent=80)
+    return _without(docs, out.filter(~F.col("kept")), "near").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, op9_decontamination.contaminated(docs, benchmark), "leaks").select(*COLUMNS)
+    docs = _keyed(docs, "leak-keys")
+    return _without(docs, op9_decontamination.contaminated(docs, benchmark, id_col="_key"), "leaks").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,16 @@ def test_stages_pass_on_the_columns_of_documents(spark):
         docs = stage(spark, docs, DATA)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert docs.count() == 1
+
+
+def test_rows_that_share_an_id_go_each_for_itself(spark):
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(40))
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    rows = [(None, text("a")), (None, text("b")), (None, item), (5, text("c")), (5, text("d")), (6, text("c")), (7, text("a")), (8, text("e")), (8, text("e")), (9, item + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    want = [(None, text("a")), (None, text("b")), (None, item), (5, text("c")), (5, text("d")), (8, text("e"))]
+    order = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert order(near) == sorted(want, key=str)
+    clean = corpus_pipeline.decontamination(spark, docs, DATA)
+    assert order(clean) == sorted([r for r in rows if item not in r[1]], key=str)
