@@ -12,6 +12,13 @@ Runs from the same sentences are equal wherever they stand, so a passage is also
 found inside longer lines. Overlapping units that go are united. A sentence goes only
 where an earlier document, or an earlier place, has it too, so each stays somewhere.
 
+With ``window`` words given, every run of that many words or more is found as well,
+wherever it starts and ends, also across line ends. Each window of the text gives
+its least shingle of half that many words (winnowing), mostly the same as the next
+window's. Only windows whose least shingle stands elsewhere too are units, by their
+own 128-bit digests. A text that an earlier document has whole gives none: its
+lines go already, and it keeps their ends.
+
 Rank is the id, ascending, then the position in the text. As passages, every line
 with a word is a unit; lines and paragraphs of fewer than ``least_words`` words are
 kept where they are the units themselves.
@@ -26,17 +33,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import Scratch, ids, maybe_broadcast, null_id, slices, small
 from cadenza.llm.op6_lines import DIGEST, digest
+from cadenza.llm.op7_minhash import CHUNK, Hashes
 
 NAME = "op3_unit_hashing"
 ORACLE = None
 
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n](?:[^\n]|\n(?![\x20\t\r]*\n))*"), "passage": re.compile(r"[^\n]+")}
+WORD = re.compile(r"[^\x20\t\n\x0b\x0c\r]+")
+WINDOW = 50
 SENTENCE = re.compile(r"\S[^.!?]*+(?:[.!?]++(?!\s|$)[^.!?]*+)*+[.!?]*")
 
 
@@ -93,6 +104,95 @@ def unit_digests(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, tag long, start int, stop int, first boolean, h1 long, h2 long")
 
 
+def picked(words: list[bytes], window: int, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each window's least shingle, and the hashes of all shingles."""
+    k, n = window // 2, len(words) - window // 2 + 1
+    if len(words) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = w[:n].copy()
+    for i in range(1, k):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += w[i : i + n]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    near = np.lib.stride_tricks.sliding_window_view(h, window - k + 1)
+    least = [near[lo : lo + CHUNK].argmin(axis=1) + np.arange(lo, min(lo + CHUNK, len(near))) for lo in range(0, len(near), CHUNK)]
+    return np.concatenate(least), h.view(np.int64)
+
+
+def prints(docs: DataFrame, window: int) -> DataFrame:
+    """docs(id, tag, text) to (id, tag, pos, first, h), one row for each winnowed shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in slices(batches, 200):
+            found = []
+            for t in batch.column("text").to_pylist():
+                least, h = picked((t or "").encode("utf-8", "surrogatepass").lower().split(), window, hashes)
+                at = np.unique(least)
+                found.append((at, h[at]))
+            first = [np.zeros(len(h), bool) for _, h in found]
+            for f, (_, h) in zip(first, found):
+                f[np.unique(h, return_index=True)[1]] = True
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(h) for _, h in found]), pa.int32())
+            pos, h = (np.concatenate([x[j] for x in found]) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(rows), batch.column("tag").take(rows), pa.array(pos, pa.int32()), pa.array(np.concatenate(first)), pa.array(h, pa.int64())], names=["id", "tag", "pos", "first", "h"]
+            )
+
+    return docs.select("id", "tag", "text").mapInArrow(run, "id long, tag long, pos int, first boolean, h long")
+
+
+def window_digests(docs: DataFrame, window: int) -> DataFrame:
+    """docs(id, tag, text, at) to the rows of unit_digests for windows whose least shingle is in at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in slices(batches, 20):
+            at, start, stop, first, h1, h2 = [], [], [], [], [], []
+            for i, (text, shared) in enumerate(zip(batch.column("text").to_pylist(), batch.column("at").to_pylist())):
+                spans = [m.span() for m in WORD.finditer(text)]
+                words = text.encode("utf-8", "surrogatepass").lower().split()
+                least, _ = picked(words, window, hashes)
+                flat = b" ".join(words)
+                edge = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
+                seen: set[bytes] = set()
+                for s in np.flatnonzero(np.isin(least, shared)).tolist():
+                    a, b = pair = digest(flat[edge[s] : edge[s + window] - 1])
+                    at.append(i)
+                    start.append(spans[s][0])
+                    stop.append(spans[s + window - 1][1])
+                    first.append(pair not in seen)
+                    seen.add(pair)
+                    h1.append(a)
+                    h2.append(b)
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(rows), batch.column("tag").take(rows), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(first, pa.bool_()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
+                names=["id", "tag", "start", "stop", "first", "h1", "h2"],
+            )
+
+    return docs.select("id", "tag", "text", "at").mapInArrow(run, "id long, tag long, start int, stop int, first boolean, h1 long, h2 long")
+
+
+def shared_windows(rows: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """The window units of rows(id, tag, text), saved."""
+    whole = scratch.save(rows.select("id", "tag", F.sha2("text", 256).alias("sha")), "whole")
+    least = whole.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last")
+    copies = maybe_broadcast(scratch.save(whole.join(least, "sha").filter("id > least").select("id", "tag").distinct(), "copies"))
+    found = scratch.save(prints(rows, window).join(copies, ["id", "tag"], "left_anti"), "prints")
+    held = found.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("last"), F.bool_and("first").alias("once")).filter("least < last OR NOT once")
+    held = maybe_broadcast(scratch.save(held.select("h"), "held"))
+    marked = scratch.save(found.join(held, "h").groupBy("id", "tag").agg(F.collect_set("pos").alias("at")), "marked")
+    if small(marked) and (marked.agg(F.sum(F.size("at"))).first()[0] or 0) <= 2_000_000:  # both bounds: at most some 20 MB
+        marked = F.broadcast(marked)
+    out = scratch.save(window_digests(rows.join(marked, ["id", "tag"]), window), "windows")
+    scratch.drop("prints")
+    return out
+
+
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping spans made one, in order."""
     out: list[tuple[int, int]] = []
@@ -121,20 +221,25 @@ def without(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text", "spans").mapInArrow(run, "id long, removed array<struct<start:int,stop:int>>, kept_text string")
 
 
-def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least_words: int = 8, scratch: Scratch | None = None) -> DataFrame:
+def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least_words: int = 8, window: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """Every row with n_removed, removed (array<struct<start, stop>>, original offsets) and kept_text.
 
     kept_text is the original without the removed spans; a removed line leaves its
-    line end.
+    line end. window, for passages, is the number of words from which any repeated
+    run goes; 0 looks for none.
     """
     scratch = scratch or Scratch(docs.sparkSession, "units")
     rows = docs.select(ids(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     units = scratch.save(unit_digests(rows, unit, least_words), "units")
+    if window:
+        units = units.unionByName(shared_windows(rows, window, scratch))
     owners = units.filter("first").groupBy(*DIGEST).agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select(*DIGEST, "owner")
     owners = maybe_broadcast(scratch.save(owners, "owners"))
     # later documents lose the unit; within a document, all but its first occurrence
     elsewhere = units.join(owners, DIGEST, "left").filter("id <> owner OR NOT first")
     gone = scratch.save(elsewhere.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "gone")
+    for name in ("units", "windows"):
+        scratch.drop(name)
     if small(gone) and (gone.agg(F.sum(F.size("spans"))).first()[0] or 0) <= 1_000_000:  # both bounds: at most some 20 MB
         gone = F.broadcast(gone)
     out = without(rows.join(gone, ["id", "tag"], "left"))
@@ -142,7 +247,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, by passages."""
-    out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), unit="passage")
+    """All documents, by passages and windows of 50 words."""
+    out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), unit="passage", window=WINDOW)
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return out.select("doc_id", "n_removed", spans.alias("removed_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
