@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch
+from cadenza.llm.common import Scratch, slices
 
 NAME = "op4_concatenate_and_cut"
 ORACLE = None
@@ -37,8 +37,8 @@ ORACLE = None
 PLAIN = r"[\t\n\r\x20-\x7E\u00A1-\u012F\u0132-\u0148\u014A-\u017E\u2013\u2014\u2018-\u201E\u2026\u20AC]*"
 #: Fixed value: the splitting pattern of the vocabulary file.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words that a worker remembers; beyond it, those met once since the last time go.
-REMEMBERED = 600_000
+#: Words that a worker remembers, some 300 bytes each; beyond it, the less used half goes.
+REMEMBERED = 400_000
 
 
 class Numbers(dict):
@@ -103,17 +103,15 @@ class Encoder:
         self.pool = np.concatenate([self.pool, np.fromiter((i for x in found for i in x), np.int32)])
 
     def _forget(self) -> None:
-        """Keeps the words met more than once since the last time, or none if those are many."""
-        kept = np.flatnonzero(self.uses > 1)
-        if len(kept) > REMEMBERED // 2:
-            kept = kept[:0]
+        """Keeps the half of the words that were met most since the last time."""
+        kept = np.sort(np.argsort(self.uses, kind="stable")[-(REMEMBERED // 2) :])
         lo, n = self.starts[kept], self.starts[kept + 1] - self.starts[kept]
-        pool = self._gather(lo, n)
-        wanted, known = set(kept.tolist()), Numbers()
-        for word, number in self.known.items():  # in order of numbers
-            if number in wanted:
-                known[word] = len(known)
+        pool, uses = self._gather(lo, n), self.uses[kept] // 2
+        order = list(self.known)  # by number
+        known = Numbers()
+        known.update(zip(map(order.__getitem__, kept.tolist()), range(len(kept))))
         self._keep(known, np.concatenate([[0], np.cumsum(n)]), pool)
+        self.uses = uses
 
     def _gather(self, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
         return self.pool[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
@@ -157,7 +155,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, at = _encoder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             lo = 0
             while lo < len(texts):

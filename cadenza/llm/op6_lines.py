@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SPACES, Scratch, ids, maybe_broadcast, null_id, small
+from cadenza.llm.common import SPACES, Scratch, ids, maybe_broadcast, null_id, slices, small
 
 NAME = "op6_levelled_line_runs"
 
@@ -46,7 +46,7 @@ def line_digests(docs: DataFrame, least: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, pos, first, h1, h2 = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 seen: set[bytes] = set()

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, ids, maybe_broadcast, null_id
+from cadenza.llm.common import Hashes, Scratch, ids, maybe_broadcast, null_id
 from cadenza.llm.components import connected_components
 
 NAME = "op7_minhash_components"
@@ -49,18 +49,6 @@ CHUNK = 1 << 16
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
 
 
-class Hashes(dict):
-    """64-bit hashes of words; starts anew beyond a size."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def shingles(text: str | None, hashes: Hashes, k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingles of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII space only

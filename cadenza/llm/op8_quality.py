@@ -17,28 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import Hashes, slices
+
 NAME = "op8_suffix_repetition"
 
 WINDOW, LEAST_WORDS, SHARE, LONGEST = 8, 20, 30, 100
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """64-bit hashes of words; starts anew beyond a size."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def suffix_array(codes: np.ndarray) -> np.ndarray:
     """Order of the suffixes of an array of small integers, by prefix doubling."""
     n = len(codes)
@@ -137,7 +126,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.array([measure(t, hashes, window) for t in batch.column("_text").to_pylist()], np.int64).reshape(-1, len(FIELDS))
             columns = [batch.column(n) for n in fields] + [pa.array(rows[:, i]) for i in range(len(FIELDS))]
             yield pa.RecordBatch.from_arrays(columns, names=[*fields, *FIELDS])
