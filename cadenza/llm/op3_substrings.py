@@ -1,36 +1,34 @@
 """Substring dedup by line or paragraph hashing.
 
-Every text is cut into units, which are normalised (ASCII lower case, white space
-runs to one space, ends stripped) and hashed to 128 bits. Digests are grouped over
-the corpus with a map-side minimum, so no group is collected; the earliest ranked
-occurrence of each digest is kept and all others are removed. What is removed is
-given by its offsets in the original.
-
-Units are lines, paragraphs between empty lines, or passages: a line as a whole and,
-from each sentence in it, the run of sentences that first has ``least_words`` words.
-Runs from the same sentences are equal wherever they stand, so a passage is also
-found inside longer lines. Overlapping units that go are united. A sentence goes only
-where an earlier document, or an earlier place, has it too, so each stays somewhere.
-
-With ``window`` words given, every run of that many words or more is found as well,
-wherever it starts and ends, also across line ends. Each window of the text gives
-its least shingle of half that many words (winnowing), mostly the same as the next
-window's. Only windows whose least shingle stands elsewhere too are units, by their
-own 128-bit digests. A text that an earlier document has whole gives none: its
-lines go already, and it keeps their ends.
-
-Rank is the id, ascending, then the position in the text. As passages, every line
-with a word is a unit; lines and paragraphs of fewer than ``least_words`` words are
-kept where they are the units themselves.
+Every text is cut into units, which are normalised (A-Z lower-cased, words with one
+space between) and hashed to 128 bits. Digests are grouped over the corpus with a
+map-side minimum, so no group is collected; the earliest ranked occurrence of each
+digest is kept and all others are removed. What is removed is given by its offsets
+in the original.
+
+Units are lines, or paragraphs between blank lines, of at least ``least_words``
+words, and each whole text of any length. With ``passage`` words given, passages
+inside units are found as well, wherever they begin and end: a text is also cut at
+content-defined places, where a shingle of 8 words has the least hash of w shingles
+about it, and the words from one such place to the end of the next one's shingle are
+a unit. Equal runs are cut alike wherever they stand. With w = (passage -
+least_words) / 2 + 1, units of the same cuts cover at least ``least_words`` words of
+any run of ``passage`` words. Cuts that go are united, and only spans of at least
+``least_words`` words are removed, so a run loses all but fewer than w words at
+either end.
+
+Rank is the id, ascending, then the position in the text; each unit stays where it
+has its least rank. Digests that very many units share are few, at most HOT_SHARE of
+a corpus whatever its size, and are joined by broadcast; all others by shuffle.
 
 Defined results: a null text is empty; a null id ranks before all others; rows that
 share an id count as one document for ranking, so equal rows all keep their units;
-a unit repeated inside one document is removed after its first occurrence.
+a unit repeated inside one document is removed after its first occurrence; a line
+or paragraph of fewer than ``least_words`` words stays unless its whole text goes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,159 +36,112 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, ids, maybe_broadcast, null_id, slices, small
-from cadenza.llm.op6_lines import DIGEST, digest
-from cadenza.llm.op7_minhash import CHUNK, Hashes
+from cadenza.llm.common import Scratch, ids, null_id, slices
+from cadenza.llm.wordcodes import Runs, Words, parts
 
 NAME = "op3_unit_hashing"
 ORACLE = None
 
-UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n](?:[^\n]|\n(?![\x20\t\r]*\n))*"), "passage": re.compile(r"[^\n]+")}
-WORD = re.compile(r"[^\x20\t\n\x0b\x0c\r]+")
-WINDOW = 50
-SENTENCE = re.compile(r"\S[^.!?]*+(?:[.!?]++(?!\s|$)[^.!?]*+)*+[.!?]*")
-
-
-def cut(text: str, unit: str, least_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, stop, normalised) of each unit with enough words, by start; no span twice.
-
-    As passages, all lines with a word are units; least_words ends sentence runs only.
+#: Line ends between two words that end a unit.
+UNITS = {"line": 1, "paragraph": 2}
+SHINGLE = 8
+#: Least words of a unit, and of a run that is found wherever it stands.
+LEAST_WORDS, PASSAGE = 16, 50
+#: A digest is hot if more than one in HOT_SHARE units has it, so fewer than that many are.
+HOT_SHARE = 100_000
+DIGEST = ["h1", "h2"]
+_LINE_END = np.uint8(10)
+
+
+def line_units(words: Words, breaks: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last (exclusive) word of each unit with enough words, and its bytes with the ends of its lines."""
+    ends = np.flatnonzero(words.data == _LINE_END)
+    before = np.searchsorted(ends, words.start)
+    opens = np.append(True, (words.text[1:] != words.text[:-1]) | (before[1:] - before[:-1] >= breaks))
+    lo = np.flatnonzero(opens)
+    hi = np.append(lo[1:], len(words))
+    enough = hi - lo >= least_words
+    lo, hi = lo[enough], hi[enough]
+    around = np.concatenate([[-1], ends, [len(words.data)]])
+    start = np.maximum(around[before[lo]] + 1, words.edges[words.text[lo]])
+    stop = np.minimum(around[before[hi - 1] + 1], words.edges[words.text[lo] + 1])
+    return lo, hi, start, stop
+
+
+def shingle_values(runs: Runs, n: int) -> np.ndarray:
+    """The hash of the shingle that begins at each word; the last few have none."""
+    at = np.arange(max(0, n - SHINGLE + 1))
+    return runs.digest(at, at + SHINGLE, 0)
+
+
+def cuts(words: Words, values: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) word of each content-defined unit.
+
+    A shingle is a cut if it is the least of some w neighbours in its text.
     """
-    for m in UNITS[unit].finditer(text):
-        words = m[0].encode("utf-8", "surrogatepass").lower().split()
-        if len(words) < (1 if unit == "passage" else least_words):
-            continue
-        yield m.start(), m.end(), b" ".join(words)
-        if unit != "passage":
-            continue
-        parts = [(m.start() + s.start(), m.start() + s.end(), s[0].encode("utf-8", "surrogatepass").lower().split()) for s in SENTENCE.finditer(m[0])]
-        for i, (start, _, _) in enumerate(parts):
-            run: list[bytes] = []
-            for _, stop, more in parts[i:]:
-                run += more
-                if len(run) >= least_words:
-                    if len(run) < len(words):
-                        yield start, stop, b" ".join(run)
-                    break
-
-
-def unit_digests(docs: DataFrame, unit: str, least_words: int) -> DataFrame:
-    """docs(id, tag, text) to (id, tag, start, stop, first, h1, h2), one row for each unit.
-
-    Offsets are code points, stop exclusive; first marks a digest's first unit in
-    its document.
+    none = np.zeros(0, np.int64)
+    n = len(values) - w + 1
+    if n <= 0:
+        return none, none
+    least, reach = values, 1
+    while reach < w:  # minima of 2, 4, ... and then w neighbours
+        step = min(reach, w - reach)
+        least, reach = np.minimum(least[: len(least) - step], least[step:]), reach + step
+    within = words.text[:n] == words.text[n_last(n, w)]
+    least = np.where(within, least, np.uint64(0))
+    # the greatest of those minima over the windows that hold a shingle is its own value if it is a cut
+    padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
+    most, reach = padded, 1
+    while reach < w:
+        step = min(reach, w - reach)
+        most, reach = np.maximum(most[: len(most) - step], most[step:]), reach + step
+    at = np.flatnonzero(most == values)
+    same = words.text[at[1:]] == words.text[at[:-1]]
+    return at[:-1][same], at[1:][same] + SHINGLE
+
+
+def n_last(n: int, w: int) -> slice:
+    """The last word of each window of w shingles, for the first n windows."""
+    return slice(w + SHINGLE - 2, w + SHINGLE - 2 + n)
+
+
+def unit_digests(docs: DataFrame, unit: str, least_words: int, passage: int) -> DataFrame:
+    """docs(id, tag, text) to (id, tag, start, stop, soft, first, h1, h2), one row for each unit.
+
+    Offsets are code points, stop exclusive; soft marks units of content-defined
+    cuts, first a digest's first unit in its document.
     """
+    w = (passage - least_words) // 2 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            at, start, stop, first, h1, h2 = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                seen: set[bytes] = set()
-                for lo, hi, key in cut(text or "", unit, least_words):
-                    a, b = digest(key)
-                    at.append(i)
-                    start.append(lo)
-                    stop.append(hi)
-                    first.append(key not in seen)
-                    seen.add(key)
-                    h1.append(a)
-                    h2.append(b)
-            rows = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(rows), batch.column("tag").take(rows), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(first, pa.bool_()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
-                names=["id", "tag", "start", "stop", "first", "h1", "h2"],
-            )
-
-    return docs.mapInArrow(run, "id long, tag long, start int, stop int, first boolean, h1 long, h2 long")
-
-
-def picked(words: list[bytes], window: int, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each window's least shingle, and the hashes of all shingles."""
-    k, n = window // 2, len(words) - window // 2 + 1
-    if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    h = w[:n].copy()
-    for i in range(1, k):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += w[i : i + n]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(29)
-    near = np.lib.stride_tricks.sliding_window_view(h, window - k + 1)
-    least = [near[lo : lo + CHUNK].argmin(axis=1) + np.arange(lo, min(lo + CHUNK, len(near))) for lo in range(0, len(near), CHUNK)]
-    return np.concatenate(least), h.view(np.int64)
-
-
-def prints(docs: DataFrame, window: int) -> DataFrame:
-    """docs(id, tag, text) to (id, tag, pos, first, h), one row for each winnowed shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in slices(batches, 200):
-            found = []
-            for t in batch.column("text").to_pylist():
-                least, h = picked((t or "").encode("utf-8", "surrogatepass").lower().split(), window, hashes)
-                at = np.unique(least)
-                found.append((at, h[at]))
-            first = [np.zeros(len(h), bool) for _, h in found]
-            for f, (_, h) in zip(first, found):
-                f[np.unique(h, return_index=True)[1]] = True
-            rows = pa.array(np.repeat(np.arange(len(found)), [len(h) for _, h in found]), pa.int32())
-            pos, h = (np.concatenate([x[j] for x in found]) for j in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(rows), batch.column("tag").take(rows), pa.array(pos, pa.int32()), pa.array(np.concatenate(first)), pa.array(h, pa.int64())], names=["id", "tag", "pos", "first", "h"]
-            )
-
-    return docs.select("id", "tag", "text").mapInArrow(run, "id long, tag long, pos int, first boolean, h long")
-
-
-def window_digests(docs: DataFrame, window: int) -> DataFrame:
-    """docs(id, tag, text, at) to the rows of unit_digests for windows whose least shingle is in at."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in slices(batches, 20):
-            at, start, stop, first, h1, h2 = [], [], [], [], [], []
-            for i, (text, shared) in enumerate(zip(batch.column("text").to_pylist(), batch.column("at").to_pylist())):
-                spans = [m.span() for m in WORD.finditer(text)]
-                words = text.encode("utf-8", "surrogatepass").lower().split()
-                least, _ = picked(words, window, hashes)
-                flat = b" ".join(words)
-                edge = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
-                seen: set[bytes] = set()
-                for s in np.flatnonzero(np.isin(least, shared)).tolist():
-                    a, b = pair = digest(flat[edge[s] : edge[s + window] - 1])
-                    at.append(i)
-                    start.append(spans[s][0])
-                    stop.append(spans[s + window - 1][1])
-                    first.append(pair not in seen)
-                    seen.add(pair)
-                    h1.append(a)
-                    h2.append(b)
-            rows = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(rows), batch.column("tag").take(rows), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(first, pa.bool_()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
-                names=["id", "tag", "start", "stop", "first", "h1", "h2"],
-            )
-
-    return docs.select("id", "tag", "text", "at").mapInArrow(run, "id long, tag long, start int, stop int, first boolean, h1 long, h2 long")
-
-
-def shared_windows(rows: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """The window units of rows(id, tag, text), saved."""
-    whole = scratch.save(rows.select("id", "tag", F.sha2("text", 256).alias("sha")), "whole")
-    least = whole.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last")
-    copies = maybe_broadcast(scratch.save(whole.join(least, "sha").filter("id > least").select("id", "tag").distinct(), "copies"))
-    found = scratch.save(prints(rows, window).join(copies, ["id", "tag"], "left_anti"), "prints")
-    held = found.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("last"), F.bool_and("first").alias("once")).filter("least < last OR NOT once")
-    held = maybe_broadcast(scratch.save(held.select("h"), "held"))
-    marked = scratch.save(found.join(held, "h").groupBy("id", "tag").agg(F.collect_set("pos").alias("at")), "marked")
-    if small(marked) and (marked.agg(F.sum(F.size("at"))).first()[0] or 0) <= 2_000_000:  # both bounds: at most some 20 MB
-        marked = F.broadcast(marked)
-    out = scratch.save(window_digests(rows.join(marked, ["id", "tag"]), window), "windows")
-    scratch.drop("prints")
-    return out
+        for batch in batches:
+            for part in parts(batch, "text"):
+                words = Words(part.column("text"))
+                runs = Runs(words)
+                lo, hi, start, stop = line_units(words, UNITS[unit], least_words)
+                kinds = [(lo, hi, start, stop, 1)]
+                first = np.flatnonzero(np.append(True, words.text[1:] != words.text[:-1])) if len(words) else np.zeros(0, np.int64)
+                own = words.text[first]
+                kinds.append((first, np.append(first[1:], len(words))[: len(first)], words.edges[own], words.edges[own + 1], 2))
+                if passage:
+                    lo, hi = cuts(words, shingle_values(runs, len(words)), w)
+                    kinds.append((lo, hi, words.start[lo], words.stop[hi - 1], 3))
+                at = np.concatenate([words.text[k[0]] for k in kinds])
+                begin, end = (np.concatenate([k[j] for k in kinds]) for j in (2, 3))
+                soft = np.repeat([k[4] == 3 for k in kinds], [len(k[0]) for k in kinds])
+                h1, h2 = (np.concatenate([runs.digest(k[0], k[1], k[4], which) for k in kinds]) for which in (0, 1))
+                order = np.lexsort((begin, h2, h1, at))
+                again = (at[order][1:] == at[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+                new = np.ones(len(at), bool)
+                new[order[1:][again]] = False
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(rows), part.column("tag").take(rows), pa.array(words.characters(begin, at), pa.int32()), pa.array(words.characters(end, at), pa.int32()),
+                     pa.array(soft, pa.bool_()), pa.array(new, pa.bool_()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                    names=["id", "tag", "start", "stop", "soft", "first", "h1", "h2"],
+                )
+
+    return docs.mapInArrow(run, "id long, tag long, start int, stop int, soft boolean, first boolean, h1 long, h2 long")
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -204,50 +155,64 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without(docs: DataFrame) -> DataFrame:
+def removed(text: str, spans: list[dict], least_words: int) -> list[tuple[int, int]]:
+    """The spans of one text that go: all hard ones, and united soft ones with enough words."""
+    soft = united([(s["start"], s["stop"]) for s in spans if s["soft"]])
+    long = [(a, b) for a, b in soft if len(text[a:b].encode("utf-8", "surrogatepass").split()) >= least_words]
+    return united([(s["start"], s["stop"]) for s in spans if not s["soft"]] + long)
+
+
+def without(docs: DataFrame, least_words: int) -> DataFrame:
     """docs(id, text, spans) to (id, removed, kept_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            removed, kept = [], []
+            gone, kept = [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                text, gone = text or "", united([(s["start"], s["stop"]) for s in spans or ()])
-                edges = [0, *[x for s in gone for x in s], len(text)]
-                kept.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                removed.append([{"start": a, "stop": b} for a, b in gone])
+                text = text or ""
+                cut = removed(text, spans, least_words) if spans else []
+                edges = [0, *[x for s in cut for x in s], len(text)]
+                kept.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if cut else text)
+                gone.append([{"start": a, "stop": b} for a, b in cut])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(removed, kind), pa.array(kept, pa.string())], names=["id", "removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(gone, kind), pa.array(kept, pa.string())], names=["id", "removed", "kept_text"])
 
     return docs.select("id", "text", "spans").mapInArrow(run, "id long, removed array<struct<start:int,stop:int>>, kept_text string")
 
 
-def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least_words: int = 8, window: int = 0, scratch: Scratch | None = None) -> DataFrame:
+def elsewhere(units: DataFrame, scratch: Scratch) -> DataFrame:
+    """The (saved) units that an earlier document holds too."""
+    firsts = units.filter("first").groupBy(*DIGEST).agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count("*").alias("n"))
+    owners = scratch.save(firsts.filter("owner < last"), "owners")
+    hot = F.col("n") > units.count() // HOT_SHARE + 1000
+    slim = units.select("id", "tag", "start", "stop", "soft", *DIGEST)
+    hottest = F.broadcast(owners.filter(hot).select(*DIGEST, "owner"))  # fewer than HOT_SHARE rows
+    common = slim.join(hottest, DIGEST).filter("id <> owner")
+    others = slim.join(hottest.select(*DIGEST), DIGEST, "left_anti").join(owners.filter(~hot).select(*DIGEST, "owner").hint("shuffle_hash"), DIGEST).filter("id <> owner")
+    return common.unionByName(others)
+
+
+def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least_words: int = LEAST_WORDS, passage: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """Every row with n_removed, removed (array<struct<start, stop>>, original offsets) and kept_text.
 
     kept_text is the original without the removed spans; a removed line leaves its
-    line end. window, for passages, is the number of words from which any repeated
-    run goes; 0 looks for none.
+    line end. passage is the number of words from which any repeated run is found;
+    0 looks for none.
     """
     scratch = scratch or Scratch(docs.sparkSession, "units")
     rows = docs.select(ids(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    units = scratch.save(unit_digests(rows, unit, least_words), "units")
-    if window:
-        units = units.unionByName(shared_windows(rows, window, scratch))
-    owners = units.filter("first").groupBy(*DIGEST).agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select(*DIGEST, "owner")
-    owners = maybe_broadcast(scratch.save(owners, "owners"))
+    units = scratch.save(unit_digests(rows, unit, least_words, passage), "units")
     # later documents lose the unit; within a document, all but its first occurrence
-    elsewhere = units.join(owners, DIGEST, "left").filter("id <> owner OR NOT first")
-    gone = scratch.save(elsewhere.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "gone")
-    for name in ("units", "windows"):
-        scratch.drop(name)
-    if small(gone) and (gone.agg(F.sum(F.size("spans"))).first()[0] or 0) <= 1_000_000:  # both bounds: at most some 20 MB
-        gone = F.broadcast(gone)
-    out = without(rows.join(gone, ["id", "tag"], "left"))
+    span = ["id", "tag", F.struct("start", "stop", "soft").alias("span")]
+    lost = elsewhere(units, scratch).select(*span).unionByName(units.filter("NOT first").select(*span))
+    gone = scratch.save(lost.groupBy("id", "tag").agg(F.collect_set("span").alias("spans")), "gone")
+    scratch.drop("units")
+    out = without(rows.join(gone.hint("shuffle_hash"), ["id", "tag"], "left"), least_words)
     return out.select(null_id("id").alias(id_col), F.size("removed").cast("long").alias("n_removed"), "removed", "kept_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, by passages and windows of 50 words."""
-    out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), unit="passage", window=WINDOW)
+    """All documents, by lines of 16 words or more and passages of 50."""
+    out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), passage=PASSAGE)
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return out.select("doc_id", "n_removed", spans.alias("removed_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -1,4 +1,4 @@
-"""op3, op4, op6 and op8 against plain Python on odd rows and on the small documents."""
+"""op4, op6 and op8 against plain Python on odd rows and on the small documents."""
 
 import hashlib
 import zlib
@@ -75,110 +75,6 @@ def test_runs_stay_levelled(spark):
     assert [r["h1"] for r in fresh] == [99]
 
 
-def test_units(docs):
-    rows, df = docs
-    low = lambda i: -(2**63) if i is None else i
-    owner = {}
-    for i, t in rows:
-        for x in (t or "").split("\n"):
-            w = words(lower(x))
-            if len(w) >= 8:
-                owner[tuple(w)] = min(low(i), owner.get(tuple(w), low(i)))
-    want = []
-    for i, t in rows:
-        at, seen, cut, kept = 0, set(), [], []
-        for x in (t or "").split("\n"):
-            w = tuple(words(lower(x)))
-            gone = len(w) >= 8 and (owner[w] != low(i) or w in seen)
-            seen.add(w)
-            if gone:
-                cut.append((at, at + len(x)))
-            kept.append("" if gone else x)
-            at += len(x) + 1
-        want.append((i, len(cut), str(cut), sha("\n".join(kept))))
-    got = [(r[0], r[1], str([tuple(s) for s in r[2]]), sha(r[3])) for r in op3_substrings.dedup_units(df).collect()]
-    assert order(got) == order(want)
-
-
-def test_passages(docs):
-    """Against a plain version with overlapping spans."""
-    rows, df = docs
-    low = lambda i: -(2**63) if i is None else i
-    units = [(low(i), list(op3_substrings.cut(t or "", "passage", 8))) for i, t in rows]
-    owner = {}
-    for i, us in units:
-        for _, _, k in us:
-            owner[k] = min(i, owner.get(k, i))
-    want = []
-    for (i, t), (j, us) in zip(rows, units):
-        gone, seen = np.zeros(len(t or ""), bool), set()
-        for a, b, k in us:
-            if owner[k] != j or k in seen:
-                gone[a:b] = True
-            seen.add(k)
-        want.append((i, int(gone.sum()), sha("".join(c for c, g in zip(t or "", gone) if not g))))
-    got = [(r[0], sum(s["stop"] - s["start"] for s in r[2]), sha(r[3])) for r in op3_substrings.dedup_units(df, unit="passage").collect()]
-    assert order(got) == order(want)
-
-
-def test_passage_inside_longer_lines(spark):
-    passage = "The first sentence has seven whole words. Short one. Then a longer sentence with exactly ten words follows here."
-    df = spark.createDataFrame([(1, f"Own beginning of this text. {passage} Own end."), (2, f"{passage}\nanother line"), (3, f"Something else. {passage} Tail of the text."), (4, passage)], SCHEMA)
-    got = {r[0]: r["kept_text"] for r in op3_substrings.dedup_units(df, unit="passage").collect()}
-    assert passage in got[1] and got[2] == "\nanother line" and got[4] == ""
-    assert got[3] == "Something else.  Tail of the text."
-
-
-@pytest.mark.parametrize("window", [50, 6])
-def test_windows(docs, window):
-    """Against all windows of all texts, besides the passages."""
-    rows, df = docs
-    low = lambda i: -(2**63) if i is None else i
-    units, earliest = [], {}
-    for i, t in rows:
-        earliest[t] = min(low(i), earliest.get(t, low(i)))
-    for i, t in rows:
-        spans, w = [m.span() for m in op3_substrings.WORD.finditer(t or "")], words(lower(t or ""))
-        mine = [(spans[p][0], spans[p + window - 1][1], b" ".join(w[p : p + window])) for p in range(len(w) - window + 1) if earliest[t] == low(i)]
-        units.append((low(i), [list(op3_substrings.cut(t or "", "passage", 8)), mine]))
-    owner = {}
-    for i, kinds in units:
-        for _, _, k in [u for us in kinds for u in us]:
-            owner[k] = min(i, owner.get(k, i))
-    want = []
-    for (i, t), (j, kinds) in zip(rows, units):
-        gone = np.zeros(len(t or ""), bool)
-        for us in kinds:
-            seen = set()
-            for a, b, k in us:
-                if owner[k] != j or k in seen:
-                    gone[a:b] = True
-                seen.add(k)
-        want.append((i, int(gone.sum()), sha("".join(c for c, g in zip(t or "", gone) if not g))))
-    got = [(r[0], sum(s["stop"] - s["start"] for s in r[2]), sha(r[3])) for r in op3_substrings.dedup_units(df, unit="passage", window=window).collect()]
-    assert order(got) == order(want)
-
-
-def test_run_that_begins_and_ends_in_mid_sentence(spark):
-    run = " ".join(f"common{i}" for i in range(50))
-    df = spark.createDataFrame([(1, f"one beginning {run} goes on"), (2, f"other text {run.replace('common9 ', 'common9' + chr(10))} ends here"), (3, f"short {run[:300]} tail")], SCHEMA)
-    got = {r[0]: r["kept_text"] for r in op3_substrings.dedup_units(df, unit="passage", window=50).collect()}
-    assert run in got[1] and got[2] == "other text  ends here" and run[:300] in got[3]
-
-
-def test_short_lines_are_passages(spark):
-    df = spark.createDataFrame([(1, "All rights reserved\nown words"), (2, "other words\n ALL rights  reserved"), (3, "own words"), (4, " \n\n"), (5, " \n")], SCHEMA)
-    got = {r[0]: r["kept_text"] for r in op3_substrings.dedup_units(df, unit="passage").collect()}
-    assert got == {1: "All rights reserved\nown words", 2: "other words\n", 3: "", 4: " \n\n", 5: " \n"}
-
-
-def test_paragraphs(spark):
-    para = "one two three four five six seven eight\nnine ten"
-    df = spark.createDataFrame([(2, f"intro\n\n{para}\n \t\nend"), (1, para.upper())], SCHEMA)
-    got = {r[0]: r for r in op3_substrings.dedup_units(df, unit="paragraph").collect()}
-    assert got[1][1] == 0 and [tuple(s) for s in got[2][2]] == [(7, 7 + len(para))]
-
-
 def pack(df, window=4096):
     return op4_packing.pack(df, op4_packing.vocabulary(), window=window).collect()
 
