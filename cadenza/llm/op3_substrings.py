@@ -188,7 +188,7 @@ def elsewhere(units: DataFrame, scratch: Scratch) -> DataFrame:
     slim = units.select("id", "tag", "start", "stop", "soft", *DIGEST)
     hottest = F.broadcast(owners.filter(hot).select(*DIGEST, "owner"))  # fewer than HOT_SHARE rows
     common = slim.join(hottest, DIGEST).filter("id <> owner")
-    others = slim.join(hottest.select(*DIGEST), DIGEST, "left_anti").join(owners.filter(~hot).select(*DIGEST, "owner").hint("shuffle_hash"), DIGEST).filter("id <> owner")
+    others = slim.join(hottest.select(*DIGEST), DIGEST, "left_anti").join(owners.filter(~hot).select(*DIGEST, "owner").hint("merge"), DIGEST).filter("id <> owner")
     return common.unionByName(others)
 
 
@@ -207,7 +207,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = elsewhere(units, scratch).select(*span).unionByName(units.filter("NOT first").select(*span))
     gone = scratch.save(lost.groupBy("id", "tag").agg(F.collect_set("span").alias("spans")), "gone")
     scratch.drop("units")
-    out = without(rows.join(gone.hint("shuffle_hash"), ["id", "tag"], "left"), least_words)
+    out = without(rows.join(gone.hint("merge"), ["id", "tag"], "left"), least_words)
     return out.select(null_id("id").alias(id_col), F.size("removed").cast("long").alias("n_removed"), "removed", "kept_text")
 
 
