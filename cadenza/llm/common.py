@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import xxhash
@@ -38,13 +39,25 @@ class Scratch:
             base = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         self.root = f"{base}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Writes df once and returns what was written, without its lineage."""
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """Writes df once and returns what was written, without its lineage; by names a column that parts the files."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).parquet(path, partitionBy=by)
         schema = StructType([StructField(f.name, f.dataType, True) for f in df.schema])
         return self.spark.read.schema(schema).parquet(path)
 
+    def save_sorted(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+        """save(), bucketed and sorted by the keys; read back, the table keeps both.
+
+        The catalog entry serves only to make the DataFrame and is removed at once.
+        """
+        table = f"cadenza_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+        out = self.spark.read.table(table)
+        out.schema  # noqa: B018 (resolves the table before its entry goes)
+        self.spark.sql(f"DROP TABLE {table}")
+        return out
+
     def drop(self, name: str) -> None:
         """Removes a table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
@@ -64,6 +77,27 @@ class Hashes(dict):
         return h
 
 
+@contextmanager
+def in_order(spark: SparkSession):
+    """While it is open, scans of sorted buckets count as sorted.
+
+    Unions of bucketed tables are told to make no claim of their partitioning: with
+    it, Spark 4.1 leaves out a shuffle but may read the tables without their buckets.
+    """
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.unionOutputPartitioning": "false"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most that many rows, so a worker's lists stay short."""
     for batch in batches:

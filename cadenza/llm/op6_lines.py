@@ -1,14 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of line digests, sorted inside its partitions, with the number of
+A run is a table of line digests, bucketed and sorted by digest, with the number of
 documents that hold each line and the largest of their ids. A batch's own digests
-are aggregated and merge-joined against the runs: digests that no run has become a
-new run of level 0, the others an overlay with their totals so far. When a level is
-full its runs are merged into one of the next level, so a batch meets a number of
-runs that grows with the logarithm of the batches.
+are aggregated and merge-joined against the runs, which stay where they are: those
+that no run holds are new, the others are marked as seen and carry what the batch
+adds to their count. Both become a run of level 0. When a level is full its runs are
+summed into one of the next level, so a batch meets a number of runs that grows with
+the logarithm of the batches, and a row is rewritten once a level.
 
-After the last batch a line's fate is known: digests held by too few documents are
-dropped from view, the rest name the document that keeps the line.
+After the last batch the runs are summed once more and a line's fate is known:
+digests held by too few documents are dropped from view, the rest name the document
+that keeps the line.
 
 Defined results: a null or empty text is one empty line; a null id counts as one
 document below all others; rows that share an id count as one document, and each
@@ -25,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SPACES, Scratch, ids, maybe_broadcast, null_id, slices, small
+from cadenza.llm.common import SPACES, Scratch, ids, in_order, maybe_broadcast, null_id, slices, small
 
 NAME = "op6_levelled_line_runs"
 
 DIGEST = ["h1", "h2"]
+#: Batches of the query: three runs make one of the next level, so nine fill two levels.
+BATCHES = 9
 _LONG = 1 << 63
 
 
@@ -71,41 +75,39 @@ def line_digests(docs: DataFrame, least: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs (h1, h2, n, top): digest, number of documents, largest id."""
+    """Levelled runs (h1, h2, n, top, seen): digest, its documents of those batches, their largest id.
 
-    def __init__(self, scratch: Scratch, fanout: int = 4):
+    seen marks digests that an older run holds already. A run is bucketed and sorted
+    by digest, so the joins with it move and sort the new batch alone, however much
+    the runs hold.
+    """
+
+    def __init__(self, scratch: Scratch, fanout: int = 3):
         self.scratch, self.fanout = scratch, fanout
+        self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, DataFrame]]] = []
-        self.overlays: list[DataFrame] = []
         self._count = 0
 
     def _write(self, df: DataFrame) -> tuple[str, DataFrame]:
         self._count += 1
         name = f"run-{self._count}"
-        return name, self.scratch.save(df.select(*DIGEST, "n", "top").sortWithinPartitions(*DIGEST), name)
-
-    def _union(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs)
+        return name, self.scratch.save_sorted(df.select(*DIGEST, "n", "top", "seen"), name, DIGEST, self.buckets)
 
     def runs(self) -> list[DataFrame]:
         return [df for level in self.levels for _, df in level]
 
-    def add(self, keys: DataFrame) -> DataFrame:
-        """Takes one batch's (h1, h2, id), distinct; returns its new digests."""
+    def marked(self, keys: DataFrame) -> DataFrame:
+        """The digests of (h1, h2, id), distinct, by one merge join with each run: n, top and seen."""
         fresh = keys.groupBy(*DIGEST).agg(F.count("*").alias("n"), F.max("id").alias("top"))
-        if not self.levels:
-            run = self._write(fresh)
-        else:
-            old = self._union(self.runs() + self.overlays)
-            if self.overlays:
-                old = old.groupBy(*DIGEST).agg(F.max("n").alias("n"), F.max("top").alias("top"))  # totals only grow
-            old = old.select(*DIGEST, F.col("n").alias("n0"), F.col("top").alias("top0"))
-            joined = self.scratch.save(fresh.join(old, DIGEST, "left"), f"merged-{self._count}")
-            run = self._write(joined.filter("n0 IS NULL"))
-            seen = joined.filter("n0 IS NOT NULL").select(*DIGEST, (F.col("n") + F.col("n0")).alias("n"), F.greatest("top", "top0").alias("top"))
-            self.overlays.append(seen)
-        self._place(run, 0)
-        return run[1]
+        runs = self.runs()
+        for k, run in enumerate(runs):
+            fresh = fresh.join(run.filter("NOT seen").select(*DIGEST, F.lit(True).alias(f"in{k}")).hint("merge"), DIGEST, "left")
+        return fresh.select(*DIGEST, "n", "top", F.coalesce(*[F.col(f"in{k}") for k in range(len(runs))], F.lit(False)).alias("seen"))
+
+    def add(self, keys: DataFrame) -> None:
+        """Takes one batch's (h1, h2, id), distinct."""
+        with in_order(self.scratch.spark):
+            self._place(self._write(self.marked(keys)), 0)
 
     def _place(self, run: tuple[str, DataFrame], level: int) -> None:
         if len(self.levels) == level:
@@ -113,38 +115,47 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = self._write(self._union([df for _, df in full]))  # runs share no digest
+            self._place(self._write(summed([df for _, df in full])), level + 1)
             for name, _ in full:
                 self.scratch.drop(name)
-            self._place(merged, level + 1)
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The lines (with h1 and h2) that no run holds."""
-        return reduce(lambda df, run: df.join(run, DIGEST, "left_anti"), self.runs(), lines)
+        return reduce(lambda df, run: df.join(run.filter("NOT seen").hint("merge"), DIGEST, "left_anti"), self.runs(), lines)
 
     def held_by(self, least: int) -> DataFrame:
         """(h1, h2, top) of digests in at least that many documents."""
-        found = self._union([run.filter(F.col("n") >= least) for run in self.runs()] + [o.filter(F.col("n") >= least) for o in self.overlays])
-        return found.groupBy(*DIGEST).agg(F.max("top").alias("top"))
+        return summed(self.runs()).filter(F.col("n") >= least).select(*DIGEST, "top")
+
+
+def summed(runs: list[DataFrame]) -> DataFrame:
+    """Several runs as one; a digest that any of them saw first counts as new."""
+    rows = reduce(DataFrame.unionByName, runs)
+    return rows.groupBy(*DIGEST).agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.bool_and("seen").alias("seen"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, batches: int = 2, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, batches: int = BATCHES, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """Every row with n_lines, n_dropped and its kept text as ``kept_text``.
 
     A line with a key of least_chars code points that least_docs documents hold
     stays only in the largest id that holds it. Documents are dealt to batches by
     id; the number of batches changes no result. carry names columns to pass on.
     """
+    fixed = {id_col, "n_lines", "n_dropped", "kept_text"}
+    if fixed & set(carry):
+        raise ValueError(f"carried columns clash with results: {sorted(fixed & set(carry))}")
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     rows = docs.select(ids(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     dealt = line_digests(rows.select("id", "tag", "text"), least_chars).withColumn("batch", F.pmod(F.hash("id"), F.lit(batches)))
-    lines = scratch.save(dealt, "lines")
+    lines = scratch.save(dealt, "lines", by="batch")  # a batch reads its own files
     repeated = not rows.select("id").groupBy("id").count().filter("count > 1").isEmpty()
     runs = LineRuns(scratch)
     for b in range(batches):
         keys = lines.filter((F.col("batch") == b) & F.col("first")).select(*DIGEST, "id")
         runs.add(keys.distinct() if repeated else keys)
-    common = maybe_broadcast(scratch.save(runs.held_by(least_docs), "common"))
+    with in_order(scratch.spark):
+        common = scratch.save(runs.held_by(least_docs), "common")
+    common = maybe_broadcast(common)
     lost = lines.join(common, DIGEST).filter("id <> top").groupBy("id", "tag").agg(F.collect_set("pos").alias("lost"))
     lost = scratch.save(lost, "lost")
     if small(lost) and (lost.agg(F.sum(F.size("lost"))).first()[0] or 0) <= 2_000_000:  # both bounds: at most some 20 MB
