@@ -6,9 +6,14 @@ concentration comes from the spread between siblings (method of moments), so a
 host with few labels leans on its domain, and that on its suffix. A host is
 blocked if the lower posterior bound of its bad rate is above a limit.
 
+Domain and suffix are taken from the host without user and port; an address, or a
+host of one label, is a domain of its own.
+
 Defined results: a null url, or one without ``://``, has empty host and path and
 the verdict of the empty host; outcomes that are null are ignored; no labels at
-all give every host the verdict allow; repeated pages give repeated rows.
+all give every host the verdict allow; repeated pages give repeated rows, and a page
+id that stands more than once counts once for each of its hosts; of rules of equal
+length the first in alphabetical order counts; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ NAME = "op1_url_reputation"
 
 #: (verdict, rule) in the contract's order.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Suffixes of more than one label; any other suffix is the last label.
+#: Suffixes of more than one label that are known without a table of them; any other suffix is the last label.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.kr", "co.in", "com.cn")
 
 
@@ -38,15 +43,42 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """The host without user and port, and without a dot at its end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r"(?<!:):[0-9]*\z", ""), r"\.\z", "")
+
+
+def is_address(name: Column) -> Column:
+    """Whether the name is an IPv4 or IPv6 address, which has no domain above it."""
+    return name.rlike(r"(?s)^(?:[0-9]+(?:\.[0-9]+){3}|\[.*)\z")
+
+
 def suffix_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
-    last2 = F.substring_index(host, ".", -2)
-    return F.when(last2.isin(*long_suffixes), last2).otherwise(F.substring_index(host, ".", -1))
+    """The public suffix; of an address the whole name."""
+    name = name_of(host)
+    last2 = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), name).when(last2.isin(*long_suffixes), last2).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
-    """The suffix and the label before it."""
-    last2 = F.substring_index(host, ".", -2)
-    return F.when(last2.isin(*long_suffixes), F.substring_index(host, ".", -3)).otherwise(last2)
+    """The suffix and the label before it; an address or a single label is its own."""
+    name = name_of(host)
+    last2 = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), name).when(last2.isin(*long_suffixes), F.substring_index(name, ".", -3)).otherwise(last2)
+
+
+#: Suffixes that a table may have to become a literal list; a public suffix list has some ten thousand.
+MOST_SUFFIXES = 20_000
+
+
+def listed(suffixes: DataFrame | None) -> tuple[str, ...]:
+    """The suffixes with a dot of a table suffix(suffix), of checked size; the default ones without a table."""
+    if suffixes is None:
+        return LONG_SUFFIXES
+    found = [r[0] for r in suffixes.filter("contains(suffix, '.')").select("suffix").distinct().limit(MOST_SUFFIXES + 1).collect()]
+    if len(found) > MOST_SUFFIXES:
+        raise ValueError(f"more than {MOST_SUFFIXES} suffixes")
+    return tuple(sorted(found))
 
 
 def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> Column:
@@ -79,13 +111,13 @@ def _concentration(children: DataFrame) -> float:
     return 1 / min(max(rho, 0.001), 0.5) - 1
 
 
-def host_reputation(hosts: DataFrame) -> DataFrame:
+def host_reputation(hosts: DataFrame, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
     """hosts(host, n, bad) with one row per host, n = 0 allowed, to posterior alpha and beta.
 
     Adds domain, suffix, a and b: the host's bad rate is Beta(a, b). hosts is read
     once for each level, so it should be a saved table.
     """
-    h = hosts.select("host", "n", "bad", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    h = hosts.select("host", "n", "bad", domain_of(F.col("host"), long_suffixes).alias("domain"), suffix_of(F.col("host"), long_suffixes).alias("suffix"))
     domains = h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
@@ -107,18 +139,19 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     )
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES, z: float = 1.645, limit: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES, z: float = 1.645, limit: float = 0.5, suffixes: DataFrame | None = None) -> DataFrame:
     """Every page with host, path, rule and verdict.
 
     outcomes(page_id, bad): bad is 1, 0 or null. The method blocks a host if mean
-    minus z standard deviations of its posterior is above limit.
+    minus z standard deviations of its posterior is above limit. suffixes(suffix), a
+    public suffix list, replaces the default ones.
     """
     p = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     o = outcomes.select(F.col(page_id).alias("page_id"), F.col("bad").cast("long").alias("bad")).filter("bad IS NOT NULL AND page_id IS NOT NULL")
     o = o.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     per_page = p.select("page_id", "host").distinct().join(o, "page_id", "left")
     hosts = per_page.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    rep = host_reputation(Scratch(pages.sparkSession, "urls").save(hosts, "hosts"))  # read once for each level
+    rep = host_reputation(Scratch(pages.sparkSession, "urls").save(hosts, "hosts"), listed(suffixes))  # read once for each level
     mean = F.col("a") / (F.col("a") + F.col("b"))
     low = mean - z * F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))
     judged = rep.select("host", F.col("n").alias("host_labels"), F.col("bad").alias("host_bad"), F.when(low > limit, F.lit("block")).otherwise(F.lit("allow")).alias("reputation"))
@@ -146,11 +179,12 @@ o AS (SELECT doc_id AS page_id, count(*) AS n, sum(greatest(toxic, 1 - quality))
       WHERE doc_id IS NOT NULL AND greatest(toxic, 1 - quality) IS NOT NULL GROUP BY 1),
 h0 AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad
        FROM (SELECT DISTINCT page_id, host FROM p) q LEFT JOIN o USING (page_id) GROUP BY host),
-h1 AS (SELECT *, string_split(host, '.') AS parts FROM h0),
+g AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), '(^|[^:]):[0-9]*$', '\1'), '\.$', '') AS name FROM h0),
+h1 AS (SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '^(?:[0-9]+(?:\.[0-9]+){3}|\[.*)$', 's') AS address FROM g),
 h AS (SELECT host, n, bad,
-        CASE WHEN array_to_string(parts[-2:], '.') IN ('co.uk','org.uk','ac.uk','com.au','com.br','co.jp','co.kr','co.in','com.cn')
+        CASE WHEN address THEN name WHEN array_to_string(parts[-2:], '.') IN ('co.uk','org.uk','ac.uk','com.au','com.br','co.jp','co.kr','co.in','com.cn')
              THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
-        CASE WHEN array_to_string(parts[-2:], '.') IN ('co.uk','org.uk','ac.uk','com.au','com.br','co.jp','co.kr','co.in','com.cn')
+        CASE WHEN address THEN name WHEN array_to_string(parts[-2:], '.') IN ('co.uk','org.uk','ac.uk','com.au','com.br','co.jp','co.kr','co.in','com.cn')
              THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM h1),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY ALL),
