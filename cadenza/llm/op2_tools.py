@@ -1,6 +1,7 @@
 """Tool-call linking.
 
-Calls and results meet in a hash join on conversation and identifier. A call's level
+Calls and results meet in a hash join on conversation and identifier, unknown
+dependencies and levels join likewise. A call's level
 is the length of its longest chain of dependencies, so (level, turn, id) is a
 topological order; chains are resolved by pointer doubling, and only calls with
 several dependencies are placed round by round. Arguments are checked against the schema of their tool, and each call with
@@ -113,7 +114,7 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: Schemas, scratch:
     edges = one.select(*KEY, F.explode(F.array_distinct(F.filter("after", lambda x: x.isNotNull()))).alias("dep"))
     unknown = edges.join(one.select("conv", F.col("call_id").alias("dep")), ["conv", "dep"], "left_anti").groupBy(*KEY).agg(F.count("*").alias("n_unknown"))
     placed = levels(one.select(*KEY), edges, scratch)
-    linked = one.withColumn("is_call", F.lit(True)).join(answers, KEY, "full").join(unknown, KEY, "left").join(placed, KEY, "left")
+    linked = one.withColumn("is_call", F.lit(True)).join(answers.hint("shuffle_hash"), KEY, "full").join(unknown.hint("shuffle_hash"), KEY, "left").join(placed.hint("shuffle_hash"), KEY, "left")
     lone_calls = calls.filter(~known).select("conv", "call_id", "turn", "name", "arguments", F.lit(1).cast("long").alias("n_calls"), F.lit(True).alias("is_call"), F.lit(0).alias("level"))
     lone_results = results.filter(~known).select("conv", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(1).cast("long").alias("n_results"))
     rows = linked.drop("after").unionByName(lone_calls, allowMissingColumns=True).unionByName(lone_results, allowMissingColumns=True)
@@ -127,15 +128,15 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: Schemas, scratch:
 
 
 def turns_as_tools(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reads turns as calls and results: user turns call reply, system turns configure; an assistant turn answers the turn before.
+    """Reads turns as calls and results: user turns call reply, system turns configure; any other turn answers the turn before.
 
-    A call depends on the calls of the two turns before it, as far as there are any.
+    Turns of roles beside user and system, null included, are results. A call depends on the calls of the two turns before it, as far as there are any.
     """
     c = conversations.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
     at = lambda back: F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
     tool = F.when(F.col("role") == "user", "reply").when(F.col("role") == "system", "configure")
     calls = c.withColumn("name", tool).filter("name IS NOT NULL").select("conv", at(0).alias("call_id"), "turn", "name", F.to_json(F.struct("turn", "text")).alias("arguments"), F.array(at(1), at(2)).alias("after"))
-    results = c.filter("role = 'assistant'").select("conv", at(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = c.filter(tool.isNull()).select("conv", at(1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

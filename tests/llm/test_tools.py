@@ -65,9 +65,17 @@ def test_conversations(spark):
 
     assert {(r["conv_id"], r["call_turn"]): r["level"] for r in got if r["name"]} == {k: level(k) for k in calls}
     answered = {(r["conv_id"], r["result_turn"]): json.loads(r["json"])["result"] for r in got if r["result_turn"] is not None}
-    assert answered == {k: r["text"] for k, r in turns.items() if r["role"] == "assistant"}
+    assert answered == {k: r["text"] for k, r in turns.items() if r["role"] not in ("user", "system")}
     assert all(r["valid"] for r in got if r["name"])
 
 
 def test_empty(spark):
     assert run(spark, [], []) == {}
+
+
+def test_turns_of_other_roles_are_results(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "tool", "t"), (1, 2, None, "n"), (2, 0, "user", "x" * 200_000), (2, 1, "assistant", None)]
+    calls, results = op2_tools.turns_as_tools(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r["conv"], r["result_turn"]): r for r in op2_tools.link_tools(calls, results, op2_tools.TURN_TOOLS).collect()}
+    assert got[1, 1]["name"] == "reply" and got[1, 2]["name"] is None and got[2, 1]["valid"]
+    assert json.loads(got[2, 1]["json"])["arguments"]["text"] == "x" * 200_000
