@@ -4,7 +4,8 @@ Candidates are found in every whole text by the base patterns and by patterns of
 further credential formats. Each candidate's value is hashed, and the hashes are
 counted over distinct repositories and distinct owners: a value seen under many of
 them is a widely copied example, one that stays with a single owner and looks
-random is taken as live. The value of a PEM block is its body without white space,
+random is taken as live. An owner holds repositories, so a value in several of one
+owner's repositories is still that owner's. The value of a PEM block is its body without white space,
 so the header that all keys share counts for nothing, and a header alone is no key.
 Base spans always stay; a span of a further format is added only if it is live.
 
@@ -78,7 +79,7 @@ def ownership(found: DataFrame) -> DataFrame:
     return repos.join(owners, "digest")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: str = "source", owner: str = "lang", copied_repos: int = 5, copied_owners: int = 3, least_entropy: float = 2.5, scratch: Scratch | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: str = "repository", owner: str = "owner", copied_repos: int = 5, copied_owners: int = 3, least_entropy: float = 2.5, scratch: Scratch | None = None) -> DataFrame:
     """Every row with its spans.
 
     Returns id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied and
@@ -117,6 +118,6 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; repository is the source, owner the source within a language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", F.concat_ws("/", "source", "lang").alias("owner"))
-    return scan_secrets(docs, repo="source", owner="owner", copied_owners=6).drop("secrets")
+    """All documents; the owner is the source, its repositories are its languages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", F.concat_ws("/", "source", "lang").alias("repository"))
+    return scan_secrets(docs, repo="repository", owner="source").drop("secrets")
