@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "cadenza", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,3 +28,12 @@ def get_session(app: str = "cadenza", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; columns are pruned by the reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows that a side of a join may have to be broadcast.
+SMALL_ROWS = 200_000
+
+
+def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows, else as it is; reads no more than that."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
