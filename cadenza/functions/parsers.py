@@ -118,3 +118,16 @@ def parse_seat(raw: Column, grade_raw: Column | None = None) -> Column:
     parts = sum((x.isNotNull().cast("int") for x in (floor, block, row, number)), F.lit(0))
     confidence = F.when(parts > 0, F.least(F.lit(1.0), 0.4 + 0.15 * parts)).when(grade.isNotNull(), 0.5).otherwise(0.0)
     return F.struct(floor.alias("floor"), block.alias("block"), row.alias("row"), number.alias("number"), grade.alias("grade"), confidence.alias("confidence"))
+
+
+def play_dates(raw: Column) -> Column:
+    """struct<first, last>: `2024.03.01 ~ 2024.03.05` at the start of a text as ISO dates; one date is both, none gives nulls."""
+    p = r"^\s*(\d{4})\.(\d{2})\.(\d{2})(?:\s*~\s*(\d{4})\.(\d{2})\.(\d{2}))?"
+    iso = lambda i: F.concat_ws("-", *[F.regexp_extract(raw, p, i + k) for k in range(3)])
+    first = F.when(raw.rlike(p), iso(1))
+    return F.struct(first.alias("first"), F.when(F.regexp_extract(raw, p, 4) != "", iso(4)).otherwise(first).alias("last"))
+
+
+def fixed_date(raw: Column) -> Column:
+    """`20240301` as `2024-03-01`; any other length gives ''."""
+    return F.when(F.length(raw) == 8, F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2))).otherwise("")

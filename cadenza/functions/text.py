@@ -105,6 +105,38 @@ def slug(s: Column) -> Column:
     return F.array_join(F.slice(F.filter(F.split(t, " +"), lambda w: ~w.isin(STOPWORDS) & (F.length(w) > 1)), 1, 6), " ")
 
 
+#: What canonical comparison and venue names leave out besides white space.
+ZERO_WIDTH = "[\u200B-\u200D\u2060\uFEFF]"
+
+
+def canonical(s: Column, compose: bool = True) -> Column:
+    """NFKC, lower case, without white space, zero-width characters and punctuation; null is ''. compose as in normalize_text."""
+    x = F.coalesce(s, F.lit(""))
+    x = F.lower(nfkc(x) if compose else x)
+    return F.regexp_replace(x, rf"(?U)\s+|{ZERO_WIDTH}|\p{{P}}+", "")
+
+
+def venue_text(s: Column) -> Column:
+    """Lower case without white space (the ideographic one too) and punctuation."""
+    return F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"(?U)[\s\u3000]+|\p{P}+", "")
+
+
+def catalog_split(opus: Column) -> Column:
+    """struct<catalogue, number> of `op.67` or `K.12`: lower case, at the first dot; nulls if there is none."""
+    parted = opus.contains(".")
+    return F.struct(F.when(parted, F.lower(F.substring_index(opus, ".", 1))).alias("catalogue"), F.when(parted, F.regexp_replace(opus, r"^[^.]*\.", "")).alias("number"))
+
+
+def separators(s: Column) -> Column:
+    """Upright strokes that stand alone between spaces, however they were read, become ` | `."""
+    return F.regexp_replace(s, r"\s+[Il|｜ǀ丨ㅣ]\s+", " | ")
+
+
+def hash_key(s: Column, length: int = 16) -> Column:
+    """The first characters of the SHA-256 of a text."""
+    return F.substring(F.sha2(s, 256), 1, length)
+
+
 def latin_ratio(s: Column) -> Column:
     """Share of letters below U+2000; 0 if there are none."""
     letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))

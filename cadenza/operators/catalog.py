@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import saved
+
 
 def text_list(value: Column, order: Sequence[Column], sep: str, distinct: bool = False) -> Column:
     """Ordered string aggregate: nulls are skipped, and no value at all gives null."""
@@ -33,19 +35,29 @@ def resolve_credits(items: DataFrame, credits: DataFrame) -> DataFrame:
     return own.select("concert", "item", *[c for c in credits.columns if c not in ("concert", "item")], F.lit("item").alias("grain")).unionByName(whole.withColumn("grain", F.lit("concert")))
 
 
-def resolve_redirects(rows: DataFrame, key: str, redirects: DataFrame, depth: int = 32) -> DataFrame:
-    """rows with key replaced by the end of its pointer chain, old_id to new_id.
+def redirect_ends(redirects: DataFrame) -> DataFrame:
+    """(a, b, cycle): each old_id with the end of its pointer chain, or cycle set where it has none.
 
-    Chains are halved in each round (pointer doubling), so a chain of length n takes
-    log2 n joins; ids on a cycle stop after the rounds that depth allows.
+    Chains are halved in each round (pointer doubling) and each round is saved, so a
+    chain of length n takes log2 n joins of the table with itself. The number of
+    pointers that still move falls in every round until none or only those on
+    cycles, or leading into them, are left.
     """
-    to = redirects.select(F.col("old_id").alias("a"), F.col("new_id").alias("b"))
-    k = 1
-    while k < depth:
+    to = saved(redirects.filter("old_id IS NOT NULL AND new_id IS NOT NULL AND old_id <> new_id").select(F.col("old_id").alias("a"), F.col("new_id").alias("b")))
+    before = -1
+    while True:
         nxt = to.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        to = to.join(nxt, "b", "left").select("a", F.coalesce("c", "b").alias("b"))
-        k *= 2
-    return rows.join(to.withColumnRenamed("a", key), key, "left").withColumn(key, F.coalesce("b", key)).drop("b")
+        moved = saved(to.join(nxt, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("cycle")))
+        still = moved.filter("cycle").count()
+        if still in (0, before):
+            return moved
+        to, before = moved.select("a", "b"), still
+
+
+def resolve_redirects(rows: DataFrame, key: str, redirects: DataFrame) -> DataFrame:
+    """rows with key replaced by the end of its pointer chain, old_id to new_id; a key on or behind a cycle stays."""
+    ends = redirect_ends(redirects).filter("NOT cycle").select(F.col("a").alias(key), "b")
+    return rows.join(ends, key, "left").withColumn(key, F.coalesce("b", key)).drop("b")
 
 
 def merge_upsert(old: DataFrame, new: DataFrame, key: str, added: Sequence[str] = (), first: Sequence[str] = (), replaced: Sequence[str] = (), cleared: Sequence[str] = ()) -> DataFrame:

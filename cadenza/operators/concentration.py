@@ -67,6 +67,17 @@ def top_shares(counts: DataFrame, n: str = "n") -> DataFrame:
     return d.agg(rounded(ratio(mass_of(tenth), F.max("mass"))).alias("top_tenth"), rounded(ratio(mass_of(half), F.max("mass"))).alias("top_half"))
 
 
+def median_rank(counts: DataFrame, n: str = "n") -> DataFrame:
+    """One row: the upper median over all occurrences of the rank of what occurs, by count descending.
+
+    A key with v occurrences weighs v, so the rank follows from the step of the
+    histogram that holds the middle occurrence.
+    """
+    d = _descending(histogram(counts, n)).withColumn("half", F.floor(F.col("mass") / 2))
+    at = d.filter((F.col("mass_above") <= F.col("half")) & (F.col("half") < F.col("mass_above") + F.col("v") * F.col("m")))
+    return at.select((F.col("above") + F.floor((F.col("half") - F.col("mass_above")) / F.col("v")) + 1).cast("long").alias("median_rank"))
+
+
 def thresholds(counts: DataFrame, n: str = "n") -> DataFrame:
     """Number of keys that occur once, and at least 5, 10 and 20 times."""
     c = F.col(n)

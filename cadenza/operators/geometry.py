@@ -12,7 +12,8 @@ def nearest_in_block(seats: DataFrame, points: DataFrame, seat: str, point: str)
     A null row or number counts as distance 0 there.
     """
     keys = ["venue", "floor", "block"]
-    p = points.select(*keys, point, F.col("row").alias("_row"), F.col("number").alias("_number"))
+    # of points at one place only the least key can be the answer
+    p = points.groupBy(*keys, F.col("row").alias("_row"), F.col("number").alias("_number")).agg(F.min(point).alias(point))
     j = seats.join(p, keys)
     far = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)), F.lit(0))
     best = F.min(F.struct(far("row", "_row").alias("d_row"), far("number", "_number").alias("d_number"), F.col(point)))

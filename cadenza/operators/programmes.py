@@ -118,4 +118,7 @@ def work_keys(occ: DataFrame, generic: list[str]) -> DataFrame:
         .when(~no("slug"), F.concat_ws("|", "composer", F.lit("t"), "slug"))
         .otherwise(F.concat_ws("|", "composer", F.lit("?"), F.substring("raw", 1, 30)))
     )
-    return o.join(chosen, "_b", "left").withColumn("workKey", key).drop("_a", "_b", "_generic", "_vote")
+    # occurrences without a catalogue number have no vote; joined, they would all meet in one task
+    voted = o.filter("_b IS NOT NULL").join(chosen, "_b", "left")
+    rest = o.filter("_b IS NULL").withColumn("_vote", F.lit(None).cast("string"))
+    return voted.unionByName(rest).withColumn("workKey", key).drop("_a", "_b", "_generic", "_vote")

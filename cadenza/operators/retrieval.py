@@ -30,6 +30,10 @@ def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, w
     return x.select("term", doc, weight.alias("w")).join(q, "term").groupBy(query, doc).agg(F.sum("w").alias("score"))
 
 
+#: Query vectors of one broadcast.
+QUERY_BLOCK = 20_000
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -41,11 +45,16 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 20) -> DataFrame:
     """(query, key, similarity, place) of the k most similar vectors of each query, in exact search.
 
-    The queries are a stated set (a broadcast of checked size would be the same), and
-    each is compared with every vector; ties go to the smaller key.
+    The queries are a stated set, and each is compared with every vector; ties go to
+    the smaller key. They are broadcast in blocks of QUERY_BLOCK at most, on average.
     """
     q = queries.select(F.col(query).alias("_q"), F.col(query_vector).alias("_v"))
-    scored = vectors.join(q).select(F.col("_q").alias(query), key, cosine(F.col(vector), F.col("_v")).alias("similarity"))
+    n_blocks = -(-q.count() // QUERY_BLOCK) or 1
+    scored = None
+    for i in range(n_blocks):
+        block = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("_q"), F.lit(n_blocks)) == i)
+        one = vectors.join(F.broadcast(block)).select(F.col("_q").alias(query), key, cosine(F.col(vector), F.col("_v")).alias("similarity"))
+        scored = one if scored is None else scored.unionByName(one)
     w = Window.partitionBy(query).orderBy(F.desc("similarity"), key)
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 

@@ -136,18 +136,18 @@ def cosine_topk(spark, sf_dir):
     """Queries are the vectors whose id is divisible by 100, against all vectors; top 20."""
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    return R.cosine_top(e, "vec_id", "embedding", F.broadcast(q) if q.count() <= 20_000 else q, "query", "qv").select("query", "vec_id", F.round("similarity", 5).alias("similarity"))
+    return R.cosine_top(e, "vec_id", "embedding", q, "query", "qv").select("query", "vec_id", F.round("similarity", 5).alias("similarity"))
 
 
-ITEMS = "WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts FROM documents), q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS term FROM benchmark WHERE item_id % 20 = 0), n AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM d), t AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM t JOIN f USING (term) JOIN q USING (term), n GROUP BY ALL)"
+ITEMS = "WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts FROM documents), q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS term FROM benchmark), n AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM d), t AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1), s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM t JOIN f USING (term) JOIN q USING (term), n GROUP BY ALL)"
 
 
 @register("bm25", ITEMS + " SELECT item_id, doc_id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 5) DESC, doc_id) <= 50")
 def bm25(spark, sf_dir):
-    """Top 50 documents of every twentieth benchmark item."""
+    """Top 50 documents of every benchmark item."""
     from pyspark.sql import Window
 
-    q = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0")
+    q = table(spark, sf_dir, "benchmark")
     s = R.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", q.select("item_id", F.col("text").alias("words")), "item_id", "words").withColumn("score", F.round("score", 5))
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("place", F.row_number().over(w)).filter("place <= 50").select("item_id", "doc_id", "score")

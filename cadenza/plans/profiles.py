@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.operators import profiles as P
-from cadenza.operators.frequency import rank_and_rarity
+from cadenza.operators.frequency import with_rarity
 from cadenza.plans.analytics import R4, counts
 from cadenza.plans.catalogue import register
 from cadenza.session import table
@@ -25,7 +25,7 @@ def taste_distribution(spark, sf_dir):
 
 @register("adventurousness", f"WITH i AS (SELECT l_partkey AS work, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT work, percent_rank() OVER (ORDER BY n DESC) AS rarity FROM i) SELECT l_suppkey, count(*) AS n, {R4('avg(rarity)')} AS adventure FROM lineitem JOIN r ON work = l_partkey GROUP BY 1")
 def adventurousness(spark, sf_dir):
-    r = rank_and_rarity(counts(spark, sf_dir), "work").select("work", "rarity")
+    r = with_rarity(counts(spark, sf_dir)).select("work", "rarity")
     return P.adventurousness(table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("work")).join(r, "work"), "l_suppkey", "rarity")
 
 

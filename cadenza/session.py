@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def get_session(app: str = "cadenza", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +41,20 @@ SMALL_ROWS = 200_000
 def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, else as it is; reads no more than that."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written once and read again, without its lineage.
+
+    It goes to ``spark.checkpoint.dir``, which driver and executors share; only a
+    local session without that setting uses a folder of its own.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+    path = f"{base}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(StructType([StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
