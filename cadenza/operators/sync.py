@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import saved
+
 
 def idempotent(log: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first entry of each idempotency key."""
@@ -24,20 +26,27 @@ def replay(log: DataFrame, entity: str, base_rev: str, order: Sequence[str]) ->
 
     Adds applied and rev. Revisions rise by one and never fall, so the entry that is
     applied on base r is the first one with base r after the entry applied on r - 1.
-    The fold runs inside one row of an entity, in order, without comparing clocks.
+    Each entry therefore points to one successor, the applied ones are a path from
+    the first entry with base 0, and the path is found by pointer doubling: a log of
+    n entries takes log2 n rounds, and no entity's log is gathered.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(base_rev).cast("long").alias("_base"), F.struct(*log.columns).alias("_row"))))
-    each = log.groupBy(entity).agg(items.alias("_items"))
-    bases = F.transform("_items", lambda x: x["_base"])
-
-    def step(acc, b):
-        ok = F.coalesce(b == acc["rev"], F.lit(False))
-        rev = F.when(ok, acc["rev"] + 1).otherwise(acc["rev"])
-        return F.struct(rev.alias("rev"), F.concat(acc["out"], F.array(F.struct(ok.alias("applied"), rev.alias("rev")))).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("rev"), F.expr("CAST(array() AS array<struct<applied:boolean,rev:bigint>>)").alias("out"))
-    folded = each.select("_items", F.aggregate(bases, start, step, lambda acc: acc["out"]).alias("_out"))
-    return folded.select(F.explode(F.zip_with("_items", "_out", lambda i, o: F.struct(i["_row"].alias("row"), o["applied"].alias("applied"), o["rev"].alias("rev")))).alias("x")).select("x.row.*", "x.applied", "x.rev")
+    e = F.struct(F.col(entity).alias("e")).alias("_e")  # in a struct a null entity equals itself
+    rows = saved(log.withColumn("_base", F.col(base_rev).cast("long")).withColumn("_n", F.row_number().over(Window.partitionBy(entity).orderBy(*order)).cast("long")).select("*", e))
+    entries = rows.filter("_base IS NOT NULL").select("_e", F.col("_base").alias("_at"), "_n", F.lit(True).alias("_entry"))
+    asking = entries.select("_e", (F.col("_at") + 1).alias("_at"), "_n", F.lit(False).alias("_entry"))
+    later = Window.partitionBy("_e", "_at").orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
+    jumps = entries.unionByName(asking).withColumn("_to", F.min(F.when(F.col("_entry"), F.col("_n"))).over(later))
+    jumps = saved(jumps.filter("NOT _entry AND _to IS NOT NULL").select("_e", "_n", "_to"))
+    path = saved(entries.filter("_at = 0").groupBy("_e").agg(F.min("_n").alias("_n")))
+    before, size = -1, path.count()
+    while size > before:
+        path = saved(path.unionByName(path.join(jumps, ["_e", "_n"]).select("_e", F.col("_to").alias("_n"))).distinct())
+        ahead = jumps.select("_e", F.col("_n").alias("_to"), F.col("_to").alias("_far"))
+        jumps = saved(jumps.join(ahead, ["_e", "_to"]).select("_e", "_n", F.col("_far").alias("_to")))
+        before, size = size, path.count()
+    marked = rows.join(path.withColumn("applied", F.lit(True)), ["_e", "_n"], "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
+    rev = F.max(F.when(F.col("applied"), F.col("_base") + 1)).over(Window.partitionBy("_e").orderBy("_n"))
+    return marked.select(*log.columns, "applied", F.coalesce(rev, F.lit(0)).cast("long").alias("rev"))
 
 
 def latest(log: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:

@@ -26,14 +26,19 @@ def sessions(log: DataFrame, at: str, key: str, gap: str = "30 minutes", delay:
     return log.withWatermark(at, delay).groupBy(F.session_window(at, gap), key).agg(F.count("*").alias("n"))
 
 
-def replayed(log: DataFrame, entity: str, base_rev: str, order: str) -> DataFrame:
+def replayed(log: DataFrame, entity: str, base_rev: str, order: str, idle_days: int = 90) -> DataFrame:
     """Accepted and rejected entries: (entity, order, base, applied, rev), revision kept as state.
 
     Inside one batch an entity's entries are taken in order; an entry is applied if
-    its base is the entity's revision, which then rises by one.
+    its base is the entity's revision, which then rises by one. The revision of an
+    entity that sent nothing for idle_days is forgotten: its devices need a full copy.
     """
+    idle = idle_days * 24 * 3600 * 1000
 
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rev = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(order)
         out = []
@@ -42,6 +47,7 @@ def replayed(log: DataFrame, entity: str, base_rev: str, order: str) -> DataFram
             rev += bool(ok)
             out.append((key[0], o, b, bool(ok), rev))
         state.update((int(rev),))
+        state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["entity", "seq", "base", "applied", "rev"])
 
-    return log.groupBy(entity).applyInPandasWithState(fold, "entity long, seq long, base long, applied boolean, rev long", "rev long", "append", GroupStateTimeout.NoTimeout)
+    return log.groupBy(entity).applyInPandasWithState(fold, "entity long, seq long, base long, applied boolean, rev long", "rev long", "append", GroupStateTimeout.ProcessingTimeTimeout)
