@@ -21,7 +21,7 @@ from pyspark.sql.types import StructField, StructType
 SPACE = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Stands for a null identifier inside an operator: below every real one.
+#: Stands for a null identifier inside an operator: below every real one. A real identifier of that value counts as null.
 NO_ID = -(2**63)
 #: Rows and bytes that a table may have to be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000

@@ -16,7 +16,9 @@ All work on rows is DataFrame operations; only the bounded counts of patterns
 reach the driver. The gazetteer is a table (kind, key) of checked size.
 
 Defined results: a null text is empty; no candidates at all give empty spans;
-repeated rows are judged alike, each in its own row.
+repeated rows are judged alike, each in its own row; spans that begin together stand
+in the order of the kinds; texts are scanned whole, however long, but a span of more
+than LONGEST_FORM characters has no strict form; extra columns are left out.
 """
 
 from __future__ import annotations

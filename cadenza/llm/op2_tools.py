@@ -14,7 +14,8 @@ calls that share an identifier the earliest counts (then the least name and
 arguments) and the others are counted in n_calls; of results likewise; a result
 without a call is a row with a null name; a dependency on an unknown identifier is
 ignored and counted; calls on or behind a cycle have a null level; arguments that
-are not a JSON object, or repeat a key, are invalid and serialised as null.
+are not a JSON object, or repeat a key, are invalid and serialised as null; empty
+tables give no rows, texts of any length stay whole, extra columns are left out.
 """
 
 from __future__ import annotations

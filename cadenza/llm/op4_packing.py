@@ -10,7 +10,9 @@ Tokens are stored before the cut, so a task that runs again after a lost executo
 cannot move any boundary: the committed output of pass 1 is what pass 2 reads.
 
 Defined results: a null text is empty and gives the end id alone; empty tables
-give no pieces; repeated rows are packed each.
+give no pieces; repeated rows, and rows that share an id or have none, are packed
+each, in the order in which they are read; a text of any length is packed whole, over
+as many sequences as it needs; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, slices
+from cadenza.llm.common import Scratch, maybe_broadcast, slices
 
 NAME = "op4_concatenate_and_cut"
 ORACLE = None
@@ -35,7 +37,8 @@ ORACLE = None
 #: have no combining marks and lower-case to one character. Other texts, and those
 #: with a special token's string, go to the tokenizer whole.
 PLAIN = r"[\t\n\r\x20-\x7E\u00A1-\u012F\u0132-\u0148\u014A-\u017E\u2013\u2014\u2018-\u201E\u2026\u20AC]*"
-#: Fixed value: the splitting pattern of the vocabulary file.
+#: The normalizers and the splitting pattern of the vocabulary file.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a worker remembers, some 300 bytes each; beyond it, the less used half goes.
 REMEMBERED = 400_000
@@ -77,7 +80,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.by_word = [s["pattern"].get("Regex") for s in steps if s.get("type") == "Split"] == [PIECE]
+        shape = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.by_word = [s["pattern"].get("Regex") for s in steps if s.get("type") == "Split"] == [PIECE] and shape == NORMALIZERS
         special = [regex.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(special) or "(?!)")
         self.plain, self.piece = regex.compile(PLAIN), regex.compile(PIECE)
@@ -189,7 +193,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     totals = tokens.groupBy("task").agg(F.sum("n").alias("size"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("task", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"), F.sum("size").over(Window.partitionBy()).alias("corpus"))
-    placed = tokens.join(F.broadcast(starts), "task").withColumn("at", F.col("base") + F.col("local_start"))
+    placed = tokens.join(maybe_broadcast(starts), "task").withColumn("at", F.col("base") + F.col("local_start"))
 
     def piece(k):
         lo = F.greatest(k * window, F.col("at"))

@@ -10,7 +10,9 @@ so the header that all keys share counts for nothing, and a header alone is no k
 Base spans always stay; a span of a further format is added only if it is live.
 
 Defined results: a null text is empty; a null repository or owner counts as one of
-its own; repeated rows are each scanned and count once for frequency.
+its own; repeated rows are each scanned and count once for frequency; spans that
+begin together stand in the order of the kinds; texts are scanned whole, however
+long; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations

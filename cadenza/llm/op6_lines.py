@@ -14,7 +14,8 @@ that keeps the line.
 
 Defined results: a null or empty text is one empty line; a null id counts as one
 document below all others; rows that share an id count as one document, and each
-row loses its own lines; repeated rows give repeated results.
+row loses its own lines; repeated rows give repeated results; texts are split whole,
+however long; extra columns are left out unless they are carried.
 """
 
 from __future__ import annotations

@@ -15,12 +15,15 @@
    two components. So no pair that shares a band goes unverified, no group is
    gathered in one task, and pairs are never rows.
 
+Shingles are compared by 64-bit hashes: two different ones of a pair of texts with n
+shingles meet with a probability of n^2 / 2^64, which could raise an intersection by one.
+
 A pair at the threshold shares no band with probability (1 - 0.85^4)^32 = 5e-11.
 
 Defined results: a null or wordless text has an empty set and stands alone; one of
 fewer than 5 words has its whole sequence as its only shingle; a null id ranks below
 all others; rows that share an id and have words are one node,
-so they share a component.
+so they share a component; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ ones without a repeated window by hash, need no suffix array: no interval of the
 reaches the least length.
 
 Defined results: a null text has no words and fails; repeated rows are judged each;
-a text of any length is judged whole.
+a text of any length is judged whole; no other rows matter, so ties cannot arise;
+extra columns are left out unless they are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -117,8 +118,11 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Every row with its measures, base_failed and kept; carry names further columns to pass on.
 
     share is the largest percentage of words in repeats, longest the most words of
-    one repeat.
+    one repeat. A carried column may not have the name of a result.
     """
+    results = {id_col, *FIELDS, "base_failed", "kept"}
+    if results & set(carry):
+        raise ValueError(f"carried columns clash with results: {sorted(results & set(carry))}")
     named = {c: "_text" if c == text_col else f"_carry{i}" for i, c in enumerate(carry)}
     kept = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in named.items() if n != "_text"])
     fields = [f.name for f in kept.schema.fields if f.name != "_text" or "_text" in named.values()]
