@@ -11,7 +11,17 @@ decontamination  documents with an op9 match of a benchmark item go
 packing          op4 cuts what is left into sequences of 4096 tokens
 
 Rows are dropped by a key of their own, not by id: texts that share an id, or have
-none, stay or go each for itself.
+none, stay or go each for itself. In every stage an empty table gives an empty one,
+extra columns are left out, and texts are read whole, however long. In detail:
+
+quality          a null or empty text has no words and goes
+lines            a null text becomes empty; the largest id that holds a line keeps it,
+                 and of rows that share that id each does
+near_duplicates  null, empty and wordless texts stay; of a group the least id stays,
+                 nulls first, and of rows that share it the least by hash of the text
+                 and then one of the equal ones
+decontamination  a null or empty text matches nothing and stays
+packing          a null text gives the end id alone; repeated rows are packed each
 """
 
 from __future__ import annotations
