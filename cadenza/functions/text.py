@@ -105,15 +105,16 @@ def slug(s: Column) -> Column:
     return F.array_join(F.slice(F.filter(F.split(t, " +"), lambda w: ~w.isin(STOPWORDS) & (F.length(w) > 1)), 1, 6), " ")
 
 
-#: What canonical comparison and venue names leave out besides white space.
-ZERO_WIDTH = "[\u200B-\u200D\u2060\uFEFF]"
+#: Characters that a comparison of two readings leaves out.
+ZERO_WIDTH = "[\u200B-\u200D\uFEFF]"
+READING_MARKS = r"[.,·・:;()\[\]{}<>'\"`~!?/\\-]"
 
 
 def canonical(s: Column, compose: bool = True) -> Column:
     """NFKC, lower case, without white space, zero-width characters and punctuation; null is ''. compose as in normalize_text."""
     x = F.coalesce(s, F.lit(""))
     x = F.lower(nfkc(x) if compose else x)
-    return F.regexp_replace(x, rf"(?U)\s+|{ZERO_WIDTH}|\p{{P}}+", "")
+    return F.regexp_replace(x, rf"(?U)\s+|{ZERO_WIDTH}|{READING_MARKS}", "")
 
 
 def venue_text(s: Column) -> Column:

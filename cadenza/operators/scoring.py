@@ -82,7 +82,7 @@ def name_vote(names: DataFrame, work_count: DataFrame, key: str, name: str, stro
 
     Ties go to the name that comes first in order. work_count(key, works).
     """
-    n = names.groupBy(key, name).agg(F.count_if(strong).alias("firm"), F.count("*").alias("n"))
-    best = Window.partitionBy(key).orderBy(F.desc("firm"), F.desc("n"), name)
+    n = names.groupBy(key, name).agg(F.count_if(strong).alias("_firm"), F.count("*").alias("_votes"))
+    best = Window.partitionBy(key).orderBy(F.desc("_firm"), F.desc("_votes"), name)
     top = n.withColumn("_r", F.row_number().over(best)).filter("_r = 1").join(work_count, key)
-    return top.filter((F.col("firm") > 0) | (F.col("n") >= F.greatest(F.lit(2.0), 0.25 * F.col("works")))).select(key, name)
+    return top.filter((F.col("_firm") > 0) | (F.col("_votes") >= F.greatest(F.lit(2.0), 0.25 * F.col("works")))).select(key, name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.numbers import rounded
 from cadenza.operators import scoring as S
+from cadenza.operators import tickets as T
 from cadenza.operators.programme_parser import parse_programmes
 from cadenza.operators.selection import in_scope
 from cadenza.plans.catalogue import register
@@ -123,3 +124,40 @@ def programme_works(spark, sf_dir):
     names = nations.select(F.col("n_name").alias("alias"), F.col("n_name").alias("name"), F.lit(0.9).alias("confidence"))
     works = parse_programmes(pages, "o_custkey", "o_orderkey", "line", names, "(?i)Sonata", "문의")
     return works.select("o_custkey", "seq", "composer", "opus", "after_break")
+
+
+TICKET = T.Rules(
+    venues=((r"(?i)grand\s*hall", "Grand Hall"), (r"(?i)hall", "Other Hall")), dates=(r"\d{4}\.\d{2}\.\d{2}", r"\d{4}-\d{2}-\d{2}"), times=(r"\d{1,2}:\d{2}",),
+    gate="게이트", booking=r"^[A-Z]{2}\d{6,}$", grade="[A-Z]+석", price=r"\d[\d,]*원", free="초대",
+)
+
+
+@register("ticket_records", """SELECT o_orderkey, 'Grand Hall' AS venue, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y.%m.%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '19:30' END AS time,
+ (o_orderkey % 3 + 1) || '층 ' || (o_orderkey % 20 + 1) || '열 ' || (o_orderkey % 30 + 1) || '번' AS seat, 'R석' AS grade, (o_orderkey % 90 + 10) || ',000원' AS price, '공연 ' || o_orderkey AS title, 0.6::DOUBLE AS sure FROM orders""")
+def ticket_records(spark, sf_dir):
+    """Orders as the printed lines of tickets, read back by rule."""
+    k = F.col("o_orderkey")
+    n = lambda m, plus: (k % m + plus).cast("string")
+    lines = F.array(
+        F.concat(F.lit("공연 "), k.cast("string")), F.lit("The GRAND HALL, main hall"), F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyy.MM.dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")),
+        F.when(k % 3 != 0, "19:30").otherwise("evening, doors open"), F.concat(F.lit("좌석: "), n(3, 1), F.lit("층 "), n(20, 1), F.lit("열 "), n(30, 1), F.lit("번")), F.lit("3번 게이트"), F.concat(F.lit("R석 "), n(90, 10), F.lit(",000원")), F.lit("AB1234567"),
+    )
+    page = table(spark, sf_dir, "orders").select(k, F.posexplode(lines).alias("at", "text"))
+    page = page.withColumns({"confidence": F.lit(1.0), "height": F.when(F.col("at") == 0, 0.1).otherwise(0.05), "top": F.col("at") / 10})
+    r = T.record_of(page, "o_orderkey", TICKET)
+    return r.select("o_orderkey", *[F.col(f"{c}.value").alias(c) for c in ("venue", "date", "time", "seat", "grade", "price", "title")], F.col("title.confidence").alias("sure"))
+
+
+@register("seat_repairs", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '2024년 6월 20일 1층' ELSE '1층 B구역 ' || (c_custkey % 20 + 1) || '열 10번' END AS seat, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'row-before-number,one' ELSE 'zero,one' END AS rules FROM customer")
+def seat_repairs(spark, sf_dir):
+    row = (F.col("c_custkey") % 20 + 1).cast("string")
+    raw = F.when(F.col("c_custkey") % 3 == 0, "2024년 6월 20일 1층").when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("l층 B구역 "), row, F.lit("일 10번"))).otherwise(F.concat(F.lit("I층 B구역 "), row, F.lit("열 1O번")))
+    c = table(spark, sf_dir, "customer").select("c_custkey", T.repaired_seat(raw).alias("r"))
+    return c.select("c_custkey", F.col("r.text").alias("seat"), F.array_join("r.rules", ",").alias("rules"))
+
+
+@register("forces", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'concerto' WHEN p_size % 4 = 1 THEN 'solo' WHEN p_size % 4 = 2 THEN 'concerto' END AS forces, CASE WHEN p_size % 4 < 2 THEN 0.9 WHEN p_size % 4 = 2 THEN 0.7 END::DOUBLE AS confidence FROM part")
+def forces(spark, sf_dir):
+    form = F.element_at(F.array(*map(F.lit, ("Piano Concerto", "sonata ", "triple concerto", "else"))), (F.col("p_size") % 4 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", T.forces_of(form, (("piano concerto", "concerto"), ("sonata", "solo"), ("concerto", "concerto"))).alias("f"))
+    return p.select("p_partkey", "f.forces", "f.confidence")

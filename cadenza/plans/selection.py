@@ -246,7 +246,7 @@ def run_dates(spark, sf_dir):
     return o.select("o_orderkey", "p.first", "p.last", "fixed")
 
 
-@register("canonical_names", r"SELECT c_custkey, regexp_replace(lower(c_name), '[#\s]', '', 'g') AS canonical, regexp_replace(lower(c_name), '[#\s]', '', 'g') AS venue, substr(sha256(c_name), 1, 16) AS key FROM customer")
+@register("canonical_names", r"SELECT c_custkey, lower(c_name) AS canonical, regexp_replace(lower(c_name), '[#\s]', '', 'g') AS venue, substr(sha256(c_name), 1, 16) AS key FROM customer")
 def canonical_names(spark, sf_dir):
     name = F.concat(F.lit(" "), F.col("c_name"), F.lit("​!"))
     return table(spark, sf_dir, "customer").select("c_custkey", canonical(name, compose=False).alias("canonical"), venue_text(F.concat("c_name", F.lit("　."))).alias("venue"), hash_key(F.col("c_name")).alias("key"))
