@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.session import saved
+from cadenza.session import saved, small_side
 
 
 def idempotent(log: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -21,14 +21,29 @@ def above_watermark(log: DataFrame, marks: DataFrame, device: str = "device", se
     return log.join(marks.select(device, mark), device, "left").filter(F.col(mark).isNull() | (F.col(seq) > F.col(mark))).drop(mark)
 
 
-def replay(log: DataFrame, entity: str, base_rev: str, order: Sequence[str]) -> DataFrame:
-    """Optimistic concurrency: in order, an entry is applied if its base revision is the entity's, which then rises by one.
+#: Entries of an entity that are folded in one row; longer logs are followed by pointers.
+SHORT_LOG = 2_000
 
-    Adds applied and rev. Revisions rise by one and never fall, so the entry that is
-    applied on base r is the first one with base r after the entry applied on r - 1.
-    Each entry therefore points to one successor, the applied ones are a path from
-    the first entry with base 0, and the path is found by pointer doubling: a log of
-    n entries takes log2 n rounds, and no entity's log is gathered.
+
+def _folded(log: DataFrame, entity: str, base_rev: str, order: Sequence[str]) -> DataFrame:
+    """replay() for short logs: one grouped pass, the fold runs inside an entity's row."""
+    items = F.array_sort(F.collect_list(F.struct(*order, F.col(base_rev).cast("long").alias("_base"), F.struct(*log.columns).alias("_row"))))
+    each = log.groupBy(entity).agg(items.alias("_items"))
+
+    def step(acc, x):
+        ok = F.coalesce(x["_base"] == acc["rev"], F.lit(False))
+        rev = F.when(ok, acc["rev"] + 1).otherwise(acc["rev"])
+        return F.struct(rev.alias("rev"), F.concat(acc["out"], F.array(F.struct(ok.alias("applied"), rev.alias("rev")))).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("rev"), F.expr("CAST(array() AS array<struct<applied:boolean,rev:bigint>>)").alias("out"))
+    folded = each.select("_items", F.aggregate("_items", start, step, lambda acc: acc["out"]).alias("_out"))
+    return folded.select(F.explode(F.zip_with("_items", "_out", lambda i, o: F.struct(i["_row"].alias("row"), o["applied"].alias("applied"), o["rev"].alias("rev")))).alias("x")).select("x.row.*", "x.applied", "x.rev")
+
+
+def _followed(log: DataFrame, entity: str, base_rev: str, order: Sequence[str]) -> DataFrame:
+    """replay() for logs of any length: each entry points to its successor, the applied ones are the path from the first entry with base 0.
+
+    The path is found by pointer doubling, so a log of n entries takes log2 n rounds.
     """
     e = F.struct(F.col(entity).alias("e")).alias("_e")  # in a struct a null entity equals itself
     rows = saved(log.withColumn("_base", F.col(base_rev).cast("long")).withColumn("_n", F.row_number().over(Window.partitionBy(entity).orderBy(*order)).cast("long")).select("*", e))
@@ -49,6 +64,21 @@ def replay(log: DataFrame, entity: str, base_rev: str, order: Sequence[str]) ->
     return marked.select(*log.columns, "applied", F.coalesce(rev, F.lit(0)).cast("long").alias("rev"))
 
 
+def replay(log: DataFrame, entity: str, base_rev: str, order: Sequence[str], short: int = SHORT_LOG) -> DataFrame:
+    """Optimistic concurrency: in order, an entry is applied if its base revision is the entity's, which then rises by one.
+
+    Adds applied and rev. Revisions rise by one and never fall, so the entry that is
+    applied on base r is the first one with base r after the entry applied on r - 1.
+    Entities of up to ``short`` entries are folded, the others followed by pointers,
+    so no long log is ever gathered.
+    """
+    long = log.groupBy(entity).agg(F.count("*").alias("_k")).filter(F.col("_k") > short).select(F.col(entity).alias("_long"))
+    if long.isEmpty():
+        return _folded(log, entity, base_rev, order)
+    long, is_long = small_side(long), F.col(entity).eqNullSafe(F.col("_long"))
+    return _folded(log.join(long, is_long, "left_anti"), entity, base_rev, order).unionByName(_followed(log.join(long, is_long, "left_semi"), entity, base_rev, order))
+
+
 def latest(log: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:
     """The winning entry of each entity by revision, then device: never by clock."""
     best = F.max_by(F.struct(*log.columns), F.struct(*order))

@@ -37,20 +37,23 @@ def test_redirects_of_any_length_and_cycles(spark):
 def test_replay_is_the_fold(spark):
     rng = random.Random(2)
     rows = [(e if e < 6 else None, i, rng.choice([None, *range(12)])) for e in range(7) for i in range(80)]
-    got = sync.replay(spark.createDataFrame(rows, "entity long, seq long, base long").repartition(4), "entity", "base", ["seq"]).collect()
+    rows += [(99, i, b) for i, b in enumerate([0, 1, 1, 5, 2])]
+    log = spark.createDataFrame(rows, "entity long, seq long, base long").repartition(4)
+    got = [sync.replay(log, "entity", "base", ["seq"], short=short).collect() for short in (1000, 50, 0)]
     want = []
-    for e in [0, 1, 2, 3, 4, 5, None]:
+    for e in [0, 1, 2, 3, 4, 5, 99, None]:
         rev = 0
         for _, i, b in sorted((r for r in rows if r[0] == e), key=lambda r: r[1]):
             ok = b == rev
             rev += ok
             want.append((e, i, b, ok, rev))
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    for have in got:
+        assert sorted(map(str, map(tuple, have))) == sorted(map(str, want))
 
 
 def test_replay_sorted_by_sequence_not_base(spark):
     rows = [(1, i, b) for i, b in enumerate([0, 0, 2, 1, 1, 2, 3])]
-    got = sync.replay(spark.createDataFrame(rows, "entity long, seq long, base long"), "entity", "base", ["seq"]).orderBy("seq").collect()
+    got = sync.replay(spark.createDataFrame(rows, "entity long, seq long, base long"), "entity", "base", ["seq"], short=0).orderBy("seq").collect()
     assert [(r["applied"], r["rev"]) for r in got] == [(True, 1), (False, 1), (False, 1), (True, 2), (False, 2), (True, 3), (True, 4)]
 
 
