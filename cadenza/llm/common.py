@@ -77,6 +77,13 @@ class Hashes(dict):
         return h
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Has Python workers read 1,000 rows at a time, unless the session says how many: batches of long texts fill an executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":  # Spark's own default
+        spark.conf.set(key, "1000")
+
+
 @contextmanager
 def in_order(spark: SparkSession):
     """While it is open, scans of sorted buckets count as sorted.

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, ids, null_id, slices
+from cadenza.llm.common import Scratch, ids, null_id, short_batches, slices
 from cadenza.llm.wordcodes import Runs, Words, parts
 
 NAME = "op3_unit_hashing"
@@ -200,6 +200,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     0 looks for none.
     """
     scratch = scratch or Scratch(docs.sparkSession, "units")
+    short_batches(docs.sparkSession)
     rows = docs.select(ids(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     units = scratch.save(unit_digests(rows, unit, least_words, passage), "units")
     # later documents lose the unit; within a document, all but its first occurrence

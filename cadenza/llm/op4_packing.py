@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch, maybe_broadcast, slices
+from cadenza.llm.common import Scratch, maybe_broadcast, short_batches, slices
 
 NAME = "op4_concatenate_and_cut"
 ORACLE = None
@@ -188,6 +188,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     0 for a full one).
     """
     scratch = scratch or Scratch(docs.sparkSession, "packing")
+    short_batches(docs.sparkSession)
     tokens = scratch.save(tokenise(docs, path, end_id, id_col, text_col), "tokens")
     # one row for each task of pass 1, so the window and the broadcast are of that size
     totals = tokens.groupBy("task").agg(F.sum("n").alias("size"))

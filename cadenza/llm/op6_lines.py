@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SPACES, Scratch, ids, in_order, maybe_broadcast, null_id, slices, small
+from cadenza.llm.common import SPACES, Scratch, ids, in_order, maybe_broadcast, null_id, short_batches, slices, small
 
 NAME = "op6_levelled_line_runs"
 
@@ -146,6 +146,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if fixed & set(carry):
         raise ValueError(f"carried columns clash with results: {sorted(fixed & set(carry))}")
     scratch = scratch or Scratch(docs.sparkSession, "lines")
+    short_batches(docs.sparkSession)
     rows = docs.select(ids(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)])
     dealt = line_digests(rows.select("id", "tag", "text"), least_chars).withColumn("batch", F.pmod(F.hash("id"), F.lit(batches)))
     lines = scratch.save(dealt, "lines", by="batch")  # a batch reads its own files

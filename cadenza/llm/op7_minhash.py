@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Hashes, Scratch, ids, maybe_broadcast, null_id
+from cadenza.llm.common import Hashes, Scratch, ids, maybe_broadcast, null_id, short_batches
 from cadenza.llm.components import connected_components
 
 NAME = "op7_minhash_components"
@@ -189,6 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block bounds the members of a star that are compared at once; it changes no result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
+    short_batches(docs.sparkSession)
     rows = docs.select(ids(id_col).alias("id"), F.col(text_col).alias("text"))
     base = scratch.save(signed(rows), "signed")
     classes = scratch.save(base.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")

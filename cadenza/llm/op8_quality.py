@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Hashes, slices
+from cadenza.llm.common import Hashes, short_batches, slices
 
 NAME = "op8_suffix_repetition"
 
@@ -123,6 +123,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     results = {id_col, *FIELDS, "base_failed", "kept"}
     if results & set(carry):
         raise ValueError(f"carried columns clash with results: {sorted(results & set(carry))}")
+    short_batches(docs.sparkSession)
     named = {c: "_text" if c == text_col else f"_carry{i}" for i, c in enumerate(carry)}
     kept = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in named.items() if n != "_text"])
     fields = [f.name for f in kept.schema.fields if f.name != "_text" or "_text" in named.values()]
