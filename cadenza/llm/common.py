@@ -84,6 +84,21 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """While it is open, Python workers read at most that many rows at a time; for jobs that run inside it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 @contextmanager
 def in_order(spark: SparkSession):
     """While it is open, scans of sorted buckets count as sorted.
@@ -127,6 +142,19 @@ def ids(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(key, id, text) and whether keys are new: key is a long of each row's own, in the order of the id, nulls first.
+
+    It is the id itself where no row shares one or has none; otherwise the rows are
+    sorted by id and hash of the text, numbered and saved.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if rows.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():
+        return rows.select(F.col("id").alias("key"), "id", "text"), False
+    ordered = rows.orderBy(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    return scratch.save(ordered.select(F.monotonically_increasing_id().alias("key"), "id", "text"), "numbered"), True
+
+
 def null_id(column: str) -> Column:
     """Undoes ids()."""
     return F.when(F.col(column) != F.lit(NO_ID), F.col(column))

@@ -47,15 +47,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Scratch
+from cadenza.llm.common import Scratch, batch_rows
 
 NAME = "op12_hard_negatives"
 
 SCALE = 256
 #: Rows that pivots and ring borders are fitted on; pivots; rings of each.
 SAMPLE, PIVOTS, RINGS = 2048, 16, 12
-#: Rows of a chunk, rows of a ring's part, and queries of a pack.
-CHUNK, PART, PACK = 2048, 16_384, 256
+#: Rows of a chunk, rows of a ring's part, queries of a pack, and pairs of both that a worker reads at once.
+CHUNK, PART, PACK, PAIRS = 2048, 16_384, 256, 64
 #: The part of the sample's bound that a first round scans.
 FIRST = 0.85
 LARGEST = 1 << 27
@@ -277,7 +277,8 @@ def nearest(queries: DataFrame, index: DataFrame, space: Space, k: int, scratch:
         kept = found.unionByName(before).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         lists = kept.groupBy("anchor", "slot").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("s")).select("anchor", "slot", F.col("s.id").alias("new_ids"), F.col("s.score").alias("new_scores"))
         joined = state.join(lists, ["anchor", "slot"], "left").withColumns({"reach": F.col("want"), "ids": F.coalesce("new_ids", "ids"), "scores": F.coalesce("new_scores", "scores")}).drop("new_ids", "new_scores")
-        state = scratch.save(advanced(joined, space, k, False), f"{name}-{turn}")
+        with batch_rows(spark, PAIRS):
+            state = scratch.save(advanced(joined, space, k, False), f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
     return state
 
