@@ -268,11 +268,12 @@ def nearest(queries: DataFrame, index: DataFrame, space: Space, k: int, scratch:
     state = scratch.save(advanced(opened, space, k, True), f"{name}-0")
     parts = spark.createDataFrame([(int(p), int(r), int(n)) for p, r, n, _, _ in space.rings], "pivot int, ring int, parts int")
     dealt = index.join(F.broadcast(parts), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("ids"), "parts").cast("int")).drop("parts", "n", "low", "high")
+    # merged: Spark takes the requests for as small as the queries they are made of, and would broadcast them
     best = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "id")
     turn = 0
     while not (open_ := state.filter("want > reach")).isEmpty():
         turn += 1
-        found = scanned(requests(open_, space, k).join(dealt, ["pivot", "ring", "part"]), space, k)
+        found = scanned(requests(open_, space, k).join(dealt.hint("merge"), ["pivot", "ring", "part"]), space, k)
         before = open_.select("anchor", "slot", F.explode(F.arrays_zip("ids", "scores")).alias("s")).select("anchor", "slot", F.col("s.ids").alias("id"), F.col("s.scores").alias("score"))
         kept = found.unionByName(before).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         lists = kept.groupBy("anchor", "slot").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("s")).select("anchor", "slot", F.col("s.id").alias("new_ids"), F.col("s.score").alias("new_scores"))
