@@ -92,18 +92,19 @@ def prefixed(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(base: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(hub, id, n), saved: every linking pair of classes has a hub in common."""
-    tokens = base.select("key", "n", F.xxhash64("digest").alias("set"), F.explode("tokens").alias("token"))
+    """(hub, id, n, copies, lower, size, volume), saved: every linking pair of classes has a hub in common."""
+    tokens = base.select("key", F.xxhash64("digest").alias("set"), F.explode("tokens").alias("token"))
     held = tokens.groupBy("token").agg(F.min("key").alias("hub"), F.count("*").alias("df"), F.min("set").alias("s0"), F.max("set").alias("s1"))
     shared = scratch.save(held.filter("s0 <> s1").select("token", "hub", "df"), "shared")
-    mine = tokens.select("key", "n", "token").join(shared.hint("merge"), "token").join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
-    listed = mine.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token", "hub"))).alias("held"))  # a part of one document
+    mine = tokens.select("key", "token").join(shared.hint("merge"), "token")
+    listed = mine.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token", "hub"))).alias("held"))  # a part of one document
+    listed = listed.join(classes.select(F.col("rep").alias("key"), "n", "copies").hint("merge"), "key")  # copies go
     left = F.slice("held", F.lit(1), F.greatest(F.size("held") - to_drop(F.col("n"), percent), F.lit(0)))
-    hubs = scratch.save(listed.select(F.col("key").alias("id"), "n", F.array_distinct(F.transform(left, lambda x: x["hub"])).alias("hubs")).filter(F.size("hubs") > 0), "hubs")
-    member = hubs.select("id", "n", F.explode("hubs").alias("hub"), "hubs")
+    hubs = scratch.save(listed.select(F.col("key").alias("id"), "n", "copies", F.array_distinct(F.transform(left, lambda x: x["hub"])).alias("hubs")).filter(F.size("hubs") > 0), "hubs")
+    member = hubs.select("id", "n", "copies", F.explode("hubs").alias("hub"), "hubs")
     # a hub that one class alone has kept joins nothing
     some = member.groupBy("hub").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("size"), F.sum("n").alias("volume")).filter("a < z")
-    return scratch.save(member.join(some.select("hub", "size", "volume"), "hub").select("hub", "id", "n", F.filter("hubs", lambda h: h < F.col("hub")).alias("lower"), "size", "volume"), "members")
+    return scratch.save(member.join(some.select("hub", "size", "volume"), "hub").select("hub", "id", "n", "copies", F.filter("hubs", lambda h: h < F.col("hub")).alias("lower"), "size", "volume"), "members")
 
 
 class Inverted:
@@ -200,9 +201,9 @@ def cells(member: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
     own = F.array(cell(c, b, b, True, True))
     up = F.transform(other, lambda j: cell(c, b, j + 1_000_000, True, False))  # against the next size class
     down = F.transform(other, lambda i: cell(c - 1, i, b + 1_000_000, False, True))
-    dealt = sized.select("hub", "id", "n", "lower", F.explode(F.concat(same, over, own, up, down)).alias("cell")).select("hub", "id", "n", "lower", "cell.*")
+    dealt = sized.select("hub", "id", "n", "copies", "lower", F.explode(F.concat(same, over, own, up, down)).alias("cell")).select("hub", "id", "n", "copies", "lower", "cell.*")
     keep = dealt.groupBy("hub", "class", "i", "j").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max("left").alias("l"), F.max("right").alias("r")).filter("a < z AND l AND r").select("hub", "class", "i", "j")
-    return dealt.join(keep, ["hub", "class", "i", "j"]).join(sets, "id")
+    return dealt.join(keep, ["hub", "class", "i", "j"]).join(sets.hint("merge"), "id")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
@@ -215,12 +216,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, new = numbered(docs, id_col, text_col, scratch)
     with batch_rows(spark, 1000):
         base = scratch.save(prefixed(rows, percent), "prefixes", codec="lz4")
-    classes = scratch.save(base.filter("n > 0").groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = scratch.save(base.filter("n > 0").groupBy("digest").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
     member = candidates(base.filter("n > 0"), classes, percent, scratch)
     wanted = maybe_broadcast(scratch.save(member.select(F.col("id").alias("key")).distinct(), "wanted"))
     texts = rows.select("key", "text").join(wanted, "key", "left_semi").select(F.col("key").alias("id"), "text")
     with batch_rows(spark, 1000):
-        sets = scratch.save(shingled(texts).join(classes.select(F.col("rep").alias("id"), "copies"), "id").select("id", "items", "copies"), "sets", codec="lz4")
+        sets = scratch.save(shingled(texts).select("id", "items"), "sets", codec="lz4")
     found = cells(member, sets, percent, block).groupBy("hub", "class", "i", "j").applyInPandas(lambda pdf: compare_cell(pdf, percent), "u long, v long, links long")
     found = scratch.save(found, "found")
     roots = connected_components(found.filter("v IS NOT NULL").select("u", "v"), scratch, "parts")
