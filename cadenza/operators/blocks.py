@@ -1,15 +1,13 @@
-"""Ordered lines: runs of hits, line dedup in a window, dictionary matches, reading order."""
+"""Ordered lines: runs of hits, line dedup in a window, aliases in texts, reading order."""
 
 from __future__ import annotations
 
-import re
 from collections import deque
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from cadenza.session import small_side
 
@@ -60,42 +58,6 @@ def merge_scales(lines: DataFrame, page: str, canonical: str, scale: str, at: st
     return lines.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-MATCH = StructType([StructField("name", StringType()), StructField("confidence", DoubleType()), StructField("start", IntegerType()), StructField("stop", IntegerType())])
-
-
-def name_matcher(hangul: Mapping[str, str], latin: Mapping[str, str]):
-    """A pandas UDF that finds a known name: text to struct<name, confidence, start, stop>.
-
-    Hangul aliases count only between non-Hangul characters; the longest wins, the
-    first among equals (0.95). Else the first Latin word, or its first or last part,
-    that is a known surname in lower case (0.9). The dictionaries travel with the
-    function, so they are for thousands of names, not millions.
-    """
-    syllable = "[가-힣]"
-    known = re.compile(f"(?<!{syllable})(?:" + "|".join(map(re.escape, sorted(hangul, key=lambda k: (-len(k), k)))) + f")(?!{syllable})") if hangul else None
-    word = re.compile(r"[^\W\d_]{3,}(?:['’][^\W\d_]+)*(?:[- ][^\W\d_]{3,})?")
-
-    def look(text: str | None):
-        text = text or ""
-        found = list(known.finditer(text)) if known else []
-        if found:
-            m = max(found, key=lambda m: (m.end() - m.start(), -m.start()))
-            return hangul[m[0]], 0.95, m.start(), m.end()
-        for m in word.finditer(text):
-            whole = m[0].lower()
-            for part in dict.fromkeys([whole, re.split("[- ]", whole)[0], re.split("[- ]", whole)[-1]]):
-                if part in latin:
-                    at = m.start() + whole.find(part)
-                    return latin[part], 0.9, at, at + len(part)
-        return None, 0.0, -1, -1
-
-    @F.pandas_udf(MATCH)
-    def match(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([look(t) for t in texts], columns=MATCH.names)
-
-    return match
-
-
 #: Aliases that may be matched inside a row.
 SHORT_LIST = 2_000
 

@@ -33,14 +33,6 @@ def test_lines(spark):
     assert [r["t"] for r in B.reading_order(boxes, "page", "x", "y").orderBy("position").collect()] == ["a", "b", "c"]
 
 
-def test_names(spark):
-    match = B.name_matcher({"가나": "Gana", "가나다라": "Ganadara"}, {"smith": "Smith", "de": "De"})
-    texts = ["곡 가나 협주곡", "가나다라, 소나타 가나", "마가나", "by John Smith-Jones", "nothing here", None]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", match("t").alias("m")).orderBy("i").collect()
-    assert [r["m"]["name"] for r in rows] == ["Gana", "Ganadara", None, "Smith", None, None]
-    assert (rows[0]["m"]["start"], rows[0]["m"]["stop"]) == (2, 4)
-
-
 def test_longest_alias(spark):
     halls = spark.createDataFrame([("h1", "grand hall"), ("h2", "hall"), ("h3", "small room")], "hall string, alias string")
     rows = spark.createDataFrame([(1, "city grand hall, 2f"), (2, "old hall"), (3, "park")], "i int, t string")
