@@ -152,13 +152,18 @@ def sort_name(s: Column) -> Column:
     return F.when(n < 2, s).otherwise(F.concat_ws(", ", F.element_at(w, -1), F.array_join(F.slice(w, F.lit(1), n - 1), " ")))
 
 
+def unescape(s: Column) -> Column:
+    """The common character references of a page, read."""
+    for name, to in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        s = F.replace(s, F.lit(f"&{name};"), F.lit(to))
+    return s
+
+
 def html_lines(html: Column) -> Column:
     """Lines of a page: comments, scripts and styles dropped, block tags break lines, other tags go, white space is joined, empty lines go."""
     x = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     x = F.regexp_replace(x, r"(?is)<(script|style)\b.*?</(?:script|style)>", "")
     x = F.regexp_replace(x, r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/td|/th|/ul|/ol|/table|/title)\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"(?s)<[^>]*>", "")
-    for name, to in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
-        x = F.replace(x, F.lit(f"&{name};"), F.lit(to))
-    x = F.regexp_replace(F.regexp_replace(x, "[\u200B-\u200D\uFEFF]", ""), "[ \t\r\f\u00A0]+", " ")
+    x = F.regexp_replace(F.regexp_replace(unescape(x), "[\u200B-\u200D\uFEFF]", ""), "[ \t\r\f\u00A0]+", " ")
     return F.filter(F.transform(F.split(x, "\n", -1), lambda v: F.trim(v)), lambda v: v != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions.numbers import rounded
-from cadenza.functions.text import html_lines, latin_ratio, similarity
+from cadenza.functions.text import latin_ratio, similarity
 from cadenza.operators import evaluation as E
 from cadenza.operators import geometry as G
 from cadenza.operators import retrieval as R
@@ -83,12 +83,6 @@ def text_similarity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", rounded(similarity(F.lower("p_name"), F.lower("p_type"))).alias("similarity"))
 
 
-@register("page_lines", None)
-def page_lines(spark, sf_dir):
-    """Lines of every page with their number."""
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(html_lines(F.col("html"))).alias("line_no", "line"))
-
-
 @register("script_shares", None)
 def script_shares(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rounded(latin_ratio(F.col("text"))).alias("latin"))
