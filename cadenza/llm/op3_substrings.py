@@ -6,16 +6,15 @@ map-side minimum, so no group is collected; the earliest ranked occurrence of ea
 digest is kept and all others are removed. What is removed is given by its offsets
 in the original.
 
-Units are lines, or paragraphs between blank lines, of at least ``least_words``
-words, and each whole text of any length. With ``passage`` words given, passages
+Units are all lines with a word, or paragraphs between blank lines, and each whole
+text; ``least_words`` can ask for longer ones. With ``passage`` words given, passages
 inside units are found as well, wherever they begin and end: a text is also cut at
 content-defined places, where a shingle of 8 words has the least hash of w shingles
 about it, and the words from one such place to the end of the next one's shingle are
-a unit. Equal runs are cut alike wherever they stand. With w = (passage -
-least_words) / 2 + 1, units of the same cuts cover at least ``least_words`` words of
-any run of ``passage`` words. Cuts that go are united, and only spans of at least
-``least_words`` words are removed, so a run loses all but fewer than w words at
-either end.
+a unit. Equal runs are cut alike wherever they stand. With w = (passage - core) / 2
++ 1, units of the same cuts cover at least ``core`` words of any run of ``passage``
+words. Cuts that go are united, and only spans of at least ``core`` words are
+removed, so a run loses all but fewer than w words at either end.
 
 Rank is the id, ascending, then the position in the text; each unit stays where it
 has its least rank. Digests that very many units share are few, at most HOT_SHARE of
@@ -23,8 +22,8 @@ a corpus whatever its size, and are joined by broadcast; all others by shuffle.
 
 Defined results: a null text is empty; a null id ranks before all others; rows that
 share an id count as one document for ranking, so equal rows all keep their units;
-a unit repeated inside one document is removed after its first occurrence; a line
-or paragraph of fewer than ``least_words`` words stays unless its whole text goes.
+a unit repeated inside one document is removed after its first occurrence; lines
+without a word are no units and stay unless the whole text goes.
 """
 
 from __future__ import annotations
@@ -45,8 +44,8 @@ ORACLE = None
 #: Line ends between two words that end a unit.
 UNITS = {"line": 1, "paragraph": 2}
 SHINGLE = 8
-#: Least words of a unit, and of a run that is found wherever it stands.
-LEAST_WORDS, PASSAGE = 16, 50
+#: Least words of a line or paragraph; of a run that is found wherever it stands; and of what such a run loses.
+LEAST_WORDS, PASSAGE, CORE = 1, 50, 16
 #: A digest is hot if more than one in HOT_SHARE units has it, so fewer than that many are.
 HOT_SHARE = 100_000
 DIGEST = ["h1", "h2"]
@@ -105,13 +104,13 @@ def n_last(n: int, w: int) -> slice:
     return slice(w + SHINGLE - 2, w + SHINGLE - 2 + n)
 
 
-def unit_digests(docs: DataFrame, unit: str, least_words: int, passage: int) -> DataFrame:
+def unit_digests(docs: DataFrame, unit: str, least_words: int, passage: int, core: int) -> DataFrame:
     """docs(id, tag, text) to (id, tag, start, stop, soft, first, h1, h2), one row for each unit.
 
     Offsets are code points, stop exclusive; soft marks units of content-defined
     cuts, first a digest's first unit in its document.
     """
-    w = (passage - least_words) // 2 + 1
+    w = (passage - core) // 2 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,14 +154,14 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def removed(text: str, spans: list[dict], least_words: int) -> list[tuple[int, int]]:
+def removed(text: str, spans: list[dict], core: int) -> list[tuple[int, int]]:
     """The spans of one text that go: all hard ones, and united soft ones with enough words."""
     soft = united([(s["start"], s["stop"]) for s in spans if s["soft"]])
-    long = [(a, b) for a, b in soft if len(text[a:b].encode("utf-8", "surrogatepass").split()) >= least_words]
+    long = [(a, b) for a, b in soft if len(text[a:b].encode("utf-8", "surrogatepass").split()) >= core]
     return united([(s["start"], s["stop"]) for s in spans if not s["soft"]] + long)
 
 
-def without(docs: DataFrame, least_words: int) -> DataFrame:
+def without(docs: DataFrame, core: int) -> DataFrame:
     """docs(id, text, spans) to (id, removed, kept_text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +169,7 @@ def without(docs: DataFrame, least_words: int) -> DataFrame:
             gone, kept = [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 text = text or ""
-                cut = removed(text, spans, least_words) if spans else []
+                cut = removed(text, spans, core) if spans else []
                 edges = [0, *[x for s in cut for x in s], len(text)]
                 kept.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if cut else text)
                 gone.append([{"start": a, "stop": b} for a, b in cut])
@@ -192,7 +191,7 @@ def elsewhere(units: DataFrame, scratch: Scratch) -> DataFrame:
     return common.unionByName(others)
 
 
-def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least_words: int = LEAST_WORDS, passage: int = 0, scratch: Scratch | None = None) -> DataFrame:
+def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least_words: int = LEAST_WORDS, passage: int = 0, core: int = CORE, scratch: Scratch | None = None) -> DataFrame:
     """Every row with n_removed, removed (array<struct<start, stop>>, original offsets) and kept_text.
 
     kept_text is the original without the removed spans; a removed line leaves its
@@ -202,18 +201,18 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = scratch or Scratch(docs.sparkSession, "units")
     short_batches(docs.sparkSession)
     rows = docs.select(ids(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-    units = scratch.save(unit_digests(rows, unit, least_words, passage), "units")
+    units = scratch.save(unit_digests(rows, unit, least_words, passage, core), "units")
     # later documents lose the unit; within a document, all but its first occurrence
     span = ["id", "tag", F.struct("start", "stop", "soft").alias("span")]
     lost = elsewhere(units, scratch).select(*span).unionByName(units.filter("NOT first").select(*span))
     gone = scratch.save(lost.groupBy("id", "tag").agg(F.collect_set("span").alias("spans")), "gone")
     scratch.drop("units")
-    out = without(rows.join(gone.hint("merge"), ["id", "tag"], "left"), least_words)
+    out = without(rows.join(gone.hint("merge"), ["id", "tag"], "left"), core)
     return out.select(null_id("id").alias(id_col), F.size("removed").cast("long").alias("n_removed"), "removed", "kept_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, by lines of 16 words or more and passages of 50."""
+    """All documents, by all lines and by passages of 50 words."""
     out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), passage=PASSAGE)
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return out.select("doc_id", "n_removed", spans.alias("removed_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -15,7 +15,7 @@ WORD = re.compile(r"[^\x20\t\n\x0b\x0c\r]+")
 low = lambda i: -(2**63) if i is None else i
 
 
-def plain_units(text, unit, least, passage):
+def plain_units(text, unit, least, passage, core):
     """(start, stop, soft, key) of one text, by start: plain loops."""
     text = text or ""
     spans = [m.span() for m in WORD.finditer(text)]
@@ -36,7 +36,7 @@ def plain_units(text, unit, least, passage):
             stop = text.find("\n", spans[g[-1]][1])
             out.append((start, len(text) if stop < 0 else stop, False, ("unit", *[w[i] for i in g])))
     if passage:
-        k, width = op3.SHINGLE, (passage - least) // 2 + 1
+        k, width = op3.SHINGLE, (passage - core) // 2 + 1
         coded = Words(pa.array([text]))
         values = op3.shingle_values(Runs(coded), len(coded)).tolist()
         at = sorted({p for s in range(len(values) - width + 1) for p in range(s, s + width) if values[p] == min(values[s : s + width])})
@@ -44,8 +44,8 @@ def plain_units(text, unit, least, passage):
     return sorted(out, key=lambda u: u[:3])
 
 
-def brute(rows, unit="line", least=op3.LEAST_WORDS, passage=0):
-    units = [(low(i), plain_units(t, unit, least, passage)) for i, t in rows]
+def brute(rows, unit="line", least_words=op3.LEAST_WORDS, passage=0, core=op3.CORE):
+    units = [(low(i), plain_units(t, unit, least_words, passage, core)) for i, t in rows]
     owner = {}
     for i, us in units:
         for *_, key in us:
@@ -61,7 +61,7 @@ def brute(rows, unit="line", least=op3.LEAST_WORDS, passage=0):
                 spans += [(a, b)] if is_soft else []
             seen.add(key)
         for a, b in op3.united(spans):
-            if len(words(t[a:b])) >= least:
+            if len(words(t[a:b])) >= core:
                 hard[a:b] = True
         want.append((i, int(hard.sum()), sha("".join(c for c, g in zip(t, hard) if not g))))
     return want
@@ -71,10 +71,10 @@ def got(df, **more):
     return [(r[0], sum(s["stop"] - s["start"] for s in r[2]), sha(r[3])) for r in op3.dedup_units(df, **more).collect()]
 
 
-@pytest.mark.parametrize("options", [{}, {"unit": "paragraph"}, {"least_words": 1}, {"passage": 50}, {"passage": 12, "least_words": 4, "unit": "paragraph"}], ids=str)
+@pytest.mark.parametrize("options", [{}, {"unit": "paragraph"}, {"least_words": 16}, {"passage": 50}, {"passage": 12, "core": 4, "unit": "paragraph"}, {"passage": 50, "least_words": 8}], ids=str)
 def test_units(docs, options):  # noqa: F811
     rows, df = docs
-    assert order(got(df, **options)) == order(brute(rows, options.get("unit", "line"), options.get("least_words", op3.LEAST_WORDS), options.get("passage", 0)))
+    assert order(got(df, **options)) == order(brute(rows, **options))
 
 
 def test_every_run_of_fifty_words_goes_and_nothing_else(spark):
@@ -97,7 +97,7 @@ def test_every_run_of_fifty_words_goes_and_nothing_else(spark):
         gone = [any(a <= s and e <= b for a, b in have[i]) for s, e in spans]
         for p in range(len(w) - 49):
             if seen.get(tuple(w[p : p + 50]), i) < i:
-                assert sum(gone[p : p + 50]) >= op3.LEAST_WORDS
+                assert sum(gone[p : p + 50]) >= op3.CORE
         for p in np.flatnonzero(gone):
             assert any(seen.get(tuple(w[q : q + 9]), i) < i for q in range(max(0, p - 8), p + 1))
         for n in (9, 50):
@@ -107,7 +107,14 @@ def test_every_run_of_fifty_words_goes_and_nothing_else(spark):
 
 def test_short_texts_are_units_as_a_whole(spark):
     df = spark.createDataFrame([(1, "All rights reserved"), (2, " ALL rights \n reserved"), (3, "All rights reserved\nown words"), (4, " \n\n"), (5, " \n\n")], SCHEMA)
-    assert {r[0]: r["kept_text"] for r in op3.dedup_units(df).collect()} == {1: "All rights reserved", 2: "", 3: "All rights reserved\nown words", 4: " \n\n", 5: " \n\n"}
+    assert {r[0]: r["kept_text"] for r in op3.dedup_units(df).collect()} == {1: "All rights reserved", 2: "", 3: "\nown words", 4: " \n\n", 5: " \n\n"}
+
+
+def test_a_short_line_of_three_documents_stays_in_one(spark):
+    line = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(i, f"own {i}\n{line}\nmore {i}") for i in range(3)], SCHEMA)
+    kept = {r["doc_id"]: r["kept_text"] for r in op3.dedup_units(df, passage=50).collect()}
+    assert kept == {0: f"own 0\n{line}\nmore 0", 1: "own 1\n\nmore 1", 2: "own 2\n\nmore 2"}
 
 
 def test_words_and_positions():
