@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.session import small_side
+from cadenza.session import saved
 
 
 def work_index(occ: DataFrame, work: str, concert: str, date: str) -> DataFrame:
@@ -31,36 +31,29 @@ def count_histogram(index: DataFrame, n: str = "n") -> DataFrame:
     return h.select("v", "m", (F.sum("m").over(down) - F.col("m")).alias("above"), F.sum("m").over(Window.partitionBy()).alias("total"))
 
 
-#: Works of one count that a task may number; more are dealt to several.
-LARGE = 100_000
-
-
 def with_rarity(index: DataFrame, n: str = "n") -> DataFrame:
-    """Adds above (works with a greater count) and rarity, the percent rank, from the histogram of counts."""
-    h = small_side(count_histogram(index, n))
+    """Adds above (works with a greater count) and rarity, the percent rank, from the histogram of counts.
+
+    The histogram is broadcast: m distinct counts need m (m + 1) / 2 occurrences, so a
+    trillion of them make at most 1.4 million rows.
+    """
+    h = F.broadcast(count_histogram(index, n))
     share = F.when(F.col("total") > 1, F.col("above") / (F.col("total") - 1)).otherwise(F.lit(0.0))
     return index.join(h, F.col(n) == F.col("v")).select(*index.columns, "above", share.cast("double").alias("rarity"))
 
 
-def rank_and_rarity(index: DataFrame, work: str, n: str = "n", large: int = LARGE) -> DataFrame:
+def rank_and_rarity(index: DataFrame, work: str, n: str = "n") -> DataFrame:
     """Adds position (row number by count descending, then key) and rarity (percent rank).
 
-    The position is the number of works above, from the histogram, and the rank
-    inside one count. Most works may have the same count, so a count of more than
-    ``large`` works is dealt at cuts - keys of its own, one in ``large`` by hash, so
-    they are the same whenever they are made, and at most some thousand - and each
-    part is numbered for itself.
+    The index is sorted by ranges of (count, key), whatever number of works has the
+    same count, and saved once; a row's position is its place in its range and the
+    rows of the ranges before, one count a range.
     """
-    ranked = with_rarity(index, n)
-    out = [*index.columns, (F.col("above") + F.coalesce("_before", F.lit(0)) + F.row_number().over(Window.partitionBy(n, "_part").orderBy(work))).cast("long").alias("position"), "rarity"]
-    crowded = count_histogram(index, n).filter(F.col("m") > large)
-    if crowded.isEmpty():
-        return ranked.withColumn("_part", F.lit(0)).withColumn("_before", F.lit(0)).select(*out)
-    every = max(large, index.count() // 1000)
-    cuts = index.join(F.broadcast(crowded.select(F.col("v").alias(n))), n).filter(F.pmod(F.xxhash64(work), F.lit(every)) == 0)
-    cuts = cuts.groupBy(F.col(n).alias("_n")).agg(F.array_sort(F.collect_list(work)).alias("_cuts"))
-    dealt = ranked.join(small_side(cuts), F.col(n) == F.col("_n"), "left").withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(work))), F.lit(0))).drop("_cuts", "_n")
-    sizes = dealt.groupBy(F.col(n).alias("_n"), F.col("_part").alias("_p")).agg(F.count("*").alias("_size"))
-    before = Window.partitionBy("_n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = small_side(sizes.select("_n", "_p", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")))
-    return dealt.join(sizes, (F.col(n) == F.col("_n")) & (F.col("_part") == F.col("_p"))).select(*out)
+    order = [F.col(n).desc(), F.col(work)]
+    ordered = saved(index.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_before")))  # a row for each range
+    ranked = with_rarity(ordered, n).join(before, part == F.col("_part"))
+    return ranked.select(*index.columns, (F.col("_before") + place + 1).cast("long").alias("position"), "rarity")

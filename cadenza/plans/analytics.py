@@ -15,7 +15,7 @@ from cadenza.operators import programmes as P
 from cadenza.operators.frequency import rank_and_rarity, work_index
 from cadenza.plans.catalogue import register
 from cadenza.plans.core import occurrences
-from cadenza.session import small_side, table
+from cadenza.session import table
 
 TOPS, SHARES = (10, 20, 50, 100, 200, 500, 1000, 2000, 3000), (50, 60, 70, 80, 90, 95)
 COUNTS_SQL = "WITH idx AS (SELECT l_partkey AS work, count(*) AS n FROM lineitem GROUP BY 1)"
@@ -207,7 +207,7 @@ SELECT artist, count(DISTINCT l_orderkey) AS concerts, count(*) AS works, count(
 def artist_profile(spark, sf_dir):
     ranks = rank_and_rarity(counts(spark, sf_dir), "work")
     who = table(spark, sf_dir, "supplier").filter(F.col("s_name").rlike("(?i)00[1-9]$")).select("s_suppkey", F.col("s_name").alias("artist"))
-    lines = table(spark, sf_dir, "lineitem").join(small_side(who), F.col("s_suppkey") == F.col("l_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").join(who, F.col("s_suppkey") == F.col("l_suppkey"))
     j = lines.join(ranks, F.col("work") == F.col("l_partkey"))
     main = j.groupBy("artist").agg(F.countDistinct("l_orderkey").alias("concerts"), F.count("*").alias("works"), F.countDistinct("l_partkey").alias("unique_works"), rounded(F.avg("position")).alias("mean_rank"), rounded(ratio(100 * F.count_if(F.col("position") <= 100), F.count("*"))).alias("top100_percent"))
     return main.join(C.upper_median(j, "position", ["artist"]).withColumnRenamed("median", "median_rank"), "artist")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.numbers import rounded
 from cadenza.functions.numbers import rounded
 from cadenza.functions.parsers import fixed_date, play_dates
 from cadenza.functions.text import canonical, catalog_split, hash_key, separators, venue_text
 from cadenza.operators import selection as S
 from cadenza.plans.catalogue import register
-from cadenza.session import small_side, table
+from cadenza.session import table
 
 CONF = "((doc_id * 37) % 101) / 100.0::DOUBLE"
 
@@ -96,7 +95,7 @@ def first_order_of_day(spark, sf_dir):
 def segment_or_unknown(spark, sf_dir):
     """Lookup that keeps all rows, with a default."""
     known = table(spark, sf_dir, "nation").filter("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("place"))
-    return S.lookup(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), small_side(known), "k", "place", "unknown").select("c_custkey", "place")
+    return S.lookup(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), known, "k", "place", "unknown").select("c_custkey", "place")
 
 
 @register("asset_numbers", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS number, ((row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1) // 4)::BIGINT AS chunk FROM customer")
@@ -145,15 +144,15 @@ def fields_of_runs(spark, sf_dir):
 def delta_pull(spark, sf_dir):
     """What changed in the last three days, per user; the watermark is one scalar."""
     e = table(spark, sf_dir, "events")
-    since = e.agg(F.max("ts").alias("m")).first()["m"]
-    return S.changed_since(e, "ts", F.lit(since) - F.expr("INTERVAL 3 DAY")).groupBy("user_id").agg(F.count("*").alias("n"))
+    since = F.broadcast(e.agg(F.max("ts").alias("_last")))  # the one row of a global aggregate
+    return S.changed_since(e.join(since), "ts", F.col("_last") - F.expr("INTERVAL 3 DAY")).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @register("feedback_boosts", f"WITH w AS (SELECT 'type' AS axis, event_type AS value, count(*) / (SELECT count(*) FROM events)::DOUBLE AS weight FROM events GROUP BY 2), f AS (SELECT user_id, 'type' AS axis, event_type AS value FROM events) SELECT user_id, {r4('sum(weight)')} AS boost FROM f JOIN w USING (axis, value) GROUP BY 1")
 def feedback_boosts(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.lit("type").alias("axis"), F.col("event_type").alias("value"))
-    total = e.count()
-    w = small_side(e.groupBy("axis", "value").agg((F.count("*") / F.lit(total)).alias("weight")))
+    n = e.groupBy("axis", "value").agg(F.count("*").alias("n"))
+    w = n.select("axis", "value", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("weight"))  # a row for each type
     return S.boosts(e, w, ["user_id"]).select("user_id", rounded(F.col("boost")).alias("boost"))
 
 
@@ -211,7 +210,7 @@ def row_bands(spark, sf_dir):
 
 @register("map_status", "SELECT c_custkey, CASE WHEN n_nationkey IS NULL THEN 'unknown-venue' WHEN n_nationkey % 5 = 0 THEN 'unsupported-venue' WHEN c_custkey % 7 = 0 THEN 'seat-unknown' ELSE 'ok' END AS status FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20")
 def map_status(spark, sf_dir):
-    n = small_side(table(spark, sf_dir, "nation").filter("n_nationkey < 20").select("n_nationkey"))
+    n = table(spark, sf_dir, "nation").filter("n_nationkey < 20").select("n_nationkey")
     j = table(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     seat = F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey"))
     return j.select("c_custkey", S.map_status(F.col("n_nationkey").isNotNull(), F.coalesce(F.col("n_nationkey") % 5 != 0, F.lit(False)), seat).alias("status"))

@@ -39,7 +39,10 @@ SMALL_ROWS = 200_000
 
 
 def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else as it is; reads no more than that."""
+    """A saved table with a broadcast hint if it has at most limit rows, else as it is.
+
+    Only for tables that lie in files: the count of a plan would run it once more.
+    """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 

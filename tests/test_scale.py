@@ -21,12 +21,21 @@ def test_ranks_of_crowded_counts(spark):
     rows = [(f"w{rng.randrange(10**6)}-{i}", 1 if i % 10 else 2 + i % 7) for i in range(3000)]
     df = spark.createDataFrame(rows, "work string, n long").repartition(5)
     want = {w: k for k, (w, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
-    for large in (100, 10**6):
-        assert {r["work"]: r["position"] for r in Q.rank_and_rarity(df, "work", large=large).collect()} == want
+    assert {r["work"]: r["position"] for r in Q.rank_and_rarity(df, "work").collect()} == want
     occurrences = sorted(p for w, n in rows for p in [want[w]] * n)
     assert concentration.median_rank(df).first()[0] == occurrences[len(occurrences) // 2]
 
 
+def test_an_index_is_made_once(spark, tmp_path):
+    """Ranking reads the facts once: what runs later reads the saved index."""
+    path = str(tmp_path / "facts")
+    spark.range(1000).selectExpr("id % 70 AS work").write.parquet(path)
+    ranked = Q.rank_and_rarity(spark.read.parquet(path).groupBy("work").count().withColumnRenamed("count", "n"), "work")
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert path not in str(ranked.inputFiles()) and "Aggregate [work" not in plan
+    assert ranked.count() == 70
+
+
 def test_redirects_of_any_length_and_cycles(spark):
     links = [(i, i - 1) for i in range(1, 150)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (5, 5)]
     rows = spark.createDataFrame([(i,) for i in [0, 60, 149, 1000, 1003, 7777, None]], "id long")
