@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import saved
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
@@ -42,21 +49,78 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cosine_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 20) -> DataFrame:
+#: Vectors of one pack, which is one row.
+PACK = 2048
+
+
+def packs(rows: DataFrame, key: str, vector: str, tag: str | None) -> DataFrame:
+    """(tag, n, dims, keys, vectors): up to PACK vectors of one tag and length as one row of unit vectors, by key; null vectors are left out."""
+    flat = rows.select((F.lit("") if tag is None else F.col(tag).cast("string")).alias("tag"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).filter("vector IS NOT NULL AND tag IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            tags, keys, vectors = (b.column(c) for c in ("tag", "key", "vector"))
+            dims, tags = pc.list_value_length(vectors).to_numpy(), tags.to_pylist()
+            edges = [i for i in range(b.num_rows) if i == 0 or tags[i] != tags[i - 1] or dims[i] != dims[i - 1]]
+            for lo, hi in zip(edges, [*edges[1:], b.num_rows]):
+                for a in range(lo, hi, PACK):
+                    z = min(a + PACK, hi)
+                    ids = keys.slice(a, z - a).to_numpy()
+                    m = vectors.slice(a, z - a).flatten().to_numpy(zero_copy_only=False).reshape(z - a, dims[a])
+                    order = np.argsort(ids, kind="stable")
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        unit = m[order] / np.sqrt((m[order] ** 2).sum(1))[:, None]
+                    out.append((tags[a], z - a, int(dims[a]), ids[order].tobytes(), unit.tobytes()))
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["tag", "n", "dims", "keys", "vectors"])
+
+    return flat.sortWithinPartitions("tag", F.size("vector")).mapInArrow(run, "tag string, n long, dims int, keys binary, vectors binary")
+
+
+def best_of_pack(pairs: DataFrame, k: int) -> DataFrame:
+    """Pairs of packs to (query, key, similarity): the k best keys of each query in the pack, ties to smaller keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                keys, asked = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["q_keys"], np.int64)
+                unit, ask = (np.frombuffer(row[c], np.float64).reshape(len(x), row["dims"]) for c, x in (("vectors", keys), ("q_vectors", asked)))
+                score = ask @ unit.T
+                known = ~np.isnan(score)
+                rank = np.where(known, score, -np.inf)
+                fit = np.ones(score.shape, bool)
+                if len(keys) > k:  # columns are in order of keys, so the first of equal ones stay
+                    bar = np.partition(rank, len(keys) - k, axis=1)[:, len(keys) - k][:, None]
+                    above, tie = rank > bar, rank == bar
+                    fit = above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(1)[:, None]))
+                i, j = np.nonzero(fit)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(keys[j]), pa.array(score[i, j], mask=~known[i, j])], names=["query", "key", "similarity"])
+
+    return pairs.mapInArrow(run, "query long, key long, similarity double")
+
+
+def cosine_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 20, tag: str | None = None) -> DataFrame:
     """(query, key, similarity, place) of the k most similar vectors of each query, in exact search.
 
-    The queries are a stated set, and each is compared with every vector; ties go to
-    the smaller key. They are broadcast in blocks of QUERY_BLOCK at most, on average.
+    The queries are a stated set, and each is compared with every vector, or with
+    those of its own ``tag`` if a column of both is named. Queries are packed, saved and
+    broadcast in blocks of about QUERY_BLOCK; vectors never move: each pair of packs
+    is one matrix product and gives k rows a query, which meet in a window. Ties go to
+    the smaller key; vectors of other lengths are not compared; a zero vector is like
+    nothing and comes last with a null similarity.
     """
-    q = queries.select(F.col(query).alias("_q"), F.col(query_vector).alias("_v"))
-    n_blocks = -(-q.count() // QUERY_BLOCK) or 1
-    scored = None
-    for i in range(n_blocks):
-        block = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("_q"), F.lit(n_blocks)) == i)
-        one = vectors.join(F.broadcast(block)).select(F.col("_q").alias(query), key, cosine(F.col(vector), F.col("_v")).alias("similarity"))
-        scored = one if scored is None else scored.unionByName(one)
-    w = Window.partitionBy(query).orderBy(F.desc("similarity"), key)
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    asked = saved(packs(queries, query, query_vector, tag).select("tag", "dims", F.col("n").alias("q_n"), F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors")))
+    blocks = -(-(asked.agg(F.sum("q_n")).first()[0] or 0) // QUERY_BLOCK) or 1
+    held = packs(vectors, key, vector, tag)
+    found = None
+    for i in range(blocks):
+        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q_keys"), F.lit(blocks)) == i)
+        one = best_of_pack(held.join(F.broadcast(block.drop("q_n")), ["tag", "dims"]), k)
+        found = one if found is None else found.unionByName(one)
+    w = Window.partitionBy("query").orderBy(F.desc_nulls_last("similarity"), "key")
+    placed = found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return placed.select(F.col("query").alias(query), F.col("key").alias(key), "similarity", "place")
 
 
 def fuse(lists: list[DataFrame], query: str, key: str, k: int = 60) -> DataFrame:

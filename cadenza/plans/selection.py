@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.numbers import rounded
 from cadenza.functions.parsers import fixed_date, play_dates
 from cadenza.functions.text import canonical, catalog_split, hash_key, separators, venue_text
+from cadenza.operators import retrieval as R
 from cadenza.operators import selection as S
 from cadenza.plans.catalogue import register
 from cadenza.session import table
@@ -156,11 +157,15 @@ def feedback_boosts(spark, sf_dir):
     return S.boosts(e, w, ["user_id"]).select("user_id", rounded(F.col("boost")).alias("boost"))
 
 
-@register("tagged_by_similarity", "WITH e AS (SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings) SELECT label, vec_id FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY x DESC, vec_id) <= 5")
+@register("tagged_by_similarity", """WITH q AS (SELECT user_id, CAST(user_id % 10 AS INTEGER) AS label, embedding::DOUBLE[] AS v FROM (SELECT DISTINCT user_id FROM events) JOIN embeddings ON vec_id = user_id),
+s AS (SELECT user_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS c FROM q JOIN embeddings USING (label))
+SELECT user_id, vec_id, round(c, 5) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY c DESC, vec_id) <= 5""")
 def tagged_by_similarity(spark, sf_dir):
-    """A tag filter first, the vector only breaks ties: five of each label."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
-    return e.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("x"), "vec_id"))).filter("r <= 5").select("label", "vec_id")
+    """Of the works with the tag that a user asks for, the five nearest to the user's taste vector."""
+    e = table(spark, sf_dir, "embeddings")
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    taste = users.join(e.select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("taste")), "user_id").withColumn("label", (F.col("user_id") % 10).cast("int"))
+    return R.cosine_top(e, "vec_id", "embedding", taste, "user_id", "taste", k=5, tag="label").select("user_id", "vec_id", F.round("similarity", 5).alias("similarity"))
 
 
 @register("uncovered_zones", "SELECT v, c, 'block' AS only FROM (SELECT DISTINCT c_nationkey AS v, c_custkey % 40 AS c FROM customer EXCEPT SELECT s_nationkey, s_suppkey % 40 FROM supplier) UNION ALL SELECT v, c, 'zone' FROM (SELECT DISTINCT s_nationkey AS v, s_suppkey % 40 AS c FROM supplier EXCEPT SELECT c_nationkey, c_custkey % 40 FROM customer)")
