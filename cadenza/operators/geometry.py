@@ -57,3 +57,71 @@ def seat_zones(seats: DataFrame, blocks: DataFrame, zones: DataFrame, seat: str)
     warning = F.when(F.col("floor").isNotNull() & ~known & F.col("block").isNotNull(), "unknown block").when(known & depth["warning"], "row outside block")
     flat = known & ~F.col("behind")
     return x.select(seat, zone.alias("zone"), precision.alias("precision"), F.when(flat, F.col("col")).alias("column"), F.when(flat, band).alias("band"), F.coalesce(F.col("geometry") != "confirmed", F.lit(True)).alias("approximate"), warning.alias("warning"))
+
+
+def half_up(x: Column) -> Column:
+    """The nearest integer, halves upwards."""
+    return F.floor(x + 0.5).cast("int")
+
+
+def clamp(x: Column, least, most) -> Column:
+    return F.greatest(F.least(x, F.lit(most)), F.lit(least))
+
+
+def depth_share(row: Column, number: Column, block: Column, anchor: Column) -> Column:
+    """struct<t, precision, warning>: how far a seat lies from the near end of its block (0) to the far one (1).
+
+    Where seat numbers run in depth they decide, else rows do, counted without those
+    that the block lacks. A row that is lacking or outside, an unknown numbering and a
+    missing number give the middle of the block.
+    """
+    told = lambda t, precision, warning=None: F.struct(t.cast("double").alias("t"), F.lit(precision).alias("precision") if isinstance(precision, str) else precision.alias("precision"), F.lit(warning).cast("string").alias("warning"))
+    middle = told(F.lit(0.5), "block")
+    by_seat = (block["seat_axis"] == "depth") & anchor["seat_min"].isNotNull() & anchor["seat_max"].isNotNull()
+    u = clamp((number - anchor["seat_min"]) / F.greatest(anchor["seat_max"] - anchor["seat_min"], F.lit(1)), 0.0, 1.0)
+    by_row = (block["row_axis"] == "depth") & row.isNotNull() & block["row_min"].isNotNull() & block["row_max"].isNotNull() & (block["row_min"] <= block["row_max"])
+    gaps = F.coalesce(anchor["missing_rows"], F.expr("CAST(array() AS array<int>)"))
+    lacking = lambda upto: F.size(F.filter(F.array_distinct(gaps), lambda g: (g >= block["row_min"]) & (g <= upto)))
+    at, last = row - block["row_min"] - lacking(row), block["row_max"] - block["row_min"] - lacking(block["row_max"])
+    inside = (row >= block["row_min"]) & (row <= block["row_max"])
+    rows = F.when(F.array_contains(gaps, row), told(F.lit(0.5), "block", "no such row")).when(~inside, told(F.lit(0.5), "block", "row outside block"))
+    rows = rows.otherwise(told(F.when(last <= 0, 0.5).otherwise(at / last), F.when(number.isNotNull(), "exact").otherwise("row")))
+    unknown = (block["rows_known"] == "unknown") & ~F.coalesce(block["seat_axis"] == "depth", F.lit(False))
+    seats = F.when(number.isNull(), middle).otherwise(told(F.when(block["seat_direction"] == "toward", 1 - u).otherwise(u), "exact"))
+    return F.when(F.coalesce(unknown, F.lit(False)), middle).when(F.coalesce(by_seat, F.lit(False)), seats).when(F.coalesce(by_row, F.lit(False)), rows).otherwise(middle)
+
+
+def lateral(number: Column, seats: Column) -> Column:
+    """-1, 0 or 1: from which side of the middle of its row a seat is seen."""
+    return F.when(seats > 1, half_up((clamp((number - 1) / (seats - 1), 0.0, 1.0) - 0.5) * 2)).otherwise(0)
+
+
+def seat_points(seats: DataFrame, blocks: DataFrame, anchors: DataFrame, floors: DataFrame, seat: str, width: int, height: int) -> DataFrame:
+    """Points of seats on a canvas: seat, x, y, side, precision, geometry, folded, approximate, block, warning.
+
+    seats(seat, venue, floor, block, row, number); blocks(venue, floor, code, row_min,
+    row_max, row_axis, seat_axis, seat_direction, rows_known, geometry); anchors(venue,
+    floor, code, near_x, near_y, far_x, far_y, side, folded, seat_min, seat_max,
+    missing_rows, max_seat); floors(venue, floor, x, y). A seat lies between the two
+    ends of its block's anchor, one pixel to a side if its number is known. Without a
+    block or an anchor it falls back to the floor's point; without that, or without a
+    floor, it has no point. Codes are compared trimmed and in upper case.
+    """
+    code = lambda c: F.upper(F.trim(F.col(c)))
+    b = blocks.select("venue", "floor", code("code").alias("_code"), F.struct("row_min", "row_max", "row_axis", "seat_axis", "seat_direction", "rows_known", "geometry").alias("_b"))
+    a = anchors.select("venue", "floor", code("code").alias("_code"), F.struct("near_x", "near_y", "far_x", "far_y", "side", "folded", "seat_min", "seat_max", "missing_rows", "max_seat").alias("_a"))
+    plan = b.join(a, ["venue", "floor", "_code"])  # both are needed, so they meet first
+    points = floors.select("venue", "floor", F.struct("x", "y").alias("_f"))
+    x = seats.withColumn("_code", code("block")).join(plan, ["venue", "floor", "_code"], "left").join(points, ["venue", "floor"], "left")
+    # a generator, so that the depth is not computed again for each of its uses
+    x = x.select("*", F.explode(F.array(depth_share(F.col("row"), F.col("number"), F.col("_b"), F.col("_a")))).alias("_d"))
+    found, t = F.col("_b").isNotNull(), F.col("_d.t")
+    between = lambda axis: half_up(F.col(f"_a.near_{axis}") + (F.col(f"_a.far_{axis}") - F.col(f"_a.near_{axis}")) * t)
+    aside = F.when((F.col("_d.precision") == "exact") & F.col("number").isNotNull() & (F.col("_a.max_seat") > 0), lateral(F.col("number"), F.col("_a.max_seat"))).otherwise(0)
+    pick = lambda yes, no: F.when(found, yes).when(F.col("_f").isNotNull(), no)
+    return x.select(
+        seat, pick(clamp(between("x") + aside, 0, width - 1), F.col("_f.x")).alias("x"), pick(clamp(between("y"), 0, height - 1), F.col("_f.y")).alias("y"),
+        pick(F.col("_a.side"), F.lit("center")).alias("side"), pick(F.col("_d.precision"), F.lit("floor")).alias("precision"), pick(F.col("_b.geometry"), F.lit("inferred")).alias("geometry"),
+        pick(F.col("_a.folded"), F.lit(False)).alias("folded"), pick(F.col("_b.geometry") != "confirmed", F.lit(True)).alias("approximate"), F.when(found, F.col("_code")).alias("block"),
+        pick(F.col("_d.warning"), F.when(F.col("block").isNotNull() & (F.trim("block") != ""), "no such block")).alias("warning"),
+    )
