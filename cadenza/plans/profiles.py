@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.operators import axes as A
 from cadenza.operators import profiles as P
+from cadenza.operators import years as Y
 from cadenza.operators.frequency import with_rarity
 from cadenza.plans.analytics import R4, counts
 from cadenza.plans.catalogue import register
-from cadenza.session import table
+from cadenza.session import scratch_folder, table
+from cadenza.streaming.summaries import Summary
 
 
 def heard(spark, sf_dir):
@@ -73,3 +76,46 @@ def programme_architecture(spark, sf_dir):
     kind = F.lower("p_type")
     form = F.when(kind.contains("promo"), "concerto").when(kind.contains("standard"), "symphony").otherwise("other")
     return P.architecture(heard(spark, sf_dir).withColumn("form", form), "l_orderkey", "l_linenumber", "form", F.col("l_returnflag") == "R")
+
+
+@register("composed_years", """
+WITH p AS (SELECT p_partkey, p_brand AS c, CASE WHEN p_partkey % 11 <> 0 THEN (p_partkey * 7) % 140 END AS o, CASE WHEN p_partkey % 3 <> 0 THEN (1700 + (p_partkey * 7) % 140 + p_size)::INT END AS y FROM part WHERE p_partkey % 140 >= 0),
+k AS (SELECT c, o, sum(y) AS t, count(*) AS w FROM p WHERE o IS NOT NULL AND y IS NOT NULL AND o BETWEEN 5 AND 130 GROUP BY ALL),
+s AS (SELECT *, sum(t) OVER v AS st, sum(w) OVER v AS sw FROM k WINDOW v AS (PARTITION BY c ORDER BY o)),
+ab AS (SELECT a.c, a.o AS lo, b.o AS hi, (b.st - a.st + a.t) / (b.sw - a.sw + a.w)::DOUBLE AS mean FROM s a JOIN s b ON a.c = b.c AND a.o <= b.o),
+m AS (SELECT k.c, k.o, ab.lo, min(ab.mean) AS least FROM k JOIN ab ON ab.c = k.c AND ab.lo <= k.o AND k.o <= ab.hi GROUP BY ALL),
+f AS (SELECT c, o, max(least) AS fit FROM m GROUP BY ALL),
+q AS (SELECT DISTINCT c, o FROM p WHERE o IS NOT NULL),
+lo AS (SELECT q.c, q.o, max(f.o) AS lo FROM q JOIN f ON f.c = q.c AND f.o <= q.o GROUP BY ALL), hi AS (SELECT q.c, q.o, min(f.o) AS hi FROM q JOIN f ON f.c = q.c AND f.o >= q.o GROUP BY ALL),
+r AS (SELECT q.c, q.o, CASE WHEN a.fit IS NULL THEN b.fit WHEN b.fit IS NULL OR lo.lo = hi.hi THEN a.fit ELSE a.fit + (b.fit - a.fit) * ((q.o - lo.lo) / (hi.hi - lo.lo)::DOUBLE) END AS y
+  FROM q LEFT JOIN lo ON lo.c = q.c AND lo.o = q.o LEFT JOIN hi ON hi.c = q.c AND hi.o = q.o LEFT JOIN f a ON a.c = q.c AND a.o = lo.lo LEFT JOIN f b ON b.c = q.c AND b.o = hi.hi)
+SELECT p_partkey, coalesce(CASE WHEN p.o BETWEEN 5 AND 130 OR p.o IS NULL THEN p.y END, floor(round(r.y, 6) + 0.5)::INT) AS composed, (CASE WHEN p.o BETWEEN 5 AND 130 OR p.o IS NULL THEN p.y END) IS NULL AND r.y IS NOT NULL AS interpolated
+FROM p LEFT JOIN r ON r.c = p.c AND r.o = p.o""")
+def composed_years(spark, sf_dir):
+    """Works of brands whose years rise with the number, with scatter; a third of the years, and all at either end, are missing."""
+    k = F.col("p_partkey")
+    opus = F.when(k % 11 != 0, k * 7 % 140)
+    year = F.when((k % 3 != 0) & F.coalesce(opus.between(5, 130), F.lit(True)), (1700 + k * 7 % 140 + F.col("p_size")).cast("int"))
+    works = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("composer"), opus.alias("opus"), year.alias("year"))
+    return Y.with_years(works, "composer", "opus", "year").select("p_partkey", "composed", "interpolated")
+
+
+@register("axis_weights")
+def axis_weights(spark, sf_dir):
+    """Per user, what size, time of day and kind of event say about whether the value was high."""
+    e = table(spark, sf_dir, "events")
+    axes = e.select("user_id", (F.col("value") > 20).alias("liked"), (F.hour("ts") / 24).alias("hour"), (F.get_json_object("props", "$.k").cast("double") / 100).alias("size"), (F.col("event_type") == "purchase").cast("double").alias("bought"))
+    w = A.axis_weights(axes, "user_id", "liked", ["hour", "size", "bought"])
+    return w.select("user_id", "n", *[F.round(c, 4).alias(c) for c in ("bias", "hour", "size", "bought")])
+
+
+@register("taste_summaries", "SELECT user_id, event_type, count(*) AS n, sum(CAST(floor(value * 100) AS BIGINT))::BIGINT AS amount FROM events GROUP BY ALL")
+def taste_summaries(spark, sf_dir):
+    """Sums per user and kind of event, kept by a stream over the events and read without them."""
+    files = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's plain path has to be a folder
+    rows = stream.select("user_id", "event_type", F.lit(1).cast("long").alias("n"), F.floor(F.col("value") * 100).cast("long").alias("amount"))
+    folder = scratch_folder(spark, "summaries")
+    kept = Summary(spark, f"{folder}/table", ["user_id", "event_type"], ["n", "amount"])
+    kept.keep(rows, f"{folder}/checkpoint").awaitTermination()
+    return kept.table()

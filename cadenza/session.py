@@ -46,18 +46,18 @@ def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written once and read again, without its lineage.
-
-    It goes to ``spark.checkpoint.dir``, which driver and executors share; only a
-    local session without that setting uses a folder of its own.
-    """
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; only a local session without that setting uses a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-    path = f"{base}/saved-{uuid.uuid4().hex}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written once and read again, without its lineage."""
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession, "saved")
     df.write.parquet(path)
     return spark.read.schema(StructType([StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
