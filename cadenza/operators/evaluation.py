@@ -74,6 +74,11 @@ def field_stats(scored: DataFrame, field: str, correct: str, score: str, null_tr
     )
 
 
+def field_means(scored: DataFrame, field: str, null_truth: str, measures: Sequence[str]) -> DataFrame:
+    """Per field the mean of each measure - similarity, precision, recall, f1 - over rows with truth that have it; null if none has."""
+    return scored.groupBy(field).agg(*[rounded(F.avg(F.when(~F.col(null_truth), F.col(m)))).alias(m) for m in measures])
+
+
 def flip_rate(runs: DataFrame, file: str, field: str, value: str) -> DataFrame:
     """Per field over files with at least two runs: unstable files, files, rate. A missing value counts as a value."""
     v = F.coalesce(F.col(value).cast("string"), F.lit("\0"))

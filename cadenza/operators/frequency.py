@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +59,23 @@ def rank_and_rarity(index: DataFrame, work: str, n: str = "n") -> DataFrame:
     before = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_before")))  # a row for each range
     ranked = with_rarity(ordered, n).join(before, part == F.col("_part"))
     return ranked.select(*index.columns, (F.col("_before") + place + 1).cast("long").alias("position"), "rarity")
+
+
+def work_records(occ: DataFrame, work: str, concert: str, date: str, raw: str, encore: str, at: str, first: Sequence[str] = (), labels: int = 3) -> DataFrame:
+    """Per work: n, concerts, encores, first_date, last_date, label, alt_labels, months, and the first known value of each column of ``first``.
+
+    Labels are the most frequent spellings, the earlier seen (by ``at``) among equals;
+    months are array<struct<month, n>> in order. Every part is a grouped count that
+    combines on the map side, and what is gathered is three labels and twelve months.
+    """
+    per_night = occ.groupBy(work, concert).agg(F.count("*").alias("k"), F.count_if(encore).alias("e"), F.min(date).alias("d0"), F.max(date).alias("d1"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in first], *[F.min(F.when(F.col(c).isNotNull(), F.col(at))).alias(f"_at_{c}") for c in first])
+    index = per_night.groupBy(work).agg(
+        F.sum("k").alias("n"), F.count("*").alias("concerts"), F.sum("e").alias("encores"), F.min("d0").alias("first_date"), F.max("d1").alias("last_date"), *[F.min_by(c, F.col(f"_at_{c}")).alias(c) for c in first]
+    )
+    spelt = occ.groupBy(work, raw).agg(F.count("*").alias("k"), F.min(at).alias("seen"))
+    best = Window.partitionBy(work).orderBy(F.desc("k"), "seen")
+    named = spelt.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= labels)
+    named = named.groupBy(work).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col(raw).alias("l")))), lambda s: s["l"]).alias("all"))
+    months = occ.groupBy(work, F.month(date).alias("month")).agg(F.count("*").alias("n")).groupBy(work).agg(F.array_sort(F.collect_list(F.struct("month", "n"))).alias("months"))
+    told = index.join(named, work, "left").join(months, work, "left")
+    return told.select(work, "n", "concerts", "encores", "first_date", "last_date", F.get("all", F.lit(0)).alias("label"), F.slice("all", 2, labels).alias("alt_labels"), "months", *first)

@@ -75,6 +75,15 @@ def compare_corpora(occ: DataFrame, corpus: str, work: str, a: str, b: str) -> D
     )
 
 
+def cross_coverage(occ: DataFrame, corpus: str, work: str, a: str, b: str, top: int = 100) -> DataFrame:
+    """One row: the percentage of each corpus's occurrences in the other one's ``top`` works, by count and then key."""
+    n = occ.groupBy(work).agg(F.count_if(F.col(corpus) == a).alias("na"), F.count_if(F.col(corpus) == b).alias("nb"))
+    best = lambda m, name: n.filter(F.col(m) > 0).orderBy(F.desc(m), work).limit(top).select(work, F.lit(True).alias(name))
+    met = n.join(F.broadcast(best("na", "in_a")), work, "left").join(F.broadcast(best("nb", "in_b")), work, "left")  # ``top`` rows each
+    share = lambda m, name: rounded(ratio(100 * F.sum(F.when(F.col(name), F.col(m)).otherwise(0)), F.sum(m)), 1)
+    return met.agg(share("nb", "in_a").alias("b_in_top_a"), share("na", "in_b").alias("a_in_top_b"))
+
+
 def share_delta(occ: DataFrame, corpus: str, key: str, a: str, b: str, least: int = 15) -> DataFrame:
     """Keys with at least `least` occurrences in both corpora: percent shares and their difference."""
     n = occ.groupBy(key).agg(F.count_if(F.col(corpus) == a).alias("na"), F.count_if(F.col(corpus) == b).alias("nb"))

@@ -83,7 +83,8 @@ def text_similarity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", rounded(similarity(F.lower("p_name"), F.lower("p_type"))).alias("similarity"))
 
 
-@register("script_shares", None)
+@register("script_shares", f"""WITH l AS (SELECT doc_id, regexp_replace(text, '[^\\p{{L}}]', '', 'g') AS x FROM documents), n AS (SELECT doc_id, length(x) AS n, length(regexp_replace(x, '[\\x{{2000}}-\\x{{10FFFF}}]', '', 'g')) AS m FROM l)
+SELECT doc_id, {r4('CASE WHEN n > 0 THEN m / n::DOUBLE ELSE 0 END')} AS latin FROM n""")
 def script_shares(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rounded(latin_ratio(F.col("text"))).alias("latin"))
 

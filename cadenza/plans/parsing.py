@@ -9,6 +9,7 @@ from cadenza.functions.numbers import rounded
 from cadenza.functions.text import is_empty_value, normalize_text, parse_opus, sort_name, work_number
 from cadenza.operators import blocks as B
 from cadenza.plans.catalogue import register
+from cadenza.plans.pages import lines_of
 from cadenza.session import table
 
 
@@ -67,7 +68,9 @@ def clusters_islands(spark, sf_dir):
     return B.best_runs(lines, "doc_id", "i", n.between(30, 90), n > 450)
 
 
-@register("line_dedup", None)
+@register("line_dedup", f"""WITH l AS (SELECT page_id, {lines_of('html')} AS x FROM pages), e AS (SELECT page_id, list_transform(range(len(x)), lambda i: [{{'i': i, 'v': x[i + 1]}}]) AS e FROM l WHERE len(x) > 0),
+k AS (SELECT page_id, unnest(list_reduce(e, lambda a, s: CASE WHEN list_contains(list_transform(a[-40:], lambda t: t.v), s[1].v) THEN a ELSE a || s END)) AS s FROM e)
+SELECT page_id, CAST(s.i AS INTEGER) AS line_no, s.v AS line FROM k""")
 def line_dedup(spark, sf_dir):
     """Lines of each page without those that equal one of the last 40 kept."""
     from cadenza.functions.text import html_lines
