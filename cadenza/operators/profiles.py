@@ -71,3 +71,16 @@ def group_breakdown(scored: DataFrame, group: str, file: str, correct: str, fabr
     g = scored.withColumn("_g", F.coalesce(group, F.lit(unknown)))
     per = g.groupBy("_g", file).agg(F.count("*").alias("k"), F.count_if(correct).alias("ok"), F.count_if(fabricated).alias("bad"))
     return per.groupBy(F.col("_g").alias("grp")).agg(F.count("*").alias("items"), rounded(ratio(F.sum("ok"), F.sum("k"))).alias("accuracy"), rounded(ratio(F.sum("bad"), F.sum("k"))).alias("fabricated_rate"))
+
+
+def correlation_by(rows: DataFrame, group: str, x: str, y: str, least: int = 8) -> DataFrame:
+    """Per group of at least that many pairs: n and Pearson's correlation from one pass of sums; null without spread."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    s = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.corr(a, b).alias("r"))
+    return s.filter(F.col("n") >= least).select(group, "n", rounded(F.when(~F.isnan("r"), F.col("r"))).alias("correlation"))
+
+
+def mood_axes(tags: DataFrame, work: str, tag: str, values: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """Per work the mean of each axis over its distinct tags: values(tag, axis, value). A tag without values says nothing."""
+    known = tags.select(work, F.col(tag).alias("tag")).distinct().join(values, "tag")
+    return known.groupBy(work).agg(*[rounded(F.avg(F.when(F.col("axis") == a, F.col("value")))).alias(a) for a in axes])

@@ -86,3 +86,17 @@ def name_vote(names: DataFrame, work_count: DataFrame, key: str, name: str, stro
     best = Window.partitionBy(key).orderBy(F.desc("_firm"), F.desc("_votes"), name)
     top = n.withColumn("_r", F.row_number().over(best)).filter("_r = 1").join(work_count, key)
     return top.filter((F.col("_firm") > 0) | (F.col("_votes") >= F.greatest(F.lit(2.0), 0.25 * F.col("works")))).select(key, name)
+
+
+def groundedness(cited: Column, given: Column) -> Column:
+    """Share of the distinct items that an answer cites and was given; null if it cites none."""
+    known = F.array_distinct(F.filter(cited, lambda x: x.isNotNull()))
+    return F.try_divide(F.size(F.array_intersect(known, given)).cast("double"), F.size(known))
+
+
+def golden_agreement(rows: DataFrame, field: str, truth: str, value: str, number: str, truth_number: str) -> DataFrame:
+    """Per field of a golden set: n, and the share of values that agree - numbers by sign, others if they are equal; what the truth leaves open is left out."""
+    numeric = F.col(truth_number).isNotNull()
+    agrees = F.when(numeric, F.signum(truth_number) == F.signum(F.coalesce(F.col(number), F.lit(0.0)))).otherwise(F.col(truth).eqNullSafe(F.col(value)))
+    known = rows.filter(numeric | F.col(truth).isNotNull())
+    return known.groupBy(field).agg(F.count("*").alias("n"), rounded(F.avg(agrees.cast("double"))).alias("agreement"))

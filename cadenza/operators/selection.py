@@ -150,3 +150,44 @@ def map_status(venue_known: Column, supported: Column, seat: Column) -> Column:
 def match_route(composer: Column, work: Column, near: Column) -> Column:
     """Where a line goes after matching in two stages."""
     return F.when(composer.isNull(), "review").when(work.isNotNull() & ~near, "matched").when(near, "ask").otherwise("composer-only")
+
+
+def scan_targets(rows: DataFrame, done: DataFrame, key: str, wanted: Column) -> DataFrame:
+    """Keys of wanted rows that are not done yet."""
+    return rows.filter(wanted).select(key).join(done.select(key), key, "left_anti")
+
+
+def newest(rows: DataFrame, at: str, key: str, k: int) -> DataFrame:
+    """The k newest rows, ties by greater key: a top-k report."""
+    return rows.orderBy(F.desc(at), F.desc(key)).limit(k)
+
+
+def joined_corpora(corpora: Sequence[DataFrame], name: str = "corpus") -> DataFrame:
+    """Corpora one behind the other, each row with the ordinal of its own, from 1."""
+    out = None
+    for k, one in enumerate(corpora, 1):
+        part = one.withColumn(name, F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def public_means(rows: DataFrame, keys: Sequence[str], value: str, private: Column) -> DataFrame:
+    """n and the mean value per key over rows that have a value and are not private."""
+    seen = rows.filter(~F.coalesce(private, F.lit(True)) & F.col(value).isNotNull())
+    return seen.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def widths(n: str) -> Column:
+    """Percent of a short list's greatest count, halves upwards; a window over the list."""
+    return F.floor(F.col(n) * 100 / F.max(n).over(Window.partitionBy()) + 0.5).cast("long")
+
+
+def era_of(epoch: Column, eras: Mapping[str, str]) -> Column:
+    """The era of a source's epoch by a short table; null for an unknown one."""
+    pairs = [x for k, v in eras.items() for x in (F.lit(k), F.lit(v))]
+    return F.try_element_at(F.create_map(*pairs), epoch.cast("string"))
+
+
+def on_day(date: Column, month: int, day: int) -> Column:
+    """Whether a date falls on a day of the year."""
+    return (F.month(date) == month) & (F.dayofmonth(date) == day)

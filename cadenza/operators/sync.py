@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.session import saved, small_side
@@ -95,6 +95,9 @@ def live(rows: DataFrame, deleted: str = "deleted_at") -> DataFrame:
     return rows.filter(F.col(deleted).isNull())
 
 
-def stale_devices(seen: DataFrame, device: str, at: str, now, days: int = 90) -> DataFrame:
-    """Devices idle for longer than tombstones live: they need a full copy."""
-    return seen.groupBy(device).agg(F.max(at).alias("last")).filter(F.col("last") < now - F.expr(f"INTERVAL {int(days)} DAYS"))
+def stale_devices(seen: DataFrame, device: str, at: str, now: Column | DataFrame, days: int = 90) -> DataFrame:
+    """Devices idle for longer than tombstones live: they need a full copy. now is a value, or a table of one row with it."""
+    last = seen.groupBy(device).agg(F.max(at).alias("last"))
+    if isinstance(now, DataFrame):
+        last, now = last.join(F.broadcast(now.toDF("_now"))), F.col("_now")
+    return last.filter(F.col("last") < now - F.expr(f"INTERVAL {int(days)} DAYS")).select(device, "last")

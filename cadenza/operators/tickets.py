@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import parsers as P
+from cadenza.functions.forms import canon_form, first_match
 from cadenza.functions.numbers import ratio, rounded
 from cadenza.functions.text import canonical, is_empty_value
 from cadenza.operators.profiles import consensus
@@ -186,3 +187,10 @@ def occupied_zones(seats: DataFrame, zone: str) -> DataFrame:
 def column_conflicts(zones: DataFrame) -> DataFrame:
     """Blocks that stand in several columns of their floor."""
     return zones.select("venue", "floor", "code", "col").distinct().groupBy("venue", "floor", "code").agg(F.count("*").alias("columns")).filter("columns > 1")
+
+
+def forces_of_title(title: Column, keywords: Sequence[tuple[str, str]], forces: Sequence[tuple[str, str]]) -> Column:
+    """struct<forces, confidence> of a title: 0.95 by the first keyword pattern in it, else as its canonical form says, else null."""
+    said = first_match(title, keywords)
+    by_word = F.when(said.isNotNull(), F.struct(said.alias("forces"), F.lit(0.95).alias("confidence")))
+    return F.coalesce(by_word, forces_of(canon_form(title), forces))

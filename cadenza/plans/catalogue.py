@@ -28,7 +28,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from cadenza.plans import analytics, catalog, core, evaluation, names, pages, parsing, profiles, records, scoring, seats, selection  # noqa: F401
+    from cadenza.plans import analytics, catalog, checks, core, evaluation, names, pages, parsing, profiles, records, scoring, seats, selection  # noqa: F401
 
 
 _load()

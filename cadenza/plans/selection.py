@@ -82,8 +82,7 @@ def seat_views(spark, sf_dir):
 @register("scan_targets", f"SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL AND ((d.doc_id * 37) % 101) / 100.0 >= 0.7 AND n_chars > 0")
 def scan_targets(spark, sf_dir):
     """Documents that have no labels yet, are sure enough and not empty."""
-    d = table(spark, sf_dir, "documents").filter(S.is_core(confidence()) & (F.col("n_chars") > 0)).select("doc_id")
-    return d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return S.scan_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", S.is_core(confidence()) & (F.col("n_chars") > 0))
 
 
 @register("first_order_of_day", "SELECT d.day, min(o_orderkey) AS first FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem) d LEFT JOIN orders ON CAST(o_orderdate AS DATE) = d.day GROUP BY 1")
@@ -124,14 +123,14 @@ def median_order_nulls(spark, sf_dir):
 @register("newest_orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25")
 def newest_orders(spark, sf_dir):
     """The 25 newest, a top-k report."""
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(25).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return S.newest(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", 25).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
 
 
 @register("joined_corpora", "SELECT corpus, work, count(*) AS n FROM (SELECT 1 AS corpus, l_partkey AS work FROM lineitem WHERE l_linestatus = 'O' UNION ALL SELECT 2, l_partkey FROM lineitem WHERE l_linestatus = 'F') GROUP BY ALL")
 def joined_corpora(spark, sf_dir):
     """Two corpora one behind the other, each row with the ordinal of its own."""
-    one = lambda status, k: table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == status).select(F.lit(k).alias("corpus"), F.col("l_partkey").alias("work"))
-    return one("O", 1).unionByName(one("F", 2)).groupBy("corpus", "work").agg(F.count("*").alias("n"))
+    of = lambda status: table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == status).select(F.col("l_partkey").alias("work"))
+    return S.joined_corpora([of("O"), of("F")]).groupBy("corpus", "work").agg(F.count("*").alias("n"))
 
 
 @register("fields_of_runs", "WITH a AS (SELECT conv_id, list_distinct(string_split(role || ',' || lower(substr(text, 1, 3)), ',')) AS x, turn FROM conversations), g AS (SELECT conv_id, list(x ORDER BY turn) AS xs FROM a GROUP BY 1) SELECT conv_id, len(list_distinct(flatten(xs))) AS in_any, len(list_reduce(xs, lambda p, q: list_intersect(p, q))) AS in_all FROM g")
@@ -187,16 +186,15 @@ def masked_documents(spark, sf_dir):
 @register("public_ratings", f"SELECT c_nationkey, count(*) AS n, {r4('avg(c_acctbal)')} AS mean FROM customer WHERE c_custkey % 6 <> 0 AND c_acctbal > 0 GROUP BY 1")
 def public_ratings(spark, sf_dir):
     """Mean rating per area over rated seats that are not private."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 6 <> 0 AND c_acctbal > 0")
-    return c.groupBy("c_nationkey").agg(F.count("*").alias("n"), rounded(F.avg("c_acctbal")).alias("mean"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("rating"))
+    return S.public_means(c, ["c_nationkey"], "rating", F.col("c_custkey") % 6 == 0).withColumn("mean", rounded(F.col("mean")))
 
 
 @register("bar_widths", "WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT p_brand, n, floor(n * 100 / (max(n) OVER ())::DOUBLE + 0.5)::BIGINT AS width FROM b QUALIFY row_number() OVER (ORDER BY n DESC, p_brand) <= 3")
 def bar_widths(spark, sf_dir):
     """The three most frequent, with their width against the first."""
     top = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_brand").limit(3)
-    most = F.max("n").over(Window.partitionBy())  # three rows
-    return top.select("p_brand", "n", F.floor(F.col("n") * 100 / most + 0.5).cast("long").alias("width"))
+    return top.select("p_brand", "n", S.widths("n").alias("width"))
 
 
 @register("worst_confidence", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_partkey % 3 = 0 OR p_partkey % 5 = 4 THEN 'unknown' WHEN p_size % 3 = 1 OR p_partkey % 3 = 1 THEN 'inferred' ELSE 'confirmed' END AS worst FROM part")
@@ -230,14 +228,14 @@ def match_routes(spark, sf_dir):
 @register("eras", "SELECT p_brand, CASE p_size % 10 // 3 WHEN 0 THEN 'baroque' WHEN 1 THEN 'classical' WHEN 2 THEN 'romantic' ELSE 'modern' END AS era, count(*) AS n FROM part GROUP BY ALL")
 def eras(spark, sf_dir):
     """Ten source epochs to four eras by a table; a work has its composer's."""
-    known = spark.createDataFrame([(i, ("baroque", "classical", "romantic", "modern")[i // 3]) for i in range(10)], "epoch int, era string")
-    p = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") % 10).alias("epoch"))
-    return p.join(F.broadcast(known), "epoch").groupBy("p_brand", "era").agg(F.count("*").alias("n"))  # ten rows
+    known = {str(i): ("baroque", "classical", "romantic", "modern")[i // 3] for i in range(10)}
+    p = table(spark, sf_dir, "part").select("p_brand", S.era_of(F.col("p_size") % 10, known).alias("era"))
+    return p.groupBy("p_brand", "era").agg(F.count("*").alias("n"))
 
 
 @register("birthdays", "SELECT o_orderkey FROM orders WHERE month(o_orderdate) = 2 AND day(o_orderdate) = 29")
 def birthdays(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter((F.month("o_orderdate") == 2) & (F.dayofmonth("o_orderdate") == 29)).select("o_orderkey")
+    return table(spark, sf_dir, "orders").filter(S.on_day(F.col("o_orderdate"), 2, 29)).select("o_orderkey")
 
 
 @register("play_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS first, strftime(CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 4 DAY ELSE o_orderdate END, '%Y-%m-%d') AS last, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS fixed FROM orders")
