@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,39 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("*", F.coalesce(F.regexp_extract(name, r"\.r(\d+)\.json$", 1).try_cast("int"), F.lit(0)).alias("run"), name.alias("name")).filter(~F.col("name").rlike("^[_.]"))
 
 
+def truth_items(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled items of a truth file: at, file, difficulty, truth (JSON), unreadable, problems.
+
+    What is wrong with an item is listed and does not stop the load: no file, no truth,
+    or unreadable fields that are no list. A file without a list of items is an error.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "items array<string>")["items"].alias("items"))
+    listed = raw.select(F.posexplode(F.coalesce("items", F.raise_error(F.lit("the truth file has no list of items")).cast("array<string>"))).alias("at", "item"))
+    get = lambda name: F.get_json_object("item", f"$.{name}")
+    odd = get("unreadable_fields")
+    falsy = odd.isNull() | odd.isin("", "false", "0", "null")
+    no_list = ~falsy & ~F.startswith(odd, F.lit("["))
+    wrong = [(F.coalesce(get("file"), F.lit("")) == "", "no file"), (F.coalesce(get("truth"), F.lit("")).isin("", "null"), "no truth"), (no_list, "unreadable fields are no list")]
+    problems = F.filter(F.array(*[F.when(rule, F.lit(name)) for rule, name in wrong]), lambda x: x.isNotNull())
+    unreadable = F.when(F.startswith(odd, F.lit("[")), F.from_json(odd, "array<string>"))
+    return listed.select("at", get("file").alias("file"), get("difficulty").alias("difficulty"), F.when(~get("truth").isin("", "null"), get("truth")).alias("truth"), unreadable.alias("unreadable"), problems.alias("problems"))
+
+
+def labelled(found: DataFrame, truths: DataFrame) -> DataFrame:
+    """Records (with meta) of files that have a truth, with model, file and run in front; the others do not count."""
+    own = found.select(F.col("meta.model").alias("model"), F.col("meta.file").alias("file"), "*")
+    return own.join(truths.filter("truth IS NOT NULL").select("file").distinct(), "file", "left_semi")
+
+
+def runs_by_model(found: DataFrame, truths: DataFrame) -> DataFrame:
+    """Per model: files, records, and records of files without a truth."""
+    known = truths.filter("truth IS NOT NULL").select(F.col("file").alias("_file")).distinct()
+    own = found.select(F.col("meta.model").alias("model"), F.col("meta.file").alias("file"), "run").join(known, F.col("file") == F.col("_file"), "left")
+    has = F.col("_file").isNotNull()
+    per = own.groupBy("model", "file").agg(F.count("*").alias("n"), F.max(has).alias("has"))
+    return per.groupBy("model").agg(F.count_if("has").alias("files"), F.sum(F.when(F.col("has"), F.col("n")).otherwise(0)).alias("records"), F.sum(F.when(~F.col("has"), F.col("n")).otherwise(0)).alias("unlabelled"))
+
+
 def pick(output: Column, names: list[str], containers: tuple[str, ...] = ("fields", "data", "result", "ocr")) -> Column:
     """The first present alias in the record or one of its containers; {value, confidence} is unwrapped."""
     found = []
@@ -86,3 +121,11 @@ def markdown(df: DataFrame, bar: str | None = None, limit: int = 50) -> str:
     head = [*df.columns, *(["bar"] if bar else [])]
     body = [[*[str(v) for v in r], *(["█" * int(r[bar] / 2)] if bar else [])] for r in rows]
     return "\n".join("| " + " | ".join(x) + " |" for x in [head, ["---"] * len(head), *body])
+
+
+def report(title: str, sections: Sequence[tuple[str, DataFrame | str]], bars: Mapping[str, str] | None = None, limit: int = 50) -> str:
+    """A Markdown report of sections in order: texts as they are, tables by markdown(); bars names a percent column for a section."""
+    parts = [f"# {title}"]
+    for name, body in sections:
+        parts.append(f"## {name}\n\n" + (body if isinstance(body, str) else markdown(body, (bars or {}).get(name), limit)))
+    return "\n\n".join(parts) + "\n"
