@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.session import small_side
-
 
 def best_runs(lines: DataFrame, page: str, at: str, hit: Column, stop: Column, gap: int = 4) -> DataFrame:
     """Per page the run of lines with most hits: (page, first, last, hits); the first run wins ties.
@@ -58,28 +56,24 @@ def merge_scales(lines: DataFrame, page: str, canonical: str, scale: str, at: st
     return lines.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-#: Aliases that may be matched inside a row.
-SHORT_LIST = 2_000
+#: Letters of an alias that it is looked up by; shorter ones by all they have.
+ALIAS_HEAD = 4
 
 
 def longest_alias(rows: DataFrame, text: str, aliases: DataFrame, key: str, alias: str) -> DataFrame:
     """rows with the key whose alias is the longest substring of the text, ties by key; null if none.
 
-    A short table of aliases meets the text inside its row. Of a longer one, aliases
-    are joined by their first letters with the pieces of that length of each distinct
-    text, so a text meets only aliases that may begin in it.
+    Aliases are joined by their first letters with the pieces of one to ALIAS_HEAD
+    letters of each distinct text, so a text meets only aliases that begin in it, and
+    a short alias does not make short pieces for long ones.
     """
-    if aliases.limit(SHORT_LIST + 1).count() > SHORT_LIST:
-        known = aliases.filter(F.length(alias) > 0).select(F.col(key).alias("_k"), F.col(alias).alias("_a"))
-        size = known.agg(F.min(F.length("_a"))).first()[0]
-        texts = rows.select(F.col(text).alias("_t")).distinct()
-        pieces = texts.select("_t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - size + 1, F.lit(1))), lambda i: F.substring("_t", i, F.lit(size))))).alias("_g"))
-        met = pieces.join(small_side(known.withColumn("_g", F.substring("_a", 1, size))), "_g").filter(F.contains("_t", "_a"))
-        best = met.groupBy("_t").agg(F.min(F.struct((-F.length("_a")).alias("l"), F.col("_k").alias("k"))).alias("_best"))
-        return rows.join(best, F.col(text) == F.col("_t"), "left").withColumn(key, F.col("_best.k")).drop("_t", "_best")
-    listed = aliases.agg(F.array_sort(F.collect_list(F.struct((-F.length(alias)).alias("l"), F.col(key).alias("k"), F.col(alias).alias("a")))).alias("_all"))
-    hit = F.filter("_all", lambda s: F.contains(F.col(text), s["a"]))
-    return rows.join(F.broadcast(listed)).withColumn(key, F.get(hit, F.lit(0))["k"]).drop("_all")  # the one row of a global aggregate
+    known = aliases.filter(F.length(alias) > 0).select(F.col(key).alias("_k"), F.col(alias).alias("_a"), F.substring(F.col(alias), 1, ALIAS_HEAD).alias("_g"))
+    texts = rows.filter(F.length(text) > 0).select(F.col(text).alias("_t")).distinct()
+    heads = F.transform(F.sequence(F.lit(1), F.lit(ALIAS_HEAD)), lambda n: F.transform(F.sequence(F.lit(1), F.length("_t")), lambda i: F.substring("_t", i, n)))
+    pieces = texts.select("_t", F.explode(F.array_distinct(F.flatten(heads))).alias("_g"))
+    met = pieces.join(known, "_g").filter(F.contains("_t", "_a"))
+    best = met.groupBy("_t").agg(F.min(F.struct((-F.length("_a")).alias("l"), F.col("_k").alias("k"))).alias("_best"))
+    return rows.join(best, F.col(text) == F.col("_t"), "left").withColumn(key, F.col("_best.k")).drop("_t", "_best")
 
 
 def pii_lines(lines: DataFrame, page: str, at: str, kinds: Mapping[str, str], text: str, labels: Sequence[str] = ()) -> DataFrame:

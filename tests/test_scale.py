@@ -66,13 +66,13 @@ def test_replay_sorted_by_sequence_not_base(spark):
     assert [(r["applied"], r["rev"]) for r in got] == [(True, 1), (False, 1), (False, 1), (True, 2), (False, 2), (True, 3), (True, 4)]
 
 
-def test_long_alias_lists(spark, monkeypatch):
+def test_long_alias_lists(spark):
     aliases = [(f"h{i}", f"hall {i:03d}") for i in range(300)] + [("big", "great hall 007 of the city"), ("tie", "hall 007")]
     df = spark.createDataFrame(aliases, "hall string, alias string")
     rows = spark.createDataFrame([(1, "at hall 007 tonight"), (2, "the great hall 007 of the city"), (3, "nowhere"), (4, None), (5, "ha")], "id int, place string")
-    short = {r["id"]: r["hall"] for r in blocks.longest_alias(rows, "place", df, "hall", "alias").collect()}
-    monkeypatch.setattr(blocks, "SHORT_LIST", 10)
-    assert {r["id"]: r["hall"] for r in blocks.longest_alias(rows, "place", df, "hall", "alias").collect()} == short == {1: "h7", 2: "big", 3: None, 4: None, 5: None}
+    assert {r["id"]: r["hall"] for r in blocks.longest_alias(rows, "place", df, "hall", "alias").collect()} == {1: "h7", 2: "big", 3: None, 4: None, 5: None}
+    letters = spark.createDataFrame([("x", "a"), ("y", "ha"), ("z", "a")], "hall string, alias string")
+    assert {r["id"]: r["hall"] for r in blocks.longest_alias(rows, "place", letters, "hall", "alias").collect()} == {1: "y", 2: "y", 3: None, 4: None, 5: "y"}
 
 
 def test_cosine_in_blocks(spark, monkeypatch):
