@@ -61,6 +61,35 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(x, y) / longest)
 
 
+#: Words of lines that are no programme, and ends and joints of sentences.
+NOISE = (
+    r"(문의|예매|티켓|주최|주관|후원|협찬|저작권|홈페이지|www\.|http|할인|취소|환불|입장|"
+    r"만\s?\d세|무료|초대|R석|S석|A석|B석|VIP|공연시간|관람시간|인터넷|콜센터|주차|"
+    r"변경될 수|사정에 따라|미취학|초등학생|중학생|사진|촬영|녹음|녹화)"
+)
+SENTENCE = r"(다\.|다$|니다|습니다|였다|이다|였습니다|하였다|한다\.|된다|것이다|였고|하며|면서|때문|그리고|하지만|그러나|또한|이후|당시|현재|오늘날)"
+
+
+def is_noise(line: Column) -> Column:
+    """Whether a line speaks of tickets, sponsors or rules of the house."""
+    return line.rlike(NOISE)
+
+
+def is_sentence(line: Column, least: int = 40) -> Column:
+    """Whether a line is prose: longer than ``least`` characters, with an end or joint of a sentence."""
+    return (F.length(line) > least) & line.rlike(SENTENCE)
+
+
+def is_empty_list(values: Column) -> Column:
+    """Whether an array of strings is null or holds nothing but empty values."""
+    return F.coalesce(F.forall(values, is_empty_value), F.lit(True))
+
+
+def is_empty_number(x: Column) -> Column:
+    """Whether a number is null or not a number."""
+    return x.isNull() | F.isnan(x)
+
+
 def is_empty_value(s: Column) -> Column:
     t = F.lower(F.trim(F.coalesce(s, F.lit(""))))
     return (t == "") | t.isin(*PLACEHOLDERS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,3 +84,15 @@ def mood_axes(tags: DataFrame, work: str, tag: str, values: DataFrame, axes: Seq
     """Per work the mean of each axis over its distinct tags: values(tag, axis, value). A tag without values says nothing."""
     known = tags.select(work, F.col(tag).alias("tag")).distinct().join(values, "tag")
     return known.groupBy(work).agg(*[rounded(F.avg(F.when(F.col("axis") == a, F.col("value")))).alias(a) for a in axes])
+
+
+def collection_summary(rows: DataFrame, flags: Mapping[str, Column], sizes: Mapping[str, Column]) -> DataFrame:
+    """(measure, n): all rows, rows for which each flag holds, and the sum of each size, in one pass."""
+    measures = [F.count("*").alias("rows"), *[F.count_if(c).alias(name) for name, c in flags.items()], *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name) for name, c in sizes.items()]]
+    one = rows.agg(*measures)
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("n")) for c in one.columns])).alias("m")).select("m.*")
+
+
+def success_by(rows: DataFrame, key: str, steps: Mapping[str, Column], unknown: str = "?") -> DataFrame:
+    """Per category how many rows there are and how many pass each step; a null category is ``unknown``."""
+    return rows.groupBy(F.coalesce(F.col(key).cast("string"), F.lit(unknown)).alias(key)).agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in steps.items()])

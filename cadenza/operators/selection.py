@@ -82,6 +82,26 @@ def chunk_of(number: Column, size: int) -> Column:
     return F.floor((number - 1) / size)
 
 
+def halved(bad: Column, deepest: int = 10) -> Column:
+    """array<struct<first, n>>: for each item of a batch the part of it that is answered in the end.
+
+    bad says which items make a batch fail. A part with a bad item is split in halves,
+    the first not the smaller, until no part has one or a part is one item. Batches of
+    up to 2 ** deepest items; all in the row.
+    """
+
+    def part(i: Column) -> Column:
+        def step(p: Column, _: Column) -> Column:
+            half = F.ceil(p["n"] / 2).cast("int")
+            split = (p["n"] > 1) & F.exists(F.slice(bad, p["first"], p["n"]), lambda x: x)
+            left = i < p["first"] + half
+            return F.struct(F.when(split & ~left, p["first"] + half).otherwise(p["first"]).alias("first"), F.when(split, F.when(left, half).otherwise(p["n"] - half)).otherwise(p["n"]).alias("n"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), F.struct(F.lit(1).alias("first"), F.size(bad).alias("n")), step)
+
+    return F.when(F.size(bad) > 0, F.transform(F.sequence(F.lit(1), F.size(bad)), part)).otherwise(F.expr("CAST(array() AS array<struct<first:int,n:int>>)"))
+
+
 def last_items(items: Column, k: int) -> Column:
     """The last k of an array, all of a shorter one."""
     return F.when(F.size(items) > k, F.slice(items, -k, k)).otherwise(items)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions import text as X
 from cadenza.functions.forms import parse_confidence
 from cadenza.functions.numbers import band_of, clamp01, lerp, rounded
 from cadenza.functions.text import normalize_work, parse_key, similarity, slug
@@ -14,6 +15,7 @@ from cadenza.operators import geometry as G
 from cadenza.operators import profiles as P
 from cadenza.operators import retrieval as R
 from cadenza.operators import scoring as Q
+from cadenza.operators import selection as L
 from cadenza.operators import sync as S
 from cadenza.operators import tickets as T
 from cadenza.plans.catalogue import register
@@ -227,3 +229,58 @@ def golden_agreement(spark, sf_dir):
     numbers = c.select(F.lit("valence").alias("field"), none("string").alias("truth"), none("string").alias("value"), F.when(k % 4 != 0, F.col("c_acctbal") - 4500).alias("n"), F.when(k % 6 != 0, F.col("c_acctbal") - 4000).alias("tn"))
     words = c.select(F.lit("segment").alias("field"), F.when(k % 9 != 0, F.col("c_mktsegment")).alias("truth"), F.when(k % 3 == 0, "OTHER").when(k % 5 != 0, F.col("c_mktsegment")).alias("value"), none("double").alias("n"), none("double").alias("tn"))
     return Q.golden_agreement(numbers.unionByName(words), "field", "truth", "value", "n", "tn")
+
+
+@register("halved_batches", """
+WITH RECURSIVE i AS (SELECT l_orderkey AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)::INT AS pos, l_quantity < 6 AS bad FROM lineitem),
+p(b, first, n) AS (SELECT b, 1, count(*)::INT FROM i GROUP BY b
+  UNION ALL SELECT b, CASE WHEN h = 0 THEN first ELSE first + (n + 1) // 2 END, CASE WHEN h = 0 THEN (n + 1) // 2 ELSE n - (n + 1) // 2 END FROM (SELECT p.b, first, n FROM p JOIN i ON i.b = p.b AND pos >= first AND pos < first + n GROUP BY ALL HAVING bool_or(bad) AND n > 1), (SELECT unnest([0, 1]) AS h)),
+z AS (SELECT i.b, i.pos, min(n) AS n FROM i JOIN p ON p.b = i.b AND pos >= first AND pos < first + n GROUP BY ALL)
+SELECT i.b AS l_orderkey, i.pos AS at_, max(p.first) AS first, z.n FROM i JOIN z USING (b, pos) JOIN p ON p.b = i.b AND p.n = z.n AND i.pos >= p.first AND i.pos < p.first + p.n GROUP BY ALL""".replace(" AS at_, max(p.first)", " AS place, max(p.first)"))
+def halved_batches(spark, sf_dir):
+    """Batches with readings that fail, split in halves until what fails stands alone."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    b = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda s: s["l_quantity"] < 6).alias("bad"))
+    return b.select("l_orderkey", F.posexplode(L.halved(F.col("bad"), 6)).alias("i", "p")).select("l_orderkey", (F.col("i") + 1).alias("place"), "p.first", "p.n")
+
+
+@register("collection_summary", """WITH d AS (SELECT n_chars, lang, source, quality, len(string_split(text, chr(10))) AS lines FROM documents LEFT JOIN labels USING (doc_id))
+SELECT unnest(['rows', 'labelled', 'good', 'short', 'lines', 'characters']) AS measure, unnest([count(*), count(quality), count(*) FILTER (quality = 1), count(*) FILTER (n_chars < 200), sum(lines)::BIGINT, sum(n_chars)::BIGINT]) AS n FROM d""")
+def collection_summary(spark, sf_dir):
+    """What a collection holds, in one pass."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return P.collection_summary(d, {"labelled": F.col("quality").isNotNull(), "good": F.col("quality") == 1, "short": F.col("n_chars") < 200}, {"lines": F.size(F.split("text", "\n", -1)), "characters": F.col("n_chars")})
+
+
+@register("success_by_source", "SELECT coalesce(CASE WHEN source = 'src3' THEN NULL ELSE source END, '?') AS source, count(*) AS n, count(*) FILTER (quality IS NOT NULL) AS labelled, count(*) FILTER (quality = 1) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def success_by_source(spark, sf_dir):
+    """How far documents of each source come: labelled, and good."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("source", F.when(F.col("source") != "src3", F.col("source")))
+    return P.success_by(d, "source", {"labelled": F.col("quality").isNotNull(), "good": F.col("quality") == 1})
+
+
+@register("empty_values", "SELECT p_partkey, p_partkey % 4 < 3 AS text, p_partkey % 3 = 0 OR p_partkey % 4 < 3 AS list, p_partkey % 5 IN (0, 1) AS number FROM part")
+def empty_values(spark, sf_dir):
+    """Texts, lists and numbers that stand for nothing."""
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, F.lit(" N/A ")).when(k % 4 == 1, F.lit("알 수 없음")).when(k % 4 == 3, F.col("p_name"))
+    number = F.when(k % 5 == 0, F.lit(float("nan"))).when(k % 5 != 1, F.col("p_retailprice"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.is_empty_value(text).alias("text"), X.is_empty_list(F.when(k % 3 != 0, F.array(F.lit("-"), text))).alias("list"), X.is_empty_number(number).alias("number"))
+
+
+@register("composed_names", "SELECT p_partkey, replace(p_name, ' ', '') || p_size || 'カ' AS name FROM part")
+def composed_names(spark, sf_dir):
+    """Names in full-width letters and half-width kana, composed and normalised."""
+    wide = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + i) for i in range(26)))
+    size = F.translate(F.col("p_size").cast("string"), "0123456789", "".join(chr(0xFF10 + i) for i in range(10)))
+    return table(spark, sf_dir, "part").select("p_partkey", X.normalize_text(F.concat(wide, F.lit("（"), size, F.lit("）ｶ"))).alias("name"))
+
+
+@register("line_kinds", """WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS c, repeat('가 ', (o_custkey % 30)::INT) AS pad FROM orders)
+SELECT o_orderkey, c IN (0, 3) AS noise, (c = 1 AND length(pad) + 4 > 40) OR (c = 3 AND length(pad) + 5 > 40) AS prose FROM o""")
+def line_kinds(spark, sf_dir):
+    """Lines of programmes, of ticket offices and of prose."""
+    pad = F.repeat(F.lit("가 "), (F.col("o_custkey") % 30).cast("int"))
+    end = F.element_at(F.array(*map(F.lit, ["예매 안내", "이었다.", "소나타 2", "문의한다."])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    line = F.concat(pad, end)
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.is_noise(line).alias("noise"), X.is_sentence(line).alias("prose"))
