@@ -102,9 +102,10 @@ def candidates(base: DataFrame, classes: DataFrame, percent: int, scratch: Scrat
     left = F.slice("held", F.lit(1), F.greatest(F.size("held") - to_drop(F.col("n"), percent), F.lit(0)))
     hubs = scratch.save(listed.select(F.col("key").alias("id"), "n", "copies", F.array_distinct(F.transform(left, lambda x: x["hub"])).alias("hubs")).filter(F.size("hubs") > 0), "hubs")
     member = hubs.select("id", "n", "copies", F.explode("hubs").alias("hub"), "hubs")
-    # a hub that one class alone has kept joins nothing
+    # a hub that one class alone has kept joins nothing; saved, so that a hot hub's members can be split
     some = member.groupBy("hub").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("size"), F.sum("n").alias("volume")).filter("a < z")
-    return scratch.save(member.join(some.select("hub", "size", "volume"), "hub").select("hub", "id", "n", "copies", F.filter("hubs", lambda h: h < F.col("hub")).alias("lower"), "size", "volume"), "members")
+    some = scratch.save(some.select("hub", "size", "volume"), "some")
+    return scratch.save(member.join(some.hint("merge"), "hub").select("hub", "id", "n", "copies", F.filter("hubs", lambda h: h < F.col("hub")).alias("lower"), "size", "volume"), "members")
 
 
 class Inverted:
