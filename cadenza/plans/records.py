@@ -17,7 +17,7 @@ from cadenza.session import table
 
 
 @register("work_records", """
-WITH o AS (SELECT p_partkey AS work, l_orderkey AS concert, CAST(o_orderdate AS DATE) AS d, p_name || ' ' || l_returnflag || l_linestatus AS raw, l_linenumber = 7 AS encore, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_suppkey % 3 = 0 THEN 'op.' || (l_suppkey % 50) END AS opus
+WITH o AS (SELECT p_partkey AS work, l_orderkey AS concert, CAST(o_orderdate AS DATE) AS d, p_name || ' ' || l_returnflag || l_linestatus AS raw, l_linenumber = 7 AS encore, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS pos, CASE WHEN l_suppkey % 3 = 0 THEN 'op.' || (l_suppkey % 50) END AS opus
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
 i AS (SELECT work, count(*) AS n, count(DISTINCT concert) AS concerts, count(*) FILTER (encore) AS encores, min(d) AS first_date, max(d) AS last_date, arg_min(opus, pos) FILTER (opus IS NOT NULL) AS opus FROM o GROUP BY 1),
 l AS (SELECT work, raw, row_number() OVER (PARTITION BY work ORDER BY count(*) DESC, min(pos)) AS r FROM o GROUP BY work, raw),
@@ -30,7 +30,7 @@ def work_records(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     occ = table(spark, sf_dir, "lineitem").join(nights, F.col("o_orderkey") == F.col("l_orderkey")).join(part, F.col("p_partkey") == F.col("l_partkey")).select(
         F.col("p_partkey").alias("work"), F.col("l_orderkey").alias("concert"), "d", F.concat("p_name", F.lit(" "), "l_returnflag", "l_linestatus").alias("raw"), (F.col("l_linenumber") == 7).alias("encore"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("op."), (F.col("l_suppkey") % 50).cast("string"))).alias("opus"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_suppkey")).alias("pos"), F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("op."), (F.col("l_suppkey") % 50).cast("string"))).alias("opus"),
     )
     out = records(occ, "work", "concert", "d", "raw", "encore", "pos", ["opus"])
     months = F.array_join(F.transform("months", lambda m: F.concat(m["month"].cast("string"), F.lit(":"), m["n"].cast("string"))), ",")
