@@ -63,7 +63,7 @@ def common_in_order(a: Column, b: Column) -> Column:
 def in_order_ratio(a: Column, b: Column) -> Column:
     """Twice the words common in order, over all words; of longer titles, common words in any order. 0 without words."""
     total = F.size(a) + F.size(b)
-    common = F.when(F.size(b) <= ORDERED, common_in_order(a, b)).otherwise(F.size(F.array_intersect(a, b)))
+    common = F.when(~F.coalesce(F.arrays_overlap(a, b), F.lit(False)), 0).when(F.size(b) <= ORDERED, common_in_order(a, b)).otherwise(F.size(F.array_intersect(a, b)))
     return F.coalesce(F.try_divide(2 * common, total), F.lit(0.0))
 
 
