@@ -40,6 +40,7 @@ def _month(name: Column) -> Column:
 def parse_date(raw: Column) -> Column:
     """struct<value, confidence>: six forms in order of trust; without a year there is none."""
     s = _tidy(raw)
+    # fixed values: the six forms
     ymd = r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일?"
     sep = r"(\d{4})\s*[.\-/]\s*(\d{1,2})\s*[.\-/]\s*(\d{1,2})"
     run = r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)"
@@ -64,6 +65,7 @@ def parse_date(raw: Column) -> Column:
 def parse_time(raw: Column) -> Column:
     """struct<value, confidence>: HH:MM; afternoon only where it is said."""
     s = _tidy(raw)
+    # fixed values: the form of a time, and words for halves of the day
     p = r"(?<!\d)(\d{1,2})\s*[:시]\s*(\d{1,2})?\s*분?"
     h, m = _group(s, p).try_cast("int"), F.coalesce(_group(s, p, 2).try_cast("int"), F.lit(0))
     good = h.between(0, 23) & m.between(0, 59)
@@ -83,6 +85,7 @@ def parse_price(raw: Column) -> Column:
 
 def strip_gates(s: Column) -> Column:
     """Removes gate numbers and captions before a seat is read."""
+    # fixed values: what is removed, in order
     for p in (
         r"(?i)\d{1,2}\s*(?:층|F)\s*\d{1,3}\s*번?\s*(?:게이트|gate)", r"(?i)입장\s*(?:게이트)?\s*[:：]?\s*\d{1,2}\s*(?:층|F)\s*\d{1,3}\s*번?", r"(?i)\d{1,3}\s*번?\s*(?:게이트|gate)",
         r"(?i)(?:게이트|gate)\s*[:：]?\s*\d{1,3}\s*번?", r"(?i)입장\s*(?:게이트)?\s*[:：]", r"(?i)(?<![A-Za-z0-9_])(?:floor|block|row|seat|gate|grade|no)(?![A-Za-z0-9_])\.?", r"좌석\s*[:：]",

@@ -22,6 +22,7 @@ OPUS = (
     r"|작품\s*(?:번호\s*)?(\d+(?:\s*[-–/]\s*\d+)?)"
     r"|\b(BWV|KV|K|D|Hob|WoO|RV|HWV|TrV|Sz|WAB|FP|BB|CD|JW|MWV|Anh|H|B|S)\.?\s*(?:XVI\s*[:.]\s*)?(\d+[a-zA-Z]?(?:\s*[:.]\s*\d+)?))"
 )
+#: Ordinals, keys in two languages, and words of titles that say nothing.
 NUMBER = r"(?U)(?:No\.?\s*|Nr\.?\s*|제\s*)(\d{1,3})\b|(\d{1,3})\s*번"
 KEY_EN = r"\b(?:in\s+)?([A-Ga-g])[\s-]?(sharp|flat|#|♯|♭)?[\s-]*(major|minor|Major|Minor|dur|moll)\b"
 KEY_KO = r"((?:올림|내림)?[다라마바사가나])\s?(장조|단조)"

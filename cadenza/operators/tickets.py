@@ -20,7 +20,7 @@ DATE_CONTEXT = r"(\d{4}\s*[년.\-/]|\d{1,2}\s*월\s*\d{1,2}\s*일|년\s*\d{1,2}\
 SEAT_POINTS = ((r"\d\s*층", 2), (r"(구역|블록|블럭)", 2), (r"\d\s*열", 3), (r"\d\s*번", 2), (r"(좌석|객석)", 2))
 SEAT_CAPTION = r"(?i)^\s*(좌석|객석|SEAT)\s*[:：]\s*"
 NOT_A_TITLE = r"(예매|취소|환불|주최|주관|후원|문의|안내|입장|관람|티켓링크|인터파크|예스24|SAMPLE)"
-# Repairs of seat lines by name, each with its pattern and what takes its place.
+#: Repairs of seat lines by a name of our own, each with its pattern and what takes its place; digits are put right one by one.
 REPAIRS = (
     ("row-before-number", r"(\d{1,3})\s*[일월](?=\s*\d{1,3}\s*번)", "$1열"),
     ("row-after-block", r"((?:층|구역|블록|블럭)\s*)(\d{1,3})\s*[일월](?![\d가-힣])", "$1$2열"),
