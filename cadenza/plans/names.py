@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.functions.numbers import rounded
 from cadenza.operators import matching as M
+from cadenza.functions.numbers import rounded
+from cadenza.functions.text import NOISE
 from cadenza.operators import names as N
+from cadenza.operators.programme_parser import parse_programmes
 from cadenza.operators.selection import match_route
 from cadenza.plans.catalogue import register
 from cadenza.session import table
@@ -142,3 +144,25 @@ def matched_works(spark, sf_dir):
     lines = table(spark, sf_dir, "orders").join(w, F.col("o_custkey") == k).select("o_orderkey", F.when(c != 4, F.col("composer")).alias("composer"), title.alias("title"))
     out = M.match_works(lines, w, "composer", "title", "work", "known")
     return out.select("o_orderkey", "work", rounded(F.col("score"), 6).alias("score"), match_route(F.col("composer"), F.col("work"), F.col("near")).alias("route"))
+
+
+@register("programme_pages", f"""
+WITH k AS (SELECT o_orderkey, n_name, 'NATION_' || (o_orderkey % 25) AS other, o_orderkey % 9 + 1 AS a, o_orderkey % 90 + 1 AS b, o_custkey % 70 + 1 AS c, o_custkey % 600 + 1 AS d, {HN.format('n_nationkey')} AS hn FROM orders JOIN nation ON n_nationkey = o_custkey % 25)
+SELECT o_orderkey, 1 AS seq, n_name AS composer, 0.9::DOUBLE AS confidence, 'op.' || b AS opus, 'Symphony No. ' || a || ', Op. ' || b AS title, hn || ' 교향곡 ' || a || '번 작품 ' || b AS title_ko, 'Kim Soloist' AS soloist, 'I. Allegro' AS movements, false AS after_break FROM k
+UNION ALL SELECT o_orderkey, 2, other, 0.7, 'op.' || c, 'Violin Concerto Op. ' || c, NULL, NULL, '', false FROM k
+UNION ALL SELECT o_orderkey, 3, n_name, 0.9, 'K.' || d, 'Sonata KV ' || d, NULL, NULL, '', true FROM k""")
+def programme_pages(spark, sf_dir):
+    """Whole pages: a block under its heading, a work in two scripts with a movement, a composer as a heading, an intermission, and lines after the block."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    nation = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("long").alias("n"), hangul(F.col("n_nationkey")).alias("hn"))
+    other = F.concat(F.lit("NATION_"), k % 25)
+    a, b = k % 9 + 1, k % 90 + 1
+    lines = F.array(
+        F.lit("An evening in town"), F.lit("PROGRAM"), F.concat("n_name", F.lit(": Symphony No. "), a, F.lit(", Op. "), b, F.lit(" / Kim Soloist")), F.concat("hn", F.lit(" 교향곡 "), a, F.lit("번 작품 "), b), F.lit("I. Allegro"),
+        F.concat(other, F.lit(" (1801-1866)")), F.concat(F.lit("Violin Concerto Op. "), c % 70 + 1), F.lit("INTERMISSION (15 min)"), F.concat("n_name", F.lit(" - Sonata KV "), c % 600 + 1), F.lit("출연"), F.concat(other, F.lit(": Symphony No. 7")),
+    )
+    pages = table(spark, sf_dir, "orders").join(nation, c % 25 == F.col("n")).select("o_orderkey", F.posexplode(lines).alias("i", "line"))
+    sure = F.lit(0.9).alias("confidence")
+    names = nation.select(F.col("n_name").alias("alias"), F.col("n_name").alias("name"), sure).unionByName(nation.select(F.col("hn").alias("alias"), F.col("n_name").alias("name"), sure))
+    works = parse_programmes(pages, "o_orderkey", "i", "line", names, "(?i)Symphon|Concerto|Sonata|교향곡|협주곡", NOISE, blocks=True)
+    return works.select("o_orderkey", "seq", "composer", "confidence", "opus", "title", "title_ko", "soloist", F.array_join("movements", ",").alias("movements"), "after_break")
