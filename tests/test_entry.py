@@ -26,7 +26,8 @@ def test_imports_without_the_llm_folder(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'work_index' in q and 'pipeline' not in q and not any(x.startswith('op1_') for x in q); e.oracle_sql()"
     for _ in range(2):
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)}, timeout=120)
-        shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
+        if os.path.exists(f"{ROOT}/corpus_pipeline.py"):  # it may be gone along with the folders
+            shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
 
 
 def test_imports_without_a_package_that_llm_needs(tmp_path):
