@@ -72,10 +72,10 @@ def replay(log: DataFrame, entity: str, base_rev: str, order: Sequence[str], sho
     Entities of up to ``short`` entries are folded, the others followed by pointers,
     so no long log is ever gathered.
     """
-    long = saved(log.groupBy(entity).agg(F.count("*").alias("_k")).filter(F.col("_k") > short).select(F.col(entity).alias("_long")))
+    long = log.groupBy(entity).agg(F.count("*").alias("_k")).filter(F.col("_k") > short).select(F.col(entity).alias("_long"))
     if long.isEmpty():
         return _folded(log, entity, base_rev, order)
-    long, is_long = small_side(long), F.col(entity).eqNullSafe(F.col("_long"))
+    long, is_long = small_side(saved(long)), F.col(entity).eqNullSafe(F.col("_long"))
     return _folded(log.join(long, is_long, "left_anti"), entity, base_rev, order).unionByName(_followed(log.join(long, is_long, "left_semi"), entity, base_rev, order))
 
 
