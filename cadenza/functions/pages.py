@@ -5,12 +5,12 @@ All are expressions inside the row: a page is never shuffled to be cut.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import html_lines, unescape
+from cadenza.functions.text import bound, html_lines, unescape
 
 #: A string with its escapes (an open one reaches the end), or a brace; possessive, so long strings need no stack.
 TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\z)|[{}]'
@@ -22,11 +22,6 @@ BODY_SECTIONS = ("공연소개", "프로그램북", "공연정보", "공지사
 DETAILS = "array<struct<Name:string,Value:string>>"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once: an expression named twice, or inside a lambda, would be computed at each place."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _after(text: Column, anchor: str, skip: int = 0) -> Column:
     """The text from an anchor on, less some characters; null without the anchor."""
     return bound(F.instr(text, F.lit(anchor)), lambda at: F.when(at > 0, F.substring(text, at + skip, F.length(text))))

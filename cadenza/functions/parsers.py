@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cadenza.functions.text import bound
+
 #: Month names.
 MONTHS = (
     "jan january feb february mar march apr april may jun june jul july aug august "
@@ -39,7 +41,6 @@ def _month(name: Column) -> Column:
 
 def parse_date(raw: Column) -> Column:
     """struct<value, confidence>: six forms in order of trust; without a year there is none."""
-    s = _tidy(raw)
     # fixed values: the six forms
     ymd = r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일?"
     sep = r"(\d{4})\s*[.\-/]\s*(\d{1,2})\s*[.\-/]\s*(\d{1,2})"
@@ -47,34 +48,47 @@ def parse_date(raw: Column) -> Column:
     dmy = rf"(?i)(\d{{1,2}})\s*[-. ]?\s*({MONTH_ALT})\.?\s*[-,. ]?\s*(\d{{4}})"
     mdy = rf"(?i)({MONTH_ALT})\.?\s*(\d{{1,2}})\s*(?:st|nd|rd|th)?\s*,?\s*(\d{{4}})"
     late = r"(?<!\d)(\d{1,2})\s*[.\-/]\s*(\d{1,2})\s*[.\-/]\s*(\d{4})(?!\d)"
-    g = lambda p, i: _group(s, p, i)
-    tries = [(_date(g(p, 1), g(p, 2), g(p, 3)), F.lit(c)) for p, c in ((ymd, 0.97), (sep, 0.95), (run, 0.8))]
-    tries.append((_date(g(dmy, 3), _month(g(dmy, 2)), g(dmy, 1)), F.lit(0.92)))
-    tries.append((_date(g(mdy, 3), _month(g(mdy, 1)), g(mdy, 2)), F.lit(0.92)))
-    a, b = g(late, 1).try_cast("int"), g(late, 2).try_cast("int")
-    day_first = (a > 12) & (b <= 12)
-    last = _date(g(late, 3), F.when(day_first, g(late, 2)).otherwise(g(late, 1)), F.when(day_first, g(late, 1)).otherwise(g(late, 2)))
-    tries.append((last, F.when((a <= 12) & (b <= 12), 0.5).otherwise(0.85)))
-    chain = None
-    for value, confidence in tries:
-        hit = F.struct(value.alias("value"), confidence.cast("double").alias("confidence"))
-        chain = F.when(value.isNotNull(), hit) if chain is None else chain.when(value.isNotNull(), hit)
-    return chain.otherwise(F.struct(F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("confidence")))
+    hit = lambda value, confidence: bound(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), confidence.cast("double").alias("confidence"))))
+
+    def last(s: Column) -> Column:
+        """Two numbers before the year: the day first only if the other order is impossible."""
+        a, b = _group(s, late, 1).try_cast("int"), _group(s, late, 2).try_cast("int")
+
+        def told(n: Column) -> Column:
+            day_first = (n["a"] > 12) & (n["b"] <= 12)
+            month, day = F.when(day_first, n["b"]).otherwise(n["a"]), F.when(day_first, n["a"]).otherwise(n["b"])
+            return hit(_date(_group(s, late, 3), month.cast("string"), day.cast("string")), F.when((n["a"] <= 12) & (n["b"] <= 12), 0.5).otherwise(0.85))
+
+        return bound(F.struct(a.alias("a"), b.alias("b")), told)
+
+    def read(s: Column) -> Column:
+        g = lambda p, i: _group(s, p, i)
+        tries = [hit(_date(g(p, 1), g(p, 2), g(p, 3)), F.lit(c)) for p, c in ((ymd, 0.97), (sep, 0.95), (run, 0.8))]
+        tries += [hit(_date(g(dmy, 3), _month(g(dmy, 2)), g(dmy, 1)), F.lit(0.92)), hit(_date(g(mdy, 3), _month(g(mdy, 1)), g(mdy, 2)), F.lit(0.92)), last(s)]
+        return F.coalesce(*tries, F.struct(F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("confidence")))
+
+    return bound(_tidy(raw), read)
 
 
 def parse_time(raw: Column) -> Column:
     """struct<value, confidence>: HH:MM; afternoon only where it is said."""
-    s = _tidy(raw)
     # fixed values: the form of a time, and words for halves of the day
     p = r"(?<!\d)(\d{1,2})\s*[:시]\s*(\d{1,2})?\s*분?"
-    h, m = _group(s, p).try_cast("int"), F.coalesce(_group(s, p, 2).try_cast("int"), F.lit(0))
-    good = h.between(0, 23) & m.between(0, 59)
-    pm, am = s.rlike(r"(?i)오후|p\.?m\.?"), s.rlike(r"(?i)오전|a\.?m\.?")
-    later = F.when(pm & (h < 12), h + 12).otherwise(h)
-    hour = F.when(am & (later == 12), F.lit(0)).otherwise(later)
-    value = F.when(good, F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), F.lpad(m.cast("string"), 2, "0")))
-    confidence = F.when(value.isNull(), 0.0).when(pm | am | (hour >= 13), 0.9).otherwise(0.7)
-    return F.struct(value.alias("value"), confidence.alias("confidence"))
+
+    def read(s: Column) -> Column:
+        h, m = _group(s, p).try_cast("int"), F.coalesce(_group(s, p, 2).try_cast("int"), F.lit(0))
+        pm, am = s.rlike(r"(?i)오후|p\.?m\.?"), s.rlike(r"(?i)오전|a\.?m\.?")
+        return bound(F.struct(h.alias("h"), m.alias("m"), pm.alias("pm"), am.alias("am")), told)
+
+    def told(n: Column) -> Column:
+        good = n["h"].between(0, 23) & n["m"].between(0, 59)
+        later = F.when(n["pm"] & (n["h"] < 12), n["h"] + 12).otherwise(n["h"])
+        hour = F.when(n["am"] & (later == 12), F.lit(0)).otherwise(later)
+        value = F.when(good, F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), F.lpad(n["m"].cast("string"), 2, "0")))
+        confidence = F.when(~F.coalesce(good, F.lit(False)), 0.0).when(n["pm"] | n["am"] | (hour >= 13), 0.9).otherwise(0.7)
+        return F.struct(value.alias("value"), confidence.alias("confidence"))
+
+    return bound(_tidy(raw), read)
 
 
 def parse_price(raw: Column) -> Column:
@@ -95,8 +109,7 @@ def strip_gates(s: Column) -> Column:
 
 
 def _within(x: Column, lo: int, hi: int) -> Column:
-    n = x.try_cast("int")
-    return F.when(n.between(lo, hi), n)
+    return bound(x.try_cast("int"), lambda n: F.when(n.between(lo, hi), n))
 
 
 def parse_seat(raw: Column, grade_raw: Column | None = None) -> Column:
@@ -104,23 +117,32 @@ def parse_seat(raw: Column, grade_raw: Column | None = None) -> Column:
 
     Confidence is 0.4 and 0.15 for each part, 0.5 for a grade alone.
     """
-    line = _tidy(F.coalesce(raw, F.lit("")))
     given = F.nullif(_tidy(grade_raw), F.lit("")) if grade_raw is not None else F.lit(None).cast("string")
-    given = F.when(~given.rlike(r"(?i)^(없음|미지정|n/?a|none|null)$"), given)
-    listed = F.coalesce(*[F.when(F.contains(line, F.lit(g)), F.lit(g)) for g in sorted(GRADES, key=len, reverse=True)])
-    letter = F.concat(_group(line, r"(?<![A-Za-z])(VVIP|VIP|[A-Z])석"), F.lit("석"))
-    grade = F.coalesce(given, listed, letter)
-    s = strip_gates(line)
-    s = F.when(F.instr(s, "객석") > 0, F.substring(s, F.instr(s, "객석"), F.length(s))).otherwise(s)
-    first = lambda *ps: F.coalesce(*[_group(s, p) for p in ps])
-    floor = _within(first(r"객석\s*(\d{1,2})\s*층", r"(\d{1,2})\s*층", r"(?i)(?:floor|fl)\.?\s*(\d{1,2})", r"(?<!\d)(\d{1,2})\s*F(?![A-Za-z])"), 1, 5)
-    block = first(r"([A-Za-z]{1,3}|[가-힣]{1,2})\s*(?:구역|블록|블럭|존)", r"(?i)(?:block|zone|section|sec)\.?\s*([A-Za-z]{1,3}|\d{1,2})")
-    block = F.when(~block.isin(*NOT_A_BLOCK), F.when(block.rlike("^[A-Za-z]+$"), F.upper(block)).otherwise(block))
-    row = _within(first(r"(\d{1,3})\s*열", r"(?i)row\s*(\d{1,3})"), 1, 200)
-    number = _within(first(r"(\d{1,3})\s*번(?!호)", r"(?i)seat\s*(?:no\.?\s*)?(\d{1,3})", r"(?i)no\.?\s*(\d{1,3})(?!\d)"), 1, 500)
-    parts = sum((x.isNotNull().cast("int") for x in (floor, block, row, number)), F.lit(0))
-    confidence = F.when(parts > 0, F.least(F.lit(1.0), 0.4 + 0.15 * parts)).when(grade.isNotNull(), 0.5).otherwise(0.0)
-    return F.struct(floor.alias("floor"), block.alias("block"), row.alias("row"), number.alias("number"), grade.alias("grade"), confidence.alias("confidence"))
+
+    def read(line: Column) -> Column:
+        listed = F.coalesce(*[F.when(F.contains(line, F.lit(g)), F.lit(g)) for g in sorted(GRADES, key=len, reverse=True)])
+        letter = F.concat(_group(line, r"(?<![A-Za-z])(VVIP|VIP|[A-Z])석"), F.lit("석"))
+        said = bound(given, lambda g: F.when(~g.rlike(r"(?i)^(없음|미지정|n/?a|none|null)$"), g))
+        from_hall = lambda s: F.when(F.instr(s, "객석") > 0, F.substring(s, F.instr(s, "객석"), F.length(s))).otherwise(s)
+        return bound(bound(strip_gates(line), from_hall), lambda s: bound(parts(s, F.coalesce(said, listed, letter)), told))
+
+    def parts(s: Column, grade: Column) -> Column:
+        first = lambda *ps: F.coalesce(*[_group(s, p) for p in ps])
+        floor = _within(first(r"객석\s*(\d{1,2})\s*층", r"(\d{1,2})\s*층", r"(?i)(?:floor|fl)\.?\s*(\d{1,2})", r"(?<!\d)(\d{1,2})\s*F(?![A-Za-z])"), 1, 5)
+        block = bound(
+            first(r"([A-Za-z]{1,3}|[가-힣]{1,2})\s*(?:구역|블록|블럭|존)", r"(?i)(?:block|zone|section|sec)\.?\s*([A-Za-z]{1,3}|\d{1,2})"),
+            lambda b: F.when(~b.isin(*NOT_A_BLOCK), F.when(b.rlike("^[A-Za-z]+$"), F.upper(b)).otherwise(b)),
+        )
+        row = _within(first(r"(\d{1,3})\s*열", r"(?i)row\s*(\d{1,3})"), 1, 200)
+        number = _within(first(r"(\d{1,3})\s*번(?!호)", r"(?i)seat\s*(?:no\.?\s*)?(\d{1,3})", r"(?i)no\.?\s*(\d{1,3})(?!\d)"), 1, 500)
+        return F.struct(floor.alias("floor"), block.alias("block"), row.alias("row"), number.alias("number"), grade.alias("grade"))
+
+    def told(p: Column) -> Column:
+        n = sum((p[x].isNotNull().cast("int") for x in ("floor", "block", "row", "number")), F.lit(0))
+        confidence = F.when(n > 0, F.least(F.lit(1.0), 0.4 + 0.15 * n)).when(p["grade"].isNotNull(), 0.5).otherwise(0.0)
+        return F.struct(*[p[x].alias(x) for x in ("floor", "block", "row", "number", "grade")], confidence.alias("confidence"))
+
+    return bound(_tidy(F.coalesce(raw, F.lit(""))), read)
 
 
 def play_dates(raw: Column) -> Column:

@@ -6,6 +6,8 @@ they stand under comments that mark them as fixed values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +31,11 @@ KEY_KO = r"((?:올림|내림)?[다라마바사가나])\s?(장조|단조)"
 STOPWORDS = ("the a an of in for and or op no nr and with de la le les il un une piano violin cello viola flute oboe clarinet horn trumpet solo duo major minor sharp flat dur moll from and etc").split()
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once: an expression named twice, or inside a lambda, would be computed at each place."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in for it."""

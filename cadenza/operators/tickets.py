@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import parsers as P
 from cadenza.functions.forms import canon_form, first_match
 from cadenza.functions.numbers import ratio, rounded
-from cadenza.functions.text import canonical, is_empty_value
+from cadenza.functions.text import bound, canonical, is_empty_value
 from cadenza.operators.profiles import consensus
 
 # What a seat line looks like, and what must not be taken for one.
@@ -34,11 +34,6 @@ def is_seat_line(text: Column) -> Column:
     return F.coalesce(text.rlike(SEAT_CONTEXT) & ~text.rlike(DATE_CONTEXT) & text.rlike("[0-9OolIi]"), F.lit(False))
 
 
-def bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value made once however often it is used."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def repaired_seat(text: Column) -> Column:
     """struct<text, rules>: misread units and digits of a seat line put right, with the names of the repairs that changed it."""
 
@@ -118,8 +113,9 @@ def record_of(lines: DataFrame, page: str, rules: Rules) -> DataFrame:
 
 def typed_record(date: Column, time: Column, seat: Column, price: Column) -> Column:
     """struct of the parsed fields; a field that is absent stays null and has no confidence."""
-    given = lambda c, parsed: F.when(~is_empty_value(c), parsed)
-    return F.struct(given(date, P.parse_date(date)).alias("date"), given(time, P.parse_time(time)).alias("time"), given(seat, bound(repaired_seat(seat)["text"], P.parse_seat)).alias("seat"), given(price, P.parse_price(price)).alias("price"))
+    given = lambda c, parse: bound(c, lambda x: F.when(~is_empty_value(x), parse(x)))
+    seated = lambda x: bound(repaired_seat(x)["text"], P.parse_seat)
+    return F.struct(given(date, P.parse_date).alias("date"), given(time, P.parse_time).alias("time"), given(seat, seated).alias("seat"), given(price, P.parse_price).alias("price"))
 
 
 def composers_of(items: Column, aliases: Sequence[tuple[str, str]]) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cadenza.functions import parsers as P
 from cadenza.operators import scoring
 from cadenza.operators import tickets as T
 
@@ -69,3 +70,13 @@ def test_second_pass_and_votes(spark):
     works = spark.createDataFrame([("a", 3), ("b", 2), ("c", 8)], "k string, works int")
     got = scoring.name_vote(spark.createDataFrame(names, "k string, n string, strong boolean"), works, "k", "n", "strong").collect()
     assert sorted(map(tuple, got)) == [("a", "y"), ("c", "w")]
+
+
+def test_fields_are_read_once(spark):
+    """A pattern stands once in the plan for each place that says it, however often its find is used."""
+    rows = spark.range(1).select(F.col("id").cast("string").alias("s"))
+    regexps = lambda column: rows.select(column.alias("x")).select("x.*")._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_")
+    assert regexps(P.parse_seat(F.col("s"))) < 60
+    assert regexps(P.parse_date(F.col("s"))) < 100
+    assert regexps(P.parse_time(F.col("s"))) < 20
+    assert regexps(T.typed_record(F.col("s"), F.col("s"), F.col("s"), F.col("s"))) < 250
