@@ -116,10 +116,11 @@ def work_number(s: Column) -> Column:
 
 def parse_opus(s: Column) -> Column:
     """The first catalogue number: `op.n`, or the catalogue in upper case (KV is K), a dot and the number."""
-    g = [F.nullif(F.regexp_extract(s, OPUS, i), F.lit("")) for i in (1, 2, 3, 4)]
     tidy = lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", ""))
-    name = F.upper(g[2])
-    return F.when(g[0].isNotNull(), F.concat(F.lit("op."), tidy(g[0]))).when(g[1].isNotNull(), F.concat(F.lit("op."), tidy(g[1]))).when(g[2].isNotNull(), F.concat(F.when(name == "KV", "K").otherwise(name), F.lit("."), tidy(g[3])))
+    groups = F.struct(*[F.regexp_extract(s, OPUS, i).alias(f"g{i}") for i in (1, 2, 3, 4)])
+    name = lambda g: F.when(F.upper(g["g3"]) == "KV", "K").otherwise(F.upper(g["g3"]))
+    said = lambda g: F.when(g["g1"] != "", F.concat(F.lit("op."), tidy(g["g1"]))).when(g["g2"] != "", F.concat(F.lit("op."), tidy(g["g2"]))).when(g["g3"] != "", F.concat(name(g), F.lit("."), tidy(g["g4"])))
+    return F.when(s.rlike(OPUS), bound(groups, said))
 
 
 def parse_key(s: Column) -> Column:
