@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import saved, small_side
+
 
 def nearest_in_block(seats: DataFrame, points: DataFrame, seat: str, point: str) -> DataFrame:
     """seats and points with venue, floor, block, row, number: per seat the point of its block nearest by row, then by number, then least key.
@@ -12,12 +14,12 @@ def nearest_in_block(seats: DataFrame, points: DataFrame, seat: str, point: str)
     A null row or number counts as distance 0 there.
     """
     keys = ["venue", "floor", "block"]
-    # of points at one place only the least key can be the answer
-    p = points.groupBy(*keys, F.col("row").alias("_row"), F.col("number").alias("_number")).agg(F.min(point).alias(point))
-    j = seats.join(p, keys)
-    far = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)), F.lit(0))
-    best = F.min(F.struct(far("row", "_row").alias("d_row"), far("number", "_number").alias("d_number"), F.col(point)))
-    return j.groupBy(seat).agg(best.alias("x")).select(seat, "x.*")
+    # of points at one place only the least key can be the answer; the places of a block are a bounded list
+    place = points.groupBy(*keys, F.col("row").alias("_row"), F.col("number").alias("_number")).agg(F.min(point).alias(point))
+    p = small_side(saved(place.groupBy(*keys).agg(F.collect_list(F.struct("_row", "_number", point)).alias("_places"))))
+    far = lambda a, b: F.coalesce(F.abs(F.col(a) - b), F.lit(0))
+    near = F.array_min(F.transform("_places", lambda x: F.struct(far("row", x["_row"]).alias("d_row"), far("number", x["_number"]).alias("d_number"), x[point].alias(point))))
+    return seats.join(p, keys).select(seat, near.alias("x")).groupBy(seat).agg(F.min("x").alias("x")).select(seat, "x.*")
 
 
 def depth_in_block(row: Column, row_min: Column, row_max: Column) -> Column:
@@ -28,11 +30,21 @@ def depth_in_block(row: Column, row_min: Column, row_max: Column) -> Column:
 
 
 def nearest_top(points: DataFrame, key: str, x: str, y: str, targets: DataFrame, target: str, tx: str, ty: str, k: int = 1) -> DataFrame:
-    """The k nearest points of each target (a short list) by distance, ties by key."""
-    j = points.join(targets.select(target, F.col(tx).alias("_x"), F.col(ty).alias("_y")))
+    """The k nearest points of each target (a short list) by distance, ties by key.
+
+    The points are dealt into groups; the k-th best of the groups' nearest points is
+    no nearer than the k-th nearest of all. So what is farther goes before anything is
+    sorted, and the first pass, a hash aggregate of plain minima, holds a row for each
+    target and group. Points as far as the bar stay, and the window decides by key.
+    """
+    j = points.join(F.broadcast(targets.select(target, F.col(tx).alias("_x"), F.col(ty).alias("_y"))))
     d = F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"))
+    all_pairs = j.select(target, key, d.alias("distance"))
+    nearest = all_pairs.groupBy(target, F.pmod(F.xxhash64(key), F.lit(64 * k)).alias("_group")).agg(F.min("distance").alias("_nearest"))
+    bar = nearest.groupBy(F.col(target).alias("_target")).agg(F.get(F.array_sort(F.collect_list("_nearest")), F.lit(k - 1)).alias("_bar"))
+    close = all_pairs.join(F.broadcast(bar), F.col(target).eqNullSafe(F.col("_target"))).filter(F.col("_bar").isNull() | F.col("distance").isNull() | (F.col("distance") <= F.col("_bar")))  # a row for each target
     w = Window.partitionBy(target).orderBy("distance", key)
-    return j.select(target, key, d.alias("distance")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return close.select(target, key, "distance").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
 def seat_zones(seats: DataFrame, blocks: DataFrame, zones: DataFrame, seat: str) -> DataFrame:

@@ -81,3 +81,17 @@ def test_placements(spark):
     df = spark.createDataFrame(rows, "p string, a boolean, f int, b string, z string")
     got = [r[0] for r in df.select(L.describe_placement(F.col("p"), F.col("a"), F.col("f"), F.col("b"), F.col("z"), "구역")).collect()]
     assert got == ["1층 A구역 · 중간 왼편", "≈ 2층 B구역 · 무대 뒤 합창석", "≈ 1층 C구역 어딘가 · ", "≈ 3층 어딘가", "좌석 정보 없음"]
+
+
+def test_nearest_hold_little(spark):
+    """Far points go before the sort, and a seat meets the places of its block in one row."""
+    points = spark.range(2000).select("id", F.lit(0.0).alias("x"), (F.col("id") % 40).cast("double").alias("y"))
+    targets = spark.createDataFrame([(1, 0.0, 3.2), (None, 0.0, 0.0)], "t int, tx double, ty double")
+    near = G.nearest_top(points, "id", "x", "y", targets, "t", "tx", "ty", 3)
+    assert sorted((r["t"] or 0, r["id"], r["place"]) for r in near.collect()) == [(0, 0, 1), (0, 40, 2), (0, 80, 3), (1, 3, 1), (1, 43, 2), (1, 83, 3)]
+    assert sorted(r["id"] for r in G.nearest_top(points.limit(2), "id", "x", "y", targets.limit(1), "t", "tx", "ty", 3).collect()) == [0, 1]
+    assert "_bar" in near._jdf.queryExecution().optimizedPlan().toString()
+    seats = spark.createDataFrame([(1, 5, 2), (2, None, 9), (3, 1, 1)], "seat int, row int, number int").selectExpr("*", "'v' AS venue", "1 AS floor", "'A' AS block")
+    places = spark.createDataFrame([(7, 4, 2), (8, 6, 2), (6, 4, 2), (9, 1, 9)], "p int, row int, number int").selectExpr("*", "'v' AS venue", "1 AS floor", "'A' AS block")
+    got = G.nearest_in_block(seats, places, "seat", "p")
+    assert {r["seat"]: r["p"] for r in got.collect()} == {1: 6, 2: 9, 3: 9} and "transform(" in got._jdf.queryExecution().optimizedPlan().toString()
