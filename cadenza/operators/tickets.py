@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,7 @@ from cadenza.functions.forms import canon_form, first_match
 from cadenza.functions.numbers import ratio, rounded
 from cadenza.functions.text import bound, canonical, is_empty_value
 from cadenza.operators.profiles import consensus
+from cadenza.session import saved, small_side
 
 # What a seat line looks like, and what must not be taken for one.
 SEAT_CONTEXT = r"(좌석|객석|[0-9OolIi]\s*층|구역|블록|블럭|[0-9OolIi]\s*열|[0-9OolIi]\s*번)"
@@ -111,11 +112,29 @@ def record_of(lines: DataFrame, page: str, rules: Rules) -> DataFrame:
     return chosen.select(page, *[pair(c).alias(c) for c in ("venue", "date", "time", "seat", "grade")], F.coalesce(F.when(F.col("price").isNotNull(), pair("price")), pair("free")).alias("price"), pair("title").alias("title"))
 
 
+def _given(text: Column, parse: Callable[[Column], Column]) -> Column:
+    return bound(text, lambda x: F.when(~is_empty_value(x), parse(x)))
+
+
+def _seated(text: Column) -> Column:
+    return bound(repaired_seat(text)["text"], P.parse_seat)
+
+
 def typed_record(date: Column, time: Column, seat: Column, price: Column) -> Column:
     """struct of the parsed fields; a field that is absent stays null and has no confidence."""
-    given = lambda c, parse: bound(c, lambda x: F.when(~is_empty_value(x), parse(x)))
-    seated = lambda x: bound(repaired_seat(x)["text"], P.parse_seat)
-    return F.struct(given(date, P.parse_date).alias("date"), given(time, P.parse_time).alias("time"), given(seat, seated).alias("seat"), given(price, P.parse_price).alias("price"))
+    return F.struct(_given(date, P.parse_date).alias("date"), _given(time, P.parse_time).alias("time"), _given(seat, _seated).alias("seat"), _given(price, P.parse_price).alias("price"))
+
+
+def typed_records(rows: DataFrame, date: str, time: str, seat: str, price: str) -> DataFrame:
+    """rows with the fields of typed_record in place of their texts.
+
+    Many tickets share a day or a seat, whose patterns are the dear ones: each of their
+    texts is parsed once and joined to its rows. Times and prices are parsed where they are.
+    """
+    for text, parse in ((date, P.parse_date), (seat, _seated)):
+        told = saved(rows.select(F.col(text).alias("_text")).filter("_text IS NOT NULL").distinct().withColumn("_told", _given(F.col("_text"), parse)))
+        rows = rows.join(small_side(told), F.col(text) == F.col("_text"), "left").withColumn(text, F.col("_told")).drop("_text", "_told")
+    return rows.withColumns({time: _given(F.col(time), P.parse_time), price: _given(F.col(price), P.parse_price)})
 
 
 def composers_of(items: Column, aliases: Sequence[tuple[str, str]]) -> Column:

@@ -132,8 +132,9 @@ def typed_records(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     seat = F.concat(c % 4 + 1, F.lit("층 B구역 "), c % 30 + 1, F.lit("열 "), k % 40 + 1, F.lit("번"))
     time = F.when(k % 3 != 0, F.concat(13 + k % 9, F.lit(":30")))
-    r = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(T.typed_record(F.date_format("o_orderdate", "yyyy.MM.dd"), time, seat, F.concat(F.format_number(1000 + c, 0), F.lit("원"))))).alias("r"))
-    return r.select("o_orderkey", F.col("r.date.value").alias("date"), F.col("r.time.value").alias("time"), F.col("r.seat.floor").alias("floor"), F.col("r.seat.row").alias("row"), F.col("r.seat.number").alias("number"), F.col("r.price").cast("long").alias("price"))
+    written = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy.MM.dd").alias("date"), time.alias("time"), seat.alias("seat"), F.concat(F.format_number(1000 + c, 0), F.lit("원")).alias("price"))
+    r = T.typed_records(written, "date", "time", "seat", "price")
+    return r.select("o_orderkey", F.col("date.value").alias("date"), F.col("time.value").alias("time"), "seat.floor", "seat.row", "seat.number", F.col("price").cast("long").alias("price"))
 
 
 NAMES = [("red", "Red"), ("ring", "Ring"), ("blue", "Blue"), ("bolt", "Bolt")]

@@ -36,6 +36,16 @@ def test_typed_records(spark):
     assert not any(r[1]["r"][f] for f in ("date", "time", "seat", "price"))
 
 
+def test_typed_records_parse_a_text_once(spark):
+    """The rows are those of typed_record, and seats and days are parsed before they meet their tickets."""
+    rows = [(i, d, "19:30" if i % 2 else None, s, "30,000원") for i, (d, s) in enumerate([("2024.03.01", "l층 B구역 3열 4번"), ("2024.03.01", "l층 B구역 3열 4번"), (None, "-"), ("", None), ("31 May 2024", "2층")] * 3)]
+    df = spark.createDataFrame(rows, "id int, d string, t string, s string, p string")
+    got = T.typed_records(df, "d", "t", "s", "p")
+    want = df.select("id", F.explode(F.array(T.typed_record(F.col("d"), F.col("t"), F.col("s"), F.col("p")))).alias("r")).select("id", "r.*")
+    assert sorted(map(str, got.toDF("id", "date", "time", "seat", "price").collect())) == sorted(map(str, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp") < 20
+
+
 def test_composers(spark):
     aliases = [("arbel", "Arbel"), ("아르벨", "Arbel"), ("norvik", "Norvik")]
     cases = {("Norvik and ARBEL: duo", "아르벨 - 왈츠"): ["Arbel", "Norvik"], ("J. Ostrel - Sonata", "j. ostrel: other", "12 - x", " ", "plain"): ["Ostrel", "j. ostrel"], (): []}
