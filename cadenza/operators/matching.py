@@ -9,6 +9,8 @@ compared with the whole catalogue, and equal lines are scored once.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +18,14 @@ from pyspark.sql import functions as F
 from cadenza.functions.forms import canon_form
 from cadenza.functions.text import STOPWORDS, parse_key, parse_opus, work_number
 from cadenza.operators.names import fold
+from cadenza.session import saved
 
 #: Weights of what a line may say. A catalogue number nearly decides, words always count.
 WEIGHTS = {"opus": 0.5, "form": 0.2, "number": 0.15, "key": 0.05, "words": 0.2}
 #: Score from which a work is taken, from which one is asked about, and the lead it needs over the next.
 ACCEPT, ASK, LEAD = 0.85, 0.6, 0.02
+#: What a line and a work are met by, if the line tells it, from the most telling on; a line is scored in each until it is settled.
+TIERS = (("opus",), ("form", "number"), ("form",))
 #: Words of a title whose order counts; beyond, words count as a set.
 ORDERED = 60
 
@@ -39,8 +44,7 @@ def features(df: DataFrame, title: str, mark: str) -> DataFrame:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(both, F.size(F.array_union(a, b))), F.lit(0.0))
+    return F.when(F.arrays_overlap(a, b), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
 def common_in_order(a: Column, b: Column) -> Column:
@@ -81,20 +85,53 @@ def score(line: str, work: str, weights: Mapping[str, float] = WEIGHTS) -> Colum
     return F.round(total / weight, 9)  # so that a threshold is met alike wherever it is computed
 
 
+def said_weight(line: str, weights: Mapping[str, float]) -> Column:
+    """The weights of what a line says; words always count."""
+    return reduce(add, [F.lit(float(w)) if name == "words" else F.when(F.col(f"{line}{name}").isNotNull(), float(w)).otherwise(0.0) for name, w in weights.items()])
+
+
+def alike_works(works: DataFrame) -> DataFrame:
+    """works(_composer, _work, _known) with features, one row for all works of a composer that no line can tell apart: the least work and their number."""
+    least = F.when(F.count("_work") == F.count("*"), F.min("_work")).alias("_work")  # null is before all others, as in the order of two_best
+    titles = works.groupBy("_composer", "_known").agg(least, F.count("*").alias("_copies"))
+    made = features(titles, "_known", "b_")
+    return made.groupBy("_composer", *[f"b_{name}" for name in WEIGHTS]).agg(least, F.sum("_copies").alias("_copies"))
+
+
+def two_best(pairs: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """(_composer, _title, _other, _b, _next): the best work of a title, ties by least work, and the score of the next one."""
+    order = Window.partitionBy("_composer", "_title").orderBy(F.desc("_score"), "_work")
+    scored = pairs.select("_composer", "_title", "_other", "_work", "_copies", score("a_", "b_", weights).alias("_score"))
+    two = scored.withColumn("_r", F.row_number().over(order)).filter("_r <= 2")
+    one = two.groupBy("_composer", "_title").agg(F.max("_other").alias("_other"), F.max(F.when(F.col("_r") == 1, F.struct("_score", "_work", "_copies"))).alias("_b"), F.max(F.when(F.col("_r") == 2, F.col("_score"))).alias("_second"))
+    return one.select("_composer", "_title", "_other", "_b", F.when(F.col("_b._copies") > 1, F.col("_b._score")).otherwise(F.col("_second")).alias("_next"))
+
+
 def match_works(lines: DataFrame, works: DataFrame, composer: str, title: str, work: str, work_title: str, weights: Mapping[str, float] = WEIGHTS, accept: float = ACCEPT, ask: float = ASK, lead: float = LEAD) -> DataFrame:
     """lines with work, score and near, the works of lines' composers as works(composer, work, work_title).
 
+    A line meets the works that agree with it in what it tells first (TIERS), and is
+    settled by them if its best is further from all that a work without this can
+    reach than ``lead``; the lines left meet all works of their composer.
+
     work is the best one if it reaches ``accept``, ties by least work, else null. near
     says that somebody should be asked: the best reaches ``ask`` but is not taken, or
     the next one is as good to within ``lead``. A line without a composer, or whose
     composer has no works, matches nothing.
     """
-    asked = features(lines.filter(F.col(composer).isNotNull() & F.col(title).isNotNull()).select(F.col(composer).alias("_composer"), F.col(title).alias("_title")).distinct(), "_title", "a_")
-    held = features(works.select(F.col(composer).alias("_composer"), F.col(work).alias("_work"), F.col(work_title).alias("_known")), "_known", "b_")
-    scored = asked.join(held, "_composer").select("_composer", "_title", "_work", score("a_", "b_", weights).alias("_score"))
-    order = Window.partitionBy("_composer", "_title").orderBy(F.desc("_score"), "_work")
-    two = scored.withColumn("_r", F.row_number().over(order)).filter("_r <= 2")
-    best = two.groupBy("_composer", "_title").agg(F.max(F.when(F.col("_r") == 1, F.struct("_score", "_work"))).alias("_b"), F.max(F.when(F.col("_r") == 2, F.col("_score"))).alias("_next"))
+    said = lines.filter(F.col(composer).isNotNull() & F.col(title).isNotNull()).select(F.col(composer).alias("_composer"), F.col(title).alias("_title")).distinct()
+    asked = saved(features(said, "_title", "a_"))
+    held = saved(alike_works(works.select(F.col(composer).alias("_composer"), F.col(work).alias("_work"), F.col(work_title).alias("_known"))))
+    best, rest = [], asked
+    for names in TIERS:
+        tells = reduce(and_, [F.col(f"a_{name}").isNotNull() for name in names])
+        met = rest.filter(tells).withColumns({name: F.col(f"a_{name}") for name in names}).join(held.withColumns({name: F.col(f"b_{name}") for name in names}), ["_composer", *names])
+        other = 1 - min(weights.get(name, 0.0) for name in names) / said_weight("a_", weights)
+        found = saved(two_best(met.withColumn("_other", other), weights))
+        sure = found.filter(F.col("_b._score") - lead > F.col("_other") + 1e-6)
+        best.append(sure)
+        rest = rest.join(sure.select("_composer", "_title"), ["_composer", "_title"], "left_anti")
+    best = reduce(DataFrame.unionByName, [*best, two_best(rest.join(held, "_composer").withColumn("_other", F.lit(0.0)), weights)])
     top = F.col("_b._score")
     taken = top >= accept
     near = F.when(taken, F.coalesce(F.col("_next") > F.round(top - lead, 9), F.lit(False))).otherwise(top >= ask)
