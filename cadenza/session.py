@@ -46,6 +46,21 @@ def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Rows of one share of a large table.
+SHARE_ROWS = 500_000
+
+
+def shares(df: DataFrame) -> int:
+    """Into how many partitions a table that lies in files is to be dealt: 1 up to SHARE_ROWS rows, then as many as keep a task's rows bounded at every size."""
+    n = -(-df.count() // SHARE_ROWS)
+    return max(n, df.sparkSession.sparkContext.defaultParallelism) if n > 1 else 1
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df dealt by keys to n shares, whatever the session's number of shuffle partitions; left as it is for one share."""
+    return df.repartition(n, *keys) if n > 1 else df
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share; only a local session without that setting uses a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)

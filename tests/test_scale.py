@@ -7,14 +7,20 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza import session
 from cadenza.functions.forms import mapped
 from cadenza.functions.numbers import lerp
 from cadenza.operators import blocks, catalog, concentration, evaluation, geometry, retrieval, sync
 from cadenza.operators import frequency as Q
 from cadenza.operators import programmes, selection
+from cadenza.plans.catalogue import QUERIES
 from cadenza.sources import readers
 from cadenza.streaming import sync as streams
 
+DATA = "/root/testdata/sf0.001"
+#: Queries whose large tables are dealt by their number of rows.
+DEALT = ["my_performers_distinct"]
+
 
 def test_ranks_of_crowded_counts(spark):
     rng = random.Random(1)
@@ -36,6 +42,19 @@ def test_an_index_is_made_once(spark, tmp_path):
     assert ranked.count() == 70
 
 
+@pytest.mark.parametrize("name", DEALT)
+def test_large_tables_are_dealt_by_their_rows(spark, monkeypatch, name):
+    """Tasks get a bounded number of rows whatever the session's number of partitions, and the rows stay the same."""
+    want = sorted(map(str, QUERIES[name](spark, DATA).collect()))
+    for module in (session, programmes):
+        monkeypatch.setattr(module, "SHARE_ROWS", 500, raising=False)
+    got = QUERIES[name](spark, DATA)
+    monkeypatch.undo()
+    exchanges = got._jdf.queryExecution().toString()
+    assert sorted(map(str, got.collect())) == want
+    assert name == "work_index" or "REPARTITION_BY_NUM" in exchanges  # a work_index is saved
+
+
 def test_redirects_of_any_length_and_cycles(spark):
     links = [(i, i - 1) for i in range(1, 150)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (5, 5)]
     rows = spark.createDataFrame([(i,) for i in [0, 60, 149, 1000, 1003, 7777, None]], "id long")
