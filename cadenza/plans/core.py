@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.operators.frequency import rank_and_rarity, work_index
 from cadenza.plans.catalogue import register
-from cadenza.session import table
+from cadenza.session import dealt, shares, table
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrence facts: one row per (concert, work) of the driver tables."""
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS concert", "l_partkey AS work", "l_linenumber AS seq", "l_suppkey AS performer")
+    held = table(spark, sf_dir, "lineitem")
+    lines = held.selectExpr("l_orderkey AS concert", "l_partkey AS work", "l_linenumber AS seq", "l_suppkey AS performer")
     nights = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS concert", "CAST(o_orderdate AS DATE) AS date")
-    return lines.join(nights, "concert")
+    n = shares(held)
+    return dealt(lines, n, "concert").join(dealt(nights, n, "concert"), "concert")
 
 
 @register(
