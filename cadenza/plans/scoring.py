@@ -11,7 +11,7 @@ from cadenza.operators import tickets as T
 from cadenza.operators.programme_parser import parse_programmes
 from cadenza.operators.selection import in_scope
 from cadenza.plans.catalogue import register
-from cadenza.session import table
+from cadenza.session import dealt, shares, table
 
 
 def r4(x):
@@ -92,6 +92,7 @@ s AS (SELECT b, size, sum(k) AS answers, sum(CASE WHEN NOT good THEN k ELSE 0 EN
 SELECT b, answers::BIGINT AS answers, outside::BIGINT AS outside, repeated::BIGINT AS repeated, missing::BIGINT AS missing, CASE WHEN outside = 0 AND repeated = 0 AND missing = 0 THEN 'index' WHEN answers = size THEN 'position' ELSE 'reject' END AS reading FROM s""")
 def batch_readings(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
+    li = dealt(li.select("l_orderkey", "l_linenumber"), shares(li), "l_orderkey")
     expected = li.groupBy(F.col("l_orderkey").alias("b")).agg(F.count("*").alias("size"))
     i = F.col("l_linenumber") - F.when(F.col("l_orderkey") % 5 == 0, 0).otherwise(1)
     return S.batch_check(li.select(F.col("l_orderkey").alias("b"), i.alias("i")), "b", "i", expected, "size")
