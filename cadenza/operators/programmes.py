@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.numbers import ratio, rounded
+from cadenza.session import SHARE_ROWS, dealt, saved, shares
 
 
 def seasonality_lift(occ: DataFrame, work: str, month: str, least: int = 3, candidates: int = 200, top: int = 6) -> DataFrame:
@@ -39,12 +40,18 @@ def pair_cooccurrence(occ: DataFrame, concert: str, work: str, top: int | None =
     """Unordered pairs of distinct works in a concert, with the number of concerts.
 
     A programme is a bounded list, so pairs are made inside the row of a concert and
-    the concert-work table is shuffled once.
+    the concert-work table, which lies in files, is shuffled once. Pairs of a large
+    table are dealt by their exact number; most are rare and would not combine before.
     """
-    sets = occ.groupBy(concert).agg(F.array_sort(F.collect_set(work)).alias("ws")).filter(F.size("ws") > 1)
+    n = shares(occ)
+    sets = dealt(occ.select(concert, work), n, concert).groupBy(concert).agg(F.array_sort(F.collect_set(work)).alias("ws")).filter(F.size("ws") > 1)
     pairs = F.flatten(F.transform("ws", lambda a, i: F.transform(F.slice("ws", i + 2, F.size("ws")), lambda b: F.struct(a.alias("work_a"), b.alias("work_b")))))
-    n = sets.select(F.explode(pairs).alias("p")).groupBy("p.work_a", "p.work_b").agg(F.count("*").alias("n"))
-    return n.orderBy(F.desc("n"), "work_a", "work_b").limit(top) if top else n
+    if n > 1:
+        sets = saved(sets)
+        n = -(-(sets.agg(F.sum(F.size("ws").cast("long") * (F.size("ws") - 1))).first()[0] or 0) // (2 * SHARE_ROWS))
+    each = dealt(sets.select(F.inline(pairs)), n, "work_a", "work_b")
+    counted = each.groupBy("work_a", "work_b").agg(F.count("*").alias("n"))
+    return counted.orderBy(F.desc("n"), "work_a", "work_b").limit(top) if top else counted
 
 
 def shapes(occ: DataFrame, concert: str, form: str, order: list[str], length: int = 4) -> DataFrame:
