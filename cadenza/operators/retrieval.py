@@ -49,8 +49,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Vectors of one pack, which is one row.
-PACK = 2048
+#: Vectors of one pack, which is one row, and queries that are scored with a pack at a time.
+PACK, SLICE = 2048, 128
 
 
 def packs(rows: DataFrame, key: str, vector: str, tag: str | None) -> DataFrame:
@@ -83,19 +83,22 @@ def best_of_pack(pairs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                keys, asked = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["q_keys"], np.int64)
-                unit, ask = (np.frombuffer(row[c], np.float64).reshape(len(x), row["dims"]) for c, x in (("vectors", keys), ("q_vectors", asked)))
-                score = ask @ unit.T
-                known = ~np.isnan(score)
-                rank = np.where(known, score, -np.inf)
-                fit = np.ones(score.shape, bool)
-                if len(keys) > k:  # columns are in order of keys, so the first of equal ones stay
-                    bar = np.partition(rank, len(keys) - k, axis=1)[:, len(keys) - k][:, None]
-                    above, tie = rank > bar, rank == bar
-                    fit = above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(1)[:, None]))
-                i, j = np.nonzero(fit)
-                yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(keys[j]), pa.array(score[i, j], mask=~known[i, j])], names=["query", "key", "similarity"])
+            for r in range(b.num_rows):  # what a row holds is read where it lies, and a slice of its queries is scored at a time
+                part = {c: np.frombuffer(b.column(c)[r].as_buffer(), kind) for c, kind in (("keys", np.int64), ("q_keys", np.int64), ("vectors", np.float64), ("q_vectors", np.float64))}
+                keys, dims = part["keys"], b.column("dims")[r].as_py()
+                unit, every = (part[c].reshape(len(x), dims) for c, x in (("vectors", keys), ("q_vectors", part["q_keys"])))
+                for lo in range(0, len(every), SLICE):
+                    asked = part["q_keys"][lo : lo + SLICE]
+                    score = every[lo : lo + SLICE] @ unit.T
+                    known = ~np.isnan(score)
+                    rank = np.where(known, score, -np.inf)
+                    fit = np.ones(score.shape, bool)
+                    if len(keys) > k:  # columns are in order of keys, so the first of equal ones stay
+                        bar = np.partition(rank, len(keys) - k, axis=1)[:, len(keys) - k][:, None]
+                        above, tie = rank > bar, rank == bar
+                        fit = above | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - above.sum(1)[:, None]))
+                    i, j = np.nonzero(fit)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(keys[j]), pa.array(score[i, j], mask=~known[i, j])], names=["query", "key", "similarity"])
 
     return pairs.mapInArrow(run, "query long, key long, similarity double")
 

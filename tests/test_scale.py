@@ -167,3 +167,24 @@ def test_streams(spark, tmp_path):
     assert ("a", 3) in got and ("b", 1) in got
     got = sorted((r["who"], r["n"]) for r in run(lambda s: streams.sessions(s, "at", "who", gap="10 minutes", delay="0 seconds"), "visits"))
     assert got[:2] == [("a", 3), ("b", 1)]
+
+
+def test_a_pack_is_scored_in_slices():
+    """Scores of a slice are held at a time, not those of all pairs of two packs."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    held = []
+    retrieval.best_of_pack(type("Pairs", (), {"mapInArrow": lambda self, run, schema: held.append(run)})(), 3)
+    n, rng = retrieval.PACK, np.random.default_rng(5)
+    m = rng.normal(size=(n, 8))
+    ids = np.arange(n)
+    batch = pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([m.tobytes()]), pa.array([ids.tobytes()]), pa.array([m.tobytes()]), pa.array([8], pa.int32())], names=["keys", "vectors", "q_keys", "q_vectors", "dims"])
+    tracemalloc.start()
+    got = [tuple(r.values())[:2] for out in held[0]([batch]) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 3 * n and {k for q, k in got if q == 7} == set(np.argsort(-(m @ m[7]))[:3].tolist())
+    assert peak < 40 << 20
