@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.session import saved
+from cadenza.session import dealt, saved, shares, small_side
 
 
 def tokens(text: Column) -> Column:
@@ -23,18 +23,27 @@ def hard_filter(events: DataFrame, today, region: Column, travel_ok: Column, bud
     return events.filter((F.col("date") >= today) & (travel_ok | (F.col("region") == region)) & (budget.isNull() | (F.col("price_min") <= budget)))
 
 
+#: Counted terms of documents in a share; each meets all queries that hold it.
+TERM_ROWS = 100_000
+
+
 def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, words: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, doc, score): one pass over terms that some query holds; lengths over all documents."""
+    """(query, doc, score): terms that some query holds are counted once and saved; lengths over all documents.
+
+    What is saved is dealt by document and meets the queries' terms with their weights
+    where it lies, so that a document's scores are made in one task and only they move.
+    """
     q = queries.select(query, F.explode(F.array_distinct(tokens(F.col(words)))).alias("term"))
     asked = q.select("term").distinct()
     sized = docs.select(doc, tokens(F.col(text)).alias("ts")).withColumn("dl", F.size("ts"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = sized.select(doc, "dl", F.explode("ts").alias("term")).join(asked, "term", "left_semi").groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
+    tf = saved(sized.select(doc, "dl", F.explode("ts").alias("term")).join(asked, "term", "left_semi").groupBy(doc, "dl", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    x = tf.join(df, "term").join(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return x.select("term", doc, weight.alias("w")).join(q, "term").groupBy(query, doc).agg(F.sum("w").alias("score"))
+    told = saved(q.join(df, "term").join(F.broadcast(stats)).select(query, "term", "avgdl", idf.alias("idf")))  # stats are one row
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    met = dealt(tf, shares(tf, TERM_ROWS), doc).join(small_side(told), "term")
+    return met.select(query, doc, weight.alias("w")).groupBy(query, doc).agg(F.sum("w").alias("score"))
 
 
 #: Query vectors of one broadcast.

@@ -50,9 +50,9 @@ def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 SHARE_ROWS = 500_000
 
 
-def shares(df: DataFrame) -> int:
-    """Into how many partitions a table that lies in files is to be dealt: 1 up to SHARE_ROWS rows, then as many as keep a task's rows bounded at every size."""
-    n = -(-df.count() // SHARE_ROWS)
+def shares(df: DataFrame, rows: int | None = None) -> int:
+    """Into how many partitions a table that lies in files is to be dealt: 1 up to ``rows`` (SHARE_ROWS), then as many as keep a task's rows bounded at every size."""
+    n = -(-df.count() // (rows or SHARE_ROWS))
     return max(n, df.sparkSession.sparkContext.defaultParallelism) if n > 1 else 1
 
 

@@ -188,3 +188,19 @@ def test_a_pack_is_scored_in_slices():
     tracemalloc.stop()
     assert len(got) == 3 * n and {k for q, k in got if q == 7} == set(np.argsort(-(m @ m[7]))[:3].tolist())
     assert peak < 40 << 20
+
+
+def test_bm25_reads_texts_for_terms_once(spark, tmp_path):
+    """The terms are saved: the scores do not read the documents, and a term in all of them moves no row for each query."""
+    docs = [(i, " ".join(["the", *(["red"] * (i % 3)), f"w{i % 5}"])) for i in range(60)]
+    spark.createDataFrame(docs, "doc long, text string").write.parquet(str(tmp_path / "docs"))
+    queries = spark.createDataFrame([(q, f"the w{q % 5} red" if q % 2 else "the") for q in range(8)], "q long, words string")
+    run = lambda: retrieval.bm25(spark.read.parquet(str(tmp_path / "docs")), "doc", "text", queries, "q", "words")
+    rounded = lambda df: sorted((r["q"], r["doc"], round(r["score"], 9)) for r in df.collect())
+    one = run()
+    assert not any(str(tmp_path) in f for f in one.inputFiles())
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(retrieval, "TERM_ROWS", 20)
+        dealt = run()
+    assert rounded(dealt) == rounded(one) and len({(q, d) for q, d, _ in rounded(one)}) == 480
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
