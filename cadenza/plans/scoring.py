@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.numbers import rounded
 from cadenza.operators import scoring as S
 from cadenza.operators import tickets as T
-from cadenza.operators.programme_parser import parse_programmes
+from cadenza.operators.programme_parser import line_shares, parse_programmes
 from cadenza.operators.selection import in_scope
 from cadenza.plans.catalogue import register
 from cadenza.session import dealt, shares, table
@@ -121,9 +121,11 @@ def programme_works(spark, sf_dir):
     nations = table(spark, sf_dir, "nation")
     c = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_name")  # 25 rows
     line = F.when(F.col("o_orderkey") % 5 == 0, "INTERMISSION").otherwise(F.concat("n_name", F.lit(": Sonata, Op. "), (F.col("o_orderkey") % 1000).cast("string")))
-    pages = table(spark, sf_dir, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).select("o_custkey", "o_orderkey", line.alias("line"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    n = line_shares(orders)
+    pages = dealt(orders, n, "o_custkey").join(dealt(c, n, "c_custkey"), F.col("c_custkey") == F.col("o_custkey")).select("o_custkey", "o_orderkey", line.alias("line"))
     names = nations.select(F.col("n_name").alias("alias"), F.col("n_name").alias("name"), F.lit(0.9).alias("confidence"))
-    works = parse_programmes(pages, "o_custkey", "o_orderkey", "line", names, "(?i)Sonata", "문의")
+    works = parse_programmes(pages, "o_custkey", "o_orderkey", "line", names, "(?i)Sonata", "문의", n=n)
     return works.select("o_custkey", "seq", "composer", "opus", "after_break")
 
 
