@@ -117,10 +117,10 @@ def work_number(s: Column) -> Column:
 def parse_opus(s: Column) -> Column:
     """The first catalogue number: `op.n`, or the catalogue in upper case (KV is K), a dot and the number."""
     tidy = lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", ""))
-    groups = F.struct(*[F.regexp_extract(s, OPUS, i).alias(f"g{i}") for i in (1, 2, 3, 4)])
+    groups = lambda hit: F.struct(*[F.regexp_extract(hit, OPUS, i).alias(f"g{i}") for i in (1, 2, 3, 4)])  # noqa: E731  of the hit alone, so that the text is searched once
     name = lambda g: F.when(F.upper(g["g3"]) == "KV", "K").otherwise(F.upper(g["g3"]))
     said = lambda g: F.when(g["g1"] != "", F.concat(F.lit("op."), tidy(g["g1"]))).when(g["g2"] != "", F.concat(F.lit("op."), tidy(g["g2"]))).when(g["g3"] != "", F.concat(name(g), F.lit("."), tidy(g["g4"])))
-    return F.when(s.rlike(OPUS), bound(groups, said))
+    return bound(F.regexp_extract(s, OPUS, 0), lambda hit: F.when(hit != "", bound(groups(hit), said)))
 
 
 def parse_key(s: Column) -> Column:

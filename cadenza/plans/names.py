@@ -11,7 +11,7 @@ from cadenza.operators import names as N
 from cadenza.operators.programme_parser import line_shares, parse_programmes
 from cadenza.operators.selection import match_route
 from cadenza.plans.catalogue import register
-from cadenza.session import table
+from cadenza.session import dealt, table
 
 #: Digits to letters: a number as a surname with accents, and as a Hangul name.
 LETTERS, SYLLABLES = "abcéfghïjk", "가나다라마바사아자차"
@@ -162,8 +162,9 @@ def programme_pages(spark, sf_dir):
         F.concat(other, F.lit(" (1801-1866)")), F.concat(F.lit("Violin Concerto Op. "), c % 70 + 1), F.lit("INTERMISSION (15 min)"), F.concat("n_name", F.lit(" - Sonata KV "), c % 600 + 1), F.lit("출연"), F.concat(other, F.lit(": Symphony No. 7")),
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    pages = orders.join(nation, c % 25 == F.col("n")).select("o_orderkey", F.posexplode(lines).alias("i", "line"))
+    n = line_shares(orders, 11)
+    pages = dealt(orders, n, "o_orderkey").join(F.broadcast(nation), c % 25 == F.col("n")).select("o_orderkey", F.posexplode(lines).alias("i", "line"))  # 25 rows
     sure = F.lit(0.9).alias("confidence")
     names = nation.select(F.col("n_name").alias("alias"), F.col("n_name").alias("name"), sure).unionByName(nation.select(F.col("hn").alias("alias"), F.col("n_name").alias("name"), sure))
-    works = parse_programmes(pages, "o_orderkey", "i", "line", names, "(?i)Symphon|Concerto|Sonata|교향곡|협주곡", NOISE, blocks=True, n=line_shares(orders, 11))
+    works = parse_programmes(pages, "o_orderkey", "i", "line", names, "(?i)Symphon|Concerto|Sonata|교향곡|협주곡", NOISE, blocks=True, n=n)
     return works.select("o_orderkey", "seq", "composer", "confidence", "opus", "title", "title_ko", "soloist", F.array_join("movements", ",").alias("movements"), "after_break")
